@@ -6,9 +6,9 @@ of all documents, and every rolling window of block length probes it:
 
 1. Blocks and probes meet on their hash. Tasks get them as packed byte planes, a row for each
    piece of text and hash range, never a row a word. A probe hits if its hash has a block and
-   occurs at two places at least. (A short hash only adds false hits, which step 2 drops.)
+   occurs in two documents at least. (A short hash only adds false hits, which step 2 drops.)
 2. Hits go back to their document, where each is extended: the ``size``-word windows around it
-   are hashed in 128 bits. These meet on their hash, where the smallest doc_id wins.
+   are hashed in 96 bits. These meet on their hash, where the smallest doc_id wins.
 3. Windows that lost go back; adjacent ones merge into maximal repeats, whose words are removed.
 
 No step makes pairs, so the work grows with the text even if thousands of documents share a
@@ -37,7 +37,7 @@ from ._common import Words, mix, partitions, planes, steps, table, text_buffers,
 
 WINDOW = 50
 #: Text bytes for one range of hashes and one bucket of documents.
-RANGE_BYTES = 4 << 20
+RANGE_BYTES = 8 << 20
 NULL_ID = np.iinfo(np.int64).max
 
 
@@ -101,7 +101,7 @@ def _packed(bucket: np.ndarray, cols: dict[str, np.ndarray]) -> pa.Table:
 
 
 def _match(buckets: int, hash_bytes: int):
-    """Hits of one range: probes whose hash has a block and another place."""
+    """Hits of one range: probes whose hash has a block and another document."""
 
     def run(t):
         h, n = [], []
@@ -119,23 +119,24 @@ def _match(buckets: int, hash_bytes: int):
         at = np.searchsorted(blocks, h)
         at[at == len(blocks)] = 0
         cand = np.flatnonzero(blocks[at] == h) if len(blocks) else np.zeros(0, np.int64)
-        many = np.bincount(at[cand], minlength=len(blocks)) > 1
-        hit = np.zeros(len(h), bool)
-        hit[cand] = many[at[cand]]
-        ids, word = [], []
+        ids, word = np.zeros(len(cand), np.int64), np.zeros(len(cand), np.int64)
         ends = np.cumsum(n)
-        for k, end in enumerate(ends):
-            own = hit[end - n[k] : end]
-            if not own.any():
+        cut = np.searchsorted(cand, np.concatenate([[0], ends]))
+        for k, (a, b) in enumerate(zip(cut[:-1], cut[1:])):
+            if a == b:
                 continue
-            place = np.cumsum(unplanes(t.column("places")[k].as_buffer(), np.uint32).astype(np.int64))[own]
+            place = np.cumsum(unplanes(t.column("places")[k].as_buffer(), np.uint32).astype(np.int64))[cand[a:b] - (ends[k] - n[k])]
             doc_ids = np.cumsum(unplanes(t.column("ids")[k].as_buffer(), np.int64))
             bound = np.cumsum(unplanes(t.column("sizes")[k].as_buffer(), np.uint32).astype(np.int64))
             doc = np.searchsorted(bound, place, side="right")
-            ids.append(doc_ids[doc])
-            word.append(place - np.where(doc > 0, bound[doc - 1], 0))
-        ids = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-        word = np.concatenate(word) if word else np.zeros(0, np.int64)
+            ids[a:b] = doc_ids[doc]
+            word[a:b] = place - np.where(doc > 0, bound[doc - 1], 0)
+        of = at[cand]
+        least, most = np.full(len(blocks), NULL_ID), np.full(len(blocks), np.iinfo(np.int64).min)
+        np.minimum.at(least, of, ids)
+        np.maximum.at(most, of, ids)
+        hit = (least < most)[of]  # the block is in two documents
+        ids, word = ids[hit], word[hit]
         return _packed(_bucket(ids, buckets), {"ids": ids, "words": word.astype(np.uint32)})
 
     return run
@@ -176,7 +177,7 @@ def _extend(size: int, parts: int):
             starts = np.flatnonzero(((np.cumsum(delta[:-1]) > 0) & whole(w.bounds, size))[: len(one)])
             if not len(starts):
                 continue
-            lane1, lane2 = one[starts], windows(h, size, lane=True)[starts]
+            lane1, lane2 = one[starts], windows(h, size, lane=True)[starts].astype(np.uint32)
             d = np.searchsorted(w.bounds, starts, side="right") - 1
             text_hash = _prints(data, offsets)
             part = _ranges(lane1, parts)
@@ -207,7 +208,7 @@ def _resolve(buckets: int):
     """Windows of one range whose words also start in a document with a smaller doc_id."""
 
     def run(t):
-        lane1, lane2, words = (np.concatenate([f(x) for x in t.column(k)]) for k, f in (("lane1", lambda x: np.frombuffer(x.as_buffer(), np.uint64)), ("lane2", lambda x: np.frombuffer(x.as_buffer(), np.uint64)), ("words", lambda x: unplanes(x.as_buffer(), np.uint32))))
+        lane1, lane2, words = (np.concatenate([f(x) for x in t.column(k)]) for k, f in (("lane1", lambda x: np.frombuffer(x.as_buffer(), np.uint64)), ("lane2", lambda x: np.frombuffer(x.as_buffer(), np.uint32)), ("words", lambda x: unplanes(x.as_buffer(), np.uint32))))
         uses = _entries(t, uses=np.uint32)[0].astype(np.int64)
         ids = np.repeat(_entries(t, ids=np.int64)[0], uses)
         prints = np.repeat(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("prints")]), uses)
