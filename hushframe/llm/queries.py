@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, neardup, sharding, substring, topk
+from . import bpe, chat, decontaminate, neardup, sharding, substring, topk
 
 QUERIES = {
     "op1_shards": sharding.op1_shards,
     "op2_jaccard": neardup.op2_jaccard,
+    "op4_bpe": bpe.op4_bpe,
     "op7_topk": topk.op7_topk,
     "op8_contamination": decontaminate.op8_contamination,
     "op9_chat": chat.op9_chat,
