@@ -284,6 +284,37 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<first:long,last:long,byte_first:long,byte_last:long>>")
 
 
+def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` with the hit words taken out of ``text`` (each run leaves a line break);
+    a column ``n_chars`` counts the new text. Texts without hits are not touched."""
+    sc = docs.sparkSession.sparkContext
+    blocks = [sc.broadcast(b) for b in benchmark_blocks(benchmark, window)]
+    columns = docs.columns
+
+    def run(batches):
+        for rows in steps(batches, "text", SHARD_BYTES):
+            column = rows.column(columns.index("text"))
+            found = _shard(pa.RecordBatch.from_arrays([pa.array(range(rows.num_rows)), column], ["doc_id", "text"]), blocks)
+            texts, counts = column.to_pylist(), {}
+            for k in np.flatnonzero(found.column("n_hit").to_numpy()):
+                raw, at, out = texts[k].encode(), 0, []
+                for span in found.column("spans")[int(k)].as_py():
+                    out.append(raw[at : span["byte_first"]])
+                    at = span["byte_last"]
+                out.append(raw[at:])
+                texts[k] = b"\n".join(out).decode()
+                counts[int(k)] = len(texts[k])
+            new = list(rows.columns)
+            if counts:
+                new[columns.index("text")] = pa.array(texts, pa.string())
+                if "n_chars" in columns:
+                    i = columns.index("n_chars")
+                    new[i] = pa.array([counts.get(k, n) for k, n in enumerate(new[i].to_pylist())], new[i].type)
+            yield pa.RecordBatch.from_arrays(new, columns)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op8_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
