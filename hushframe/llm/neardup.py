@@ -224,7 +224,7 @@ def jaccard_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, r
     number = F.col("begin") + F.row_number().over(Window.partitionBy("part", "slice").orderBy("id")) - 1
     placed = sliced.join(begin, ["part", "slice"]).select("id", "part", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.floor(number / BLOCK).cast("int").alias("block"))
     placed = keep(placed.join(classes.select("id", "copies", "set1"), "id"), "members")
-    texts = source.withColumnRenamed("doc_id", "id").join(placed, "id").select("id", "text", F.struct("id", "set1", "part", "block", "blocks", "copies").alias("row"))
+    texts = source.withColumnRenamed("doc_id", "id").join(placed.hint("merge"), "id").select("id", "text", F.struct("id", "set1", "part", "block", "blocks", "copies").alias("row"))
     sets = texts.mapInArrow(_sets(n), "row struct<id:long,set1:long,part:long,block:int,blocks:int,copies:long>, set1 long, grams binary")
     pairs = sets.where("set1 = row.set1").dropDuplicates(["row"]).select("row.*", "grams").select(
         "id", "copies", "grams", "part", F.col("block").alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"),
