@@ -8,7 +8,7 @@ of all documents, and every rolling window of block length probes it:
    piece of text and hash range, never a row a word. A probe hits if its hash has a block and
    occurs in two documents at least. (A short hash only adds false hits, which step 2 drops.)
 2. Hits go back to their document, where each is extended: the ``size``-word windows around it
-   are hashed in 96 bits. These meet on their hash, where the smallest doc_id wins.
+   are hashed in 80 bits and those of their range. These meet on their hash, where the smallest doc_id wins.
 3. Windows that lost go back; adjacent ones merge into maximal repeats, whose words are removed.
 
 No step makes pairs, so the work grows with the text even if thousands of documents share a
@@ -38,6 +38,8 @@ from ._common import Words, mix, partitions, planes, steps, table, text_buffers,
 WINDOW = 50
 #: Text bytes for one range of hashes and one bucket of documents.
 RANGE_BYTES = 8 << 20
+#: Bytes of a window's first hash that travel; its second hash has four.
+LANE1 = 6
 NULL_ID = np.iinfo(np.int64).max
 
 
@@ -49,6 +51,14 @@ def _ranges(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.int64)
 
 
+def _widen(raw, size: int) -> np.ndarray:
+    """Numbers of which only the low ``size`` byte planes are there."""
+    flat = np.frombuffer(raw, np.uint8)
+    full = np.zeros((8, len(flat) // size), np.uint8)
+    full[:size] = flat.reshape(size, -1)
+    return np.ascontiguousarray(full.T).view(np.uint64).ravel()
+
+
 def _probe(size: int, parts: int, hash_bytes: int):
     """Blocks and rolling windows of pieces of text, packed by range of hashes."""
     block = size // 2
@@ -69,14 +79,13 @@ def _probe(size: int, parts: int, hash_bytes: int):
             cut = np.concatenate([[0], np.flatnonzero(np.diff(part[order])) + 1, [len(order)]])
             ids = _ids(rows.column(0))
             head = (planes(np.diff(ids, prepend=0)), planes(n_words.astype(np.uint32)))
-            short = mix(h) & np.uint64((1 << 8 * hash_bytes) - 1)
             out = {"part": [], "ids": [], "sizes": [], "hashes": [], "places": [], "anchors": []}
             for a, b in zip(cut[:-1], cut[1:]):
                 own = order[a:b]
                 out["part"].append(int(part[own[0]]))
                 out["ids"].append(head[0])
                 out["sizes"].append(head[1])
-                out["hashes"].append(planes(short[own])[: hash_bytes * len(own)])
+                out["hashes"].append(planes(h[own])[: hash_bytes * len(own)])
                 out["places"].append(planes(np.diff(at[own], prepend=0).astype(np.uint32)))
                 out["anchors"].append(np.packbits(anchor[own]).tobytes())
             yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64() if k == "part" else pa.binary()) for k, v in out.items()})
@@ -107,13 +116,9 @@ def _match(buckets: int, hash_bytes: int):
         h, n = [], []
         anchors = []
         for raw, a in zip(t.column("hashes"), t.column("anchors")):
-            raw = np.frombuffer(raw.as_buffer(), np.uint8)
-            k = len(raw) // hash_bytes
-            full = np.zeros((8, k), np.uint8)
-            full[:hash_bytes] = raw.reshape(hash_bytes, k)
-            h.append(np.ascontiguousarray(full.T).view(np.uint64).ravel())
-            anchors.append(np.unpackbits(np.frombuffer(a.as_buffer(), np.uint8), count=k).astype(bool))
-            n.append(k)
+            h.append(_widen(raw.as_buffer(), hash_bytes))
+            n.append(len(h[-1]))
+            anchors.append(np.unpackbits(np.frombuffer(a.as_buffer(), np.uint8), count=n[-1]).astype(bool))
         h, anchor = np.concatenate(h), np.concatenate(anchors)
         blocks = np.unique(h[anchor])
         at = np.searchsorted(blocks, h)
@@ -187,7 +192,7 @@ def _extend(size: int, parts: int):
                 pick = order[a:b]
                 used, uses = np.unique(d[pick], return_counts=True)
                 out["part"].append(int(part[pick[0]]))
-                out["lane1"].append(lane1[pick].tobytes())
+                out["lane1"].append(planes(lane1[pick])[: LANE1 * len(pick)])
                 out["lane2"].append(lane2[pick].tobytes())
                 out["ids"].append(planes(own[used]))
                 out["prints"].append(text_hash[used].tobytes())
@@ -208,7 +213,7 @@ def _resolve(buckets: int):
     """Windows of one range whose words also start in a document with a smaller doc_id."""
 
     def run(t):
-        lane1, lane2, words = (np.concatenate([f(x) for x in t.column(k)]) for k, f in (("lane1", lambda x: np.frombuffer(x.as_buffer(), np.uint64)), ("lane2", lambda x: np.frombuffer(x.as_buffer(), np.uint32)), ("words", lambda x: unplanes(x.as_buffer(), np.uint32))))
+        lane1, lane2, words = (np.concatenate([f(x) for x in t.column(k)]) for k, f in (("lane1", lambda x: _widen(x.as_buffer(), LANE1)), ("lane2", lambda x: np.frombuffer(x.as_buffer(), np.uint32)), ("words", lambda x: unplanes(x.as_buffer(), np.uint32))))
         uses = _entries(t, uses=np.uint32)[0].astype(np.int64)
         ids = np.repeat(_entries(t, ids=np.int64)[0], uses)
         prints = np.repeat(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("prints")]), uses)
@@ -273,8 +278,9 @@ def dedup_substrings(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(2 * partitions(spark), math.ceil(total / RANGE_BYTES))
-    # bits for the blocks there can be, and ten more: one probe in a thousand hits by chance
-    hash_bytes = min(8, max(4, math.ceil((math.log2(max(total, 2) / size) + 10) / 8)))
+    # bits for the blocks there can be, less those the range says, and ten more: one probe in a
+    # thousand hits by chance
+    hash_bytes = min(8, max(3, math.ceil((math.log2(max(total, size) / size) - math.log2(parts) + 10) / 8)))
     packed = "hashes binary, places binary, anchors binary"
     probes = source.mapInArrow(_probe(size, parts, hash_bytes), f"part long, ids binary, sizes binary, {packed}")
     hits = probes.groupBy("part").applyInArrow(_match(parts, hash_bytes), "bucket long, ids binary, words binary")
