@@ -56,14 +56,15 @@ def _grouped(frame, by, value, stats, min_n, round, names, k=None) -> DataFrame:
         aggs.append(R.aggregate(s, R.clip(v, limits) if s in R.MOMENTS and v is not None else v).alias(f"__{s}"))
     cells = df.groupBy(*by).agg(*aggs)
     base = R.rounding(policy, round)
+    labels = [F.col(f"`{k}`") for k in by]
     out = []
     for s in stats:
         own = R.least_n(policy, min_n, s) if k is None else k
         c = F.col(f"__{s}")
         if s in ("count", "size") and policy.suppression.count_noise:
-            c = R.noisy(policy, s, c, c, *by)
+            c = R.noisy(policy, s, c, c, *labels)
         else:
-            c = R.noisy(policy, s, R.round_to(c, base), F.col("__n"), *by)
+            c = R.noisy(policy, s, R.round_to(c, base), F.col("__n"), *labels)
             if s == "median":
                 c = R.sig_column(c, policy.suppression.percentile_sig_figs)
         out.append(R.suppress(c, F.col("__n"), own).alias(names[s]))
@@ -85,7 +86,7 @@ def group_describe(frame: PrivateFrame, by: list[str], value: str) -> R.Released
     for name, c in orders:
         aggs += [F.first(c).alias(f"o_{name}"), F.least(F.count_if(v <= c), F.count_if(v >= c)).alias(f"s_{name}")]
     cells = joined.groupBy(*by).agg(*aggs)
-    e = R.noise(policy, *by)
+    e = R.noise(policy, *[F.col(f"`{k}`") for k in by])
     count = F.col("__n") if e is None else F.greatest(F.col("__n") + e, F.lit(0))
     base = None if e is not None else policy.round_to
     ok = F.col("__n") >= policy.min_n

@@ -1,0 +1,3 @@
+"""Suppressed counts over event time."""
+
+from .windows import windowed_counts
