@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 
 from ..errors import DisclosureError
 from ..functions import exprs as E
+from ..plans import ordered as O
+from ..plans.store import keep
 from ..policy import Policy
 from . import release as R
 
@@ -156,48 +158,58 @@ class PrivateColumn:
         return me._edit(_lookup(me._expr, mapping, F.lit(None)))
 
     # -- order-dependent columns
-    def _over(self, make) -> "PrivateColumn":
+    def _ordered(self, make) -> "PrivateColumn":
+        """A column of a narrow frame of its own (row id, place, value), written once; it is joined
+        on the row id where it meets other columns. make(df, bucket, place, column, out)"""
         me = self._plain()
-        return PrivateColumn(me._frame, make(me._expr, me._frame._window()), me._name, False)
+        frame = me._frame
+        frame._sequence()
+        (b, p), c, out = frame._seq, f"__h{next(_ids)}", f"__h{next(_ids)}"
+        support = [frame._support] if frame._support else []
+        narrow = frame._df.select(RID, b, p, *support, me._expr.alias(c))
+        side = PrivateFrame(keep(make(narrow, b, p, c, out).select(RID, b, p, *support, out), "column"), frame._policy, [], frame._order, support=frame._support)
+        side._seq = frame._seq
+        return PrivateColumn(side, F.col(out), me._name)
 
     def shift(self, periods: int = 1):
-        p = int(periods)
-        return self._over(lambda c, w: F.lag(c, p).over(w) if p >= 0 else F.lead(c, -p).over(w))
+        return self._ordered(lambda df, b, p, c, out: O.moved(df, p, c, out, int(periods)))
 
     def diff(self, periods: int = 1):
-        p = int(periods)
-        return self._over(lambda c, w: c - (F.lag(c, p).over(w) if p >= 0 else F.lead(c, -p).over(w)))
+        k = int(periods)
+        return self._ordered(lambda df, b, p, c, out: O.moved(df, p, c, "__before", k).withColumn(out, F.col(c) - F.col("__before")))
 
     def pct_change(self, periods: int = 1):
-        full = self.ffill()._plain()
-        return full._over(lambda c, w: E.divide(c, F.lag(c, int(periods)).over(w)) - 1)
+        k = int(periods)
+        return self.ffill()._ordered(lambda df, b, p, c, out: O.moved(df, p, c, "__before", k).withColumn(out, E.divide(F.col(c), F.col("__before")) - 1))
 
-    def _running(self, f):
-        return self._over(lambda c, w: F.when(c.isNotNull(), f(c).over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    def _running(self, kind):
+        return self._ordered(lambda df, b, p, c, out: O.running(df, b, p, c, out, kind).withColumn(out, F.when(F.col(c).isNotNull(), F.col(out))))
 
-    def cumsum(self): return self._running(F.sum)
-    def cumprod(self): return self._running(lambda c: F.product(c.cast("double")))
-    def cummax(self): return self._running(F.max)
-    def cummin(self): return self._running(F.min)
-    def ffill(self): return self._over(lambda c, w: F.last(c, True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    def bfill(self):
-        # a frame to the end is recomputed for each row; the same frame in reverse order is not
-        return self._over(lambda c, w: F.last(c, True).over(self._frame._window(True).rowsBetween(Window.unboundedPreceding, 0)))
+    def cumsum(self): return self._running("sum")
+
+    def cumprod(self):
+        me = self._plain()
+        return me._new(me._expr.cast("double"))._running("product")
+
+    def cummax(self): return self._running("max")
+    def cummin(self): return self._running("min")
+    def ffill(self): return self._ordered(O.nearest)
+    def bfill(self): return self._ordered(lambda *a: O.nearest(*a, ahead=True))
 
     def interpolate(self, method: str = "linear"):
+        """Between the neighbours by rows; before the first stays missing, after the last stays last."""
         if method != "linear":
             raise DisclosureError("interpolate: only the linear method is available")
 
-        def make(c, w):
-            back, ahead = (x.rowsBetween(Window.unboundedPreceding, 0) for x in (w, self._frame._window(True)))
-            prev, nxt = F.last(c.cast("double"), True).over(back), F.last(c.cast("double"), True).over(ahead)
-            number = F.col(self._frame._hide(F.row_number().over(w)))
-            at = F.when(c.isNotNull(), number)
-            before, after = F.last(at, True).over(back), F.last(at, True).over(ahead)
-            share = E.divide(number - before, after - before)
-            return F.coalesce(c.cast("double"), prev + (nxt - prev) * share, prev)
+        def make(df, b, p, c, out):
+            v, place = F.col(c).cast("double"), F.col(p)
+            df = df.withColumn("__s", F.when(v.isNotNull(), F.struct(place.alias("p"), v.alias("v"))))
+            df = O.nearest(O.nearest(df, b, p, "__s", "__back"), b, p, "__s", "__next", ahead=True)
+            back, ahead = F.col("__back"), F.col("__next")
+            share = E.divide(place - back["p"], ahead["p"] - back["p"])
+            return df.withColumn(out, F.coalesce(v, back["v"] + (ahead["v"] - back["v"]) * share, back["v"]))
 
-        return self._over(make)
+        return self._ordered(make)
 
     # -- accessors
     @property
@@ -398,6 +410,8 @@ class PrivateFrame:
         self._kin = kin | {self._id}
         #: Hidden column with the least number of rows behind each row (of grouped frames).
         self._support = support
+        #: Hidden columns with each row's range and place in the order.
+        self._seq: tuple[str, str] | None = None
 
     @classmethod
     def bind(cls, df: DataFrame, policy: Policy, key: list[str] | None = None) -> "PrivateFrame":
@@ -437,12 +451,13 @@ class PrivateFrame:
         own = self._order if order is None else order
         return PrivateFrame(df, self._policy, cols, own, self._kin if kin else frozenset(), self._support if support == "" else support)
 
-    def _window(self, reverse: bool = False):
-        if reverse:
-            by = [F.desc_nulls_first(c) if up else F.asc_nulls_first(c) for c, up in self._order]
-            return Window.orderBy(*by, F.col(RID).desc())
-        by = [F.asc_nulls_last(c) if up else F.desc_nulls_last(c) for c, up in self._order]
-        return Window.orderBy(*by, F.col(RID))
+    def _sequence(self) -> None:
+        """Give the rows their places in this frame's order, once."""
+        if self._seq is None:
+            by = [F.asc_nulls_last(c) if up else F.desc_nulls_last(c) for c, up in self._order]
+            bucket, place = (f"__{x}{next(_ids)}" for x in "bp")
+            self._df = O.number(self._df, [*by, F.col(RID).asc()], bucket, place)
+            self._seq = (bucket, place)
 
     def _hide(self, expr: Column) -> str:
         """A hidden column of this frame with an expression that has a window."""

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ...errors import DisclosureError
+from ...plans.ordered import number, running
 from ..frame import PrivateFrame
 from ..release import Released
 from . import dist
@@ -66,10 +66,10 @@ def anova(frame: PrivateFrame, value: str, by: str) -> Released:
 
 
 def ranks(df, value: str, out: str):
-    """Average ranks by a table of value counts; only that table is sorted as a whole."""
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("__c"))
-    upto = F.sum("__c").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    return counts.select(value, (upto - (F.col("__c") - 1) / 2.0).alias(out), "__c")
+    """Average ranks by a table of value counts."""
+    counts = number(df.groupBy(value).agg(F.count(F.lit(1)).alias("__c")), [F.col(value)], "__b", "__p")
+    summed = running(counts, "__b", "__p", "__c", "__upto", "sum")
+    return summed.select(value, (F.col("__upto") - (F.col("__c") - 1) / 2.0).alias(out), "__c")
 
 
 def mannwhitney(frame: PrivateFrame, value: str, by: str) -> Released:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import DisclosureError
+from ..plans.quantiles import quantiles
 from ..policy import Policy
 
 STATS = ("mean", "sum", "count", "size", "median", "std", "var")
@@ -160,8 +161,8 @@ def bounds(df: DataFrame, value: Column, policy: Policy) -> tuple[float, float]
     limits = policy.suppression.winsorize
     if not limits:
         return None
-    found = df.agg(F.percentile(value.cast("double"), F.array(*map(F.lit, limits)))).first()[0]
-    return tuple(found) if found and found[0] is not None else None
+    found = quantiles(df, {"v": value}, list(limits))["v"]
+    return tuple(found) if found else None
 
 
 def clip(value: Column, limits: tuple[float, float] | None) -> Column:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import DisclosureError
+from ..plans.quantiles import quantiles
 from . import release as R
 from .frame import PrivateColumn, PrivateFrame, is_numeric
 
@@ -184,13 +185,14 @@ def _reduced(frame: PrivateFrame, exprs: dict[str, Column], stat: str, min_n, ro
     policy, s = frame._policy, frame._policy.suppression
     limits = {}
     if s.winsorize and stat in (*R.MOMENTS, "sem", "skew", "kurt"):
-        p = F.array(*map(F.lit, s.winsorize))
-        row = frame._df.agg(*[F.percentile(e.cast("double"), p).alias(f"b{i}") for i, e in enumerate(exprs.values())]).first()
-        limits = {c: row[i] for i, c in enumerate(exprs)}
+        limits = quantiles(frame._df, exprs, list(s.winsorize))
     aggs = []
     for i, (c, e) in enumerate(exprs.items()):
         v = R.clip(e, limits[c]) if limits.get(c) else e
         aggs += [_stat(stat, v, e).alias(f"v{i}"), _rows(frame, e).alias(f"n{i}")]
+    if stat == "median":
+        middle = quantiles(frame._df, exprs, [0.5])
+        aggs = [a for i, (c, e) in enumerate(exprs.items()) for a in (F.lit((middle[c] or [None])[0]).cast("double").alias(f"v{i}"), _rows(frame, e).alias(f"n{i}"))]
     row = frame._df.agg(*aggs).first()
     k = R.least_n(policy, min_n, _floor(stat))
     base = R.rounding(policy, round) if stat in R.STATS else None
@@ -241,14 +243,13 @@ def reduce_frame(frame: PrivateFrame, stat: str, min_n=None, round=None) -> R.Re
 def _orders(frame: PrivateFrame, exprs: dict[str, Column], points: dict[str, float]) -> dict[str, dict[str, float | None]]:
     """Order statistics of columns: released if enough rows lie on either side, ends included."""
     s = frame._policy.suppression
-    ps = F.array(*[F.lit(float(p)) for p in points.values()])
-    row = frame._df.agg(*[F.percentile(e.cast("double"), ps).alias(f"p{i}") for i, e in enumerate(exprs.values())]).first()
+    found = quantiles(frame._df, exprs, list(points.values()))
     aggs, at = [], []
-    for i, e in enumerate(exprs.values()):
-        for name, value in zip(points, row[i] or []):
+    for c, e in exprs.items():
+        for name, value in zip(points, found[c] or []):
             d = e.cast("double")
             aggs.append(F.least(F.count_if(d <= F.lit(value)), F.count_if(d >= F.lit(value))))
-            at.append((list(exprs)[i], name, value))
+            at.append((c, name, value))
     out: dict[str, dict[str, float | None]] = {c: dict.fromkeys(points) for c in exprs}
     if aggs:
         for (c, name, value), support in zip(at, frame._df.agg(*aggs).first()):
@@ -340,7 +341,7 @@ def histogram_long(me: PrivateColumn, bins=10, percent: bool = False) -> tuple[D
         spot = spot.when((v > a) & (v <= b), i)
     support = [frame._support] if frame._support else []
     cells = frame._df.select(spot.alias("bin"), *support).where("bin is not null").groupBy("bin").agg(_rows(frame, None).alias("n"))
-    total = F.sum("n").over(__import__("pyspark").sql.Window.partitionBy(F.lit(1)))
+    total = F.sum("n").over(Window.partitionBy(F.lit(1)))  # one row a bin
     count = F.col("n").cast("double")
     if policy.suppression.count_noise:
         count = R.noisy(policy, "count", count, F.col("n"), F.lit(me._name), F.col("bin"))

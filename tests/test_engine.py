@@ -38,8 +38,9 @@ def frame(spark, data):
 
 def rows(frame, column):
     """The private values, read behind the facade: tests only."""
-    name = frame._hide(column._expr)
-    return [r[0] for r in frame._df.select("pos", name).orderBy("pos").select(name).collect()]
+    own = frame.sort_values("pos")
+    aligned = own._align(column)
+    return [r[0] for r in own._df.select("pos", aligned.alias("value")).orderBy("pos").select("value").collect()]
 
 
 def same(got, want):
