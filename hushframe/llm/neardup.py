@@ -1,7 +1,8 @@
 """N-gram Jaccard join by MinHash banding.
 
-A document's set is the hashes of its runs of ``n`` consecutive words (white space splits words;
-a shorter text is one run). Documents with equal sets form a class, whose size is kept; the rest
+A document's set is the hashes of its runs of ``n`` consecutive words; words are runs of letters
+and digits (everything outside ASCII among them), with A-Z lower-cased, so that case and
+punctuation do not part copies. A shorter text is one run. Documents with equal sets form a class, whose size is kept; the rest
 is about one document of each class.
 
 * Bands: ``plan_bands`` takes the most rows a band and then the fewest bands that keep the chance
@@ -15,7 +16,7 @@ is about one document of each class.
 Connected parts come from rounds of large-star and small-star steps over tables in the shared
 folder; no link or part comes to the driver.
 
-Defined cases: null, empty and white-space texts have no set: no links, and a group of their own;
+Defined cases: null texts and texts without a word have no set: no links, and a group of their own;
 rows with one id are one document (if their texts differ, that of the smallest set hash counts);
 null ids take no part; an empty table gives no rows; other columns are ignored.
 """
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import PLAIN, Words, drop_kept, keep, mix, steps, table, text_buffers, windows
+from ._common import ALNUM, LOWER, Words, drop_kept, keep, mix, steps, table, text_buffers, windows
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.9995
 #: Documents in a block of a part that is verified.
@@ -47,7 +48,7 @@ def plan_bands(threshold: float = THRESHOLD, recall: float = RECALL, hashes: int
 
 def _grams(rows: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the runs of n words, and where each text's begin."""
-    w = Words(*text_buffers(rows.column(rows.schema.get_field_index("text"))), PLAIN)
+    w = Words(*text_buffers(rows.column(rows.schema.get_field_index("text"))), ALNUM, LOWER)
     h, size = w.hashes(), np.diff(w.bounds)
     left = np.repeat(w.bounds[1:], size) - np.arange(len(h))
     ok = left >= n
@@ -247,7 +248,7 @@ def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP2_SQL = r"""
-WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS t
   FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),

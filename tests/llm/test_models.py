@@ -216,7 +216,8 @@ def test_pipeline_against_plain_stages(spark, tmp_path):
     source = spark.read.parquet(f"{d}/documents.parquet")
     kept = {r.doc_id for r in quality.score_quality(source, quality.learnable(spark.read.parquet(f"{d}/labels.parquet"))).collect() if r.quality_score >= quality.CUT}
     texts = {i: t for i, t in rows if i in kept}
-    grams = {i: {tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for i, t in texts.items()}
+    words = {i: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower()) for i, t in texts.items()}
+    grams = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in words.items()}
     root = {i: i for i in texts}
     for i in sorted(texts):
         for j in sorted(texts):
@@ -245,7 +246,7 @@ def test_every_operator_has_one_query():
 def test_recall_of_the_join_on_planted_pairs(spark):
     rnd, rows = random.Random(9), []
     for k in range(60):  # pairs just above the threshold
-        w = [f"{k}w{rnd.random()}" for _ in range(200)]
+        w = [f"{k}w{rnd.randint(0, 10**9)}" for _ in range(200)]
         other = list(w)
         for p in range(20, 80, 20):
             other[p] = "x"
