@@ -8,6 +8,7 @@ are hashed the same way. All constants are fixed, so every task gets the same ha
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -177,7 +178,9 @@ def whole(bounds: np.ndarray, size: int) -> np.ndarray:
 
 
 def steps(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut record batches into pieces of at most ``limit`` bytes of ``column`` or one row."""
+    """Cut record batches into pieces of at most ``limit`` bytes of ``column`` or one row. Memory
+    that is freed goes back to the system, since a worker may live on beside other tasks."""
+    pa.set_memory_pool(pa.system_memory_pool())
     for batch in batches:
         i = batch.schema.get_field_index(column)
         sizes = np.diff(text_buffers(batch.column(i))[1])
@@ -189,6 +192,13 @@ def steps(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK_BYT
             total += int(s)
         if begin < len(sizes):
             yield batch.slice(begin)
+        _trim()
+
+
+def _trim() -> None:
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 # ---------------------------------------------------------------- compact numbers

@@ -10,7 +10,7 @@
    and only the vocabulary is shipped.
 
 Decoding looks every id up in the literal array of pieces and concatenates them; pieces travel
-as hexadecimal text, since Spark joins arrays of text only.
+as text with a character a byte, since Spark joins arrays of text only.
 
 Defined cases: null text is empty and has no ids; a null doc_id is kept; repeated rows give
 repeated results; an empty table gives no rows; other columns are ignored.
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from ._common import _pow, mix, steps, table, text_buffers
 
 #: Text bytes of a block.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 8 << 20
 
 # ---------------------------------------------------------------- split pattern
 
@@ -144,7 +145,8 @@ def merges(path: str) -> tuple[list[str], list[str], list[str]]:
 
 
 class Finder:
-    """Which ranks' pieces occur in words: by length, a bit table first, then a sorted search."""
+    """Which ranks' pieces occur in words: a place is followed as long as a piece may begin there
+    (a bit table of beginnings), and pieces are looked up by length."""
 
     def __init__(self, ranks: dict[bytes, int], byte_names: list[str]):
         self.byte = np.frombuffer("".join(byte_names).encode(), np.uint8).reshape(256, -1)
@@ -152,14 +154,17 @@ class Finder:
         for piece, rank in ranks.items():
             if len(piece) > 1:
                 by.setdefault(len(piece), []).append((piece, rank))
-        self.by = {}
+        self.by, self.alive = {}, np.zeros(1 << 22, bool)
+        for size in range(2, max(by, default=0) + 1):  # what pieces begin with
+            heads = sorted({p[:size] for k, own in by.items() if k >= size for p, _ in own})
+            flat = np.frombuffer(b"".join(heads), np.uint8)
+            self.alive[self._hash(flat, np.arange(len(heads)) * size, size) >> np.uint64(42)] = True
+            by.setdefault(size, [])
         for size, own in sorted(by.items()):
             flat = np.frombuffer(b"".join(p for p, _ in own), np.uint8)
             h = self._hash(flat, np.arange(len(own)) * size, size)
             order = np.argsort(h)
-            bits = np.zeros(1 << 20, bool)
-            bits[h >> np.uint64(44)] = True
-            self.by[size] = (h[order], np.array([r for _, r in own])[order], bits)
+            self.by[size] = (h[order], np.array([r for _, r in own])[order])
 
     @staticmethod
     def _run(data: np.ndarray) -> np.ndarray:
@@ -180,16 +185,22 @@ class Finder:
         longest = int(left.max(initial=0))
         keys = []
         at = np.arange(len(data))
-        for size, (h, rank, bits) in self.by.items():
+        for size, (h, rank) in self.by.items():
             if size > longest:
                 break
             at = at[left[at] >= size]
             own = self._hash(data, at, size, run)
-            maybe = np.flatnonzero(bits[own >> np.uint64(44)])
-            k = np.minimum(np.searchsorted(h, own[maybe]), len(h) - 1)
-            hit = h[k] == own[maybe]
-            keys.append(word[at[maybe[hit]]] << 16 | rank[k[hit]])
-        key = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+            on = self.alive[own >> np.uint64(42)]  # longer pieces can only go on from here
+            at, own = at[on], own[on]
+            if not len(at):
+                break
+            if len(h):
+                k = np.minimum(np.searchsorted(h, own), len(h) - 1)
+                hit = h[k] == own
+                keys.append(word[at[hit]] << 16 | rank[k[hit]])
+        key = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+        if len(key):
+            key = key[np.concatenate([[True], key[1:] != key[:-1]])]
         return (key & 0xFFFF).astype(np.int32), np.searchsorted(key, np.arange(n + 1) << 16).astype(np.int32)
 
 
@@ -207,11 +218,22 @@ def fold_word(word: Column, path: str) -> Column:
 
 # ---------------------------------------------------------------- blocks
 
+_finders: dict[int, Finder] = {}
+
+
+def _finder(ranks: dict[bytes, int], byte_names: list[str]) -> Finder:
+    """One for each vocabulary that a worker has met."""
+    key = zlib.crc32(b"".join(ranks)) ^ len(ranks)
+    if key not in _finders:
+        _finders[key] = Finder(ranks, byte_names)
+    return _finders[key]
+
+
 def _blocks(ranks: dict[bytes, int], byte_names: list[str]):
     """Blocks of documents: distinct words, and documents as word numbers."""
 
     def run(batches):
-        finder = Finder(ranks, byte_names)
+        finder = _finder(ranks, byte_names)
         known, code_of = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         words, ids, codes, sizes, total = [], [], [], [], 0
 
@@ -279,13 +301,17 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
 def decode(ids: Column, path: str) -> Column:
     """The bytes of an array of ids."""
-    pieces = {rank: piece.hex() for piece, rank in load_ranks(path).items()}
-    hexed = F.split(F.lit(",".join(pieces.get(i, "") for i in range(max(pieces) + 1))), ",")
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(hexed, i)), ""))
+    pieces = {rank: piece.decode("latin-1") for piece, rank in load_ranks(path).items()}
+    text = F.split(F.lit("\u0100".join(pieces.get(i, "") for i in range(max(pieces) + 1))), "\u0100", -1)
+    return F.encode(F.array_join(F.transform(ids, lambda i: F.get(text, i)), ""), "ISO-8859-1")
 
 
 def little_endian(ids: Column, size: int) -> Column:
     """An array of ids below ``size`` as unsigned 32-bit numbers, low byte first."""
+    if size <= 0xD800:  # an id is a character then, and 0 its upper half
+        chars = F.split(F.lit("\U00010000".join(chr(i) for i in range(size))), "\U00010000", -1)
+        joined = F.array_join(F.transform(ids, lambda i: F.get(chars, i)), "\u0000")
+        return F.encode(F.when(F.size(ids) > 0, F.concat(joined, F.lit("\u0000"))).otherwise(""), "UTF-16LE")
     hexed = F.split(F.lit(",".join(i.to_bytes(4, "little").hex() for i in range(size))), ",")
     return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(hexed, i)), ""))
 
