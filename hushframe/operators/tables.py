@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import DisclosureError
-from ..plans.quantiles import quantiles
+from ..plans.quantiles import grouped_quantiles, quantiles
 from . import release as R
 from .frame import PrivateColumn, PrivateFrame, is_numeric
 
@@ -54,8 +54,11 @@ def _grouped(frame, by, value, stats, min_n, round, names, k=None) -> DataFrame:
     limits = R.bounds(frame._df, v, policy) if numeric and any(s in R.MOMENTS for s in stats) else None
     aggs = [_rows(frame, None if stats == ["size"] else v).alias("__n")]
     for s in stats:
-        aggs.append(R.aggregate(s, R.clip(v, limits) if s in R.MOMENTS and v is not None else v).alias(f"__{s}"))
+        if s != "median":
+            aggs.append(R.aggregate(s, R.clip(v, limits) if s in R.MOMENTS and v is not None else v).alias(f"__{s}"))
     cells = df.groupBy(*by).agg(*aggs)
+    if "median" in stats:
+        cells = cells.join(grouped_quantiles(df, by, v, [0.5], "__q"), by, "left").withColumn("__median", F.col("__q")[0])
     base = R.rounding(policy, round)
     labels = [F.col(f"`{k}`") for k in by]
     out = []
@@ -78,7 +81,7 @@ def group_describe(frame: PrivateFrame, by: list[str], value: str) -> R.Released
     v = F.col(f"`{value}`").cast("double")
     df = _known(frame._df, by).where(v.isNotNull())
     p = [*(s.winsorize or (0.0, 1.0)), 0.25, 0.5, 0.75]
-    first = df.groupBy(*by).agg(F.percentile(v, F.array(*map(F.lit, p))).alias("p"), _rows(frame, v).alias("__n"))
+    first = df.groupBy(*by).agg(_rows(frame, v).alias("__n")).join(grouped_quantiles(df, by, v, p, "p"), by)
     kd = s.descriptive_n
     joined = df.join(first, by)
     w = F.least(F.greatest(v, F.col("p")[0]), F.col("p")[1])

@@ -7,7 +7,7 @@ fixed number of bins, pass after pass, until few enough values are left to pick
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Distinct values that one percentile may keep, and bins of a narrowing pass.
@@ -67,3 +67,20 @@ def _value_at(values: DataFrame, rank: int, low: float, high: float, inside: int
                 break
             rank -= r["m"]
     return low
+
+
+def grouped_quantiles(df: DataFrame, by: list[str], value: Column, points: list[float], out: str) -> DataFrame:
+    """by, ``out`` array: exact quantiles of each group from its value counts. Counting and sorting
+    spill to disk, so a group's distinct values need not fit into memory."""
+    counted = df.select(*[F.col(f"`{k}`") for k in by], value.cast("double").alias("__v")).where("__v is not null").groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__c"))
+    upto = F.sum("__c").over(Window.partitionBy(*by).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
+    total = F.sum("__c").over(Window.partitionBy(*by))
+    ranked = counted.select(*by, "__v", upto.alias("__u"), total.alias("__n"))
+    made, picks = [], []
+    for i, p in enumerate(points):
+        at = F.lit(float(p)) * (F.col("__n") - 1)
+        low = F.floor(at)
+        high = F.least(low + 1, F.col("__n") - 1)
+        picks += [F.min(F.when(F.col("__u") > low, F.col("__v"))).alias(f"__a{i}"), F.min(F.when(F.col("__u") > high, F.col("__v"))).alias(f"__b{i}"), F.first(at - low).alias(f"__s{i}")]
+        made.append(F.col(f"__a{i}") + (F.col(f"__b{i}") - F.col(f"__a{i}")) * F.col(f"__s{i}"))
+    return ranked.groupBy(*by).agg(*picks).select(*by, F.array(*made).alias(out))
