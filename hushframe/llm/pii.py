@@ -1,7 +1,7 @@
 """Surrogates for personal data, in DataFrame functions only.
 
-Detected: mail addresses, IPv4 addresses, phone and card numbers, access keys, secrets after
-``password=`` and the like, and names after a title. An entity is replaced by a surrogate drawn
+Detected: mail addresses, IPv4 addresses, phone, card, account and social-security numbers, access
+keys, secrets after ``password=`` and the like, and names after a title. An entity is replaced by a surrogate drawn
 from a keyed hash of its normal form, so every mention of it, in whatever spelling, gets the same
 one. A surrogate keeps type and format: digits become digits and letters letters of the same case,
 separators, country code, mail top-level domain and card check digit stay valid, addresses stay
@@ -35,13 +35,15 @@ MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1
 IP = r"(?<![0-9.])(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}(?![0-9]|\.[0-9])"
 CARD = r"(?<![0-9A-Za-z])(?:[0-9]{4}[ -]?){3}[0-9]{4}(?![0-9A-Za-z])"
 PHONE = r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,4}\)?){2,5}(?![0-9A-Za-z])"
-ACCESS = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
+ACCESS = r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,80}|sk-[A-Za-z0-9_-]{20,120})(?![A-Za-z0-9])"
+SOCIAL = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"
+IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"
 SECRET = r"(?i:(?<![a-z])(?:password|passwd|pwd|secret|token|api_?key)\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9+/_-]{8,512}+"
 FEMALE, MALE, ANY = ("Mrs", "Ms", "Miss", "Frau", "Mme", "Madame", "Señora", "Sra", "г-жа"), ("Mr", "Herr", "Monsieur", "Señor", "Sr", "г-н"), ("Dr", "Prof")
 NAME = r"(?<![\p{L}\p{N}])(?:" + "|".join((*FEMALE, *MALE, *ANY)) + r")\.? \p{Lu}\p{Ll}{1,30}(?: \p{Lu}\p{Ll}{1,30})?(?![\p{L}\p{N}])"
-ENTITY = "|".join(f"(?:{p})" for p in (MAIL, ACCESS, SECRET, IP, CARD, PHONE, NAME))
+ENTITY = "|".join(f"(?:{p})" for p in (MAIL, ACCESS, SECRET, IP, CARD, SOCIAL, IBAN, PHONE, NAME))
 #: A text without any of these has no entity.
-HINT = r"[0-9@]|[=:]|" + "|".join((*FEMALE, *MALE, *ANY))
+HINT = r"[0-9@=:]|sk-|xox|gh[pousr]_|" + "|".join((*FEMALE, *MALE, *ANY))
 
 # Syllables for names, which are built by rule and so never run out.
 LATIN = ("ba be bo da de do fa fe ga go ha he ka ke la le lo ma me mi na ne no pa pe ra re ri ro sa se so ta te to va ve vi", "n", "a")
@@ -108,7 +110,7 @@ def _surrogate(kind: Column, form: Column, attempt: Column, key: str) -> Column:
         local, domain = F.substring_index(form, "@", 1), F.substring_index(form, "@", -1)
         labels = F.split(domain, r"\.")
         top = F.element_at(labels, -1)
-        sub = F.concat(F.slice(labels, F.lit(1), F.greatest(F.size(labels) - 2, F.lit(0))))
+        sub = F.slice(labels, F.lit(1), F.greatest(F.size(labels) - 2, F.lit(0)))
         mail = F.concat(
             _spell(local, h), F.lit("@"),
             F.array_join(F.concat(F.transform(sub, lambda x: _spell(x, h)), F.array(F.lit("example"), F.when(top.isin(*RESERVED), top).otherwise("org"))), "."),
@@ -123,13 +125,12 @@ def _surrogate(kind: Column, form: Column, attempt: Column, key: str) -> Column:
         rest = F.substring(form, F.char_length(plain) + 1, F.lit(64))
         lead = (F.pmod(_number(h, 33), F.lit(8)) + 2).cast("string")
         phone = F.concat(plain, lead, F.substring(_spell(rest, h), 2, 64))
-        access = F.concat(F.substring(form, 1, 4), F.substring(_spell(form, h), 5, 16))
-        hexed = F.translate(_spell(F.translate(form, "abcdef", "000000"), h), "", "")
-        secret = F.when(form.rlike("^[0-9a-f]+$"), F.substring(F.repeat(F.concat(h, _digest(h), hexed), F.ceil(F.char_length(form) / 128).cast("int")), F.lit(1), F.char_length(form))).otherwise(_spell(form, h))
+        access = F.concat(F.substring(form, 1, 4), F.substring(_spell(form, h), 5, 200))
+        secret = F.when(form.rlike("^[0-9a-f]+$"), F.substring(F.repeat(F.concat(h, _digest(h)), F.ceil(F.char_length(form) / 128).cast("int")), F.lit(1), F.char_length(form))).otherwise(_spell(form, h))
         part, script = F.substring_index(kind, ":", -1), F.when(form.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
         return (
             F.when(kind == "mail", mail).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone)
-            .when(kind == "access", access).when(kind == "secret", secret).otherwise(_name(h, part, script))
+            .when(kind.isin("access", "iban"), access).when(kind == "social", spelled).when(kind == "secret", secret).otherwise(_name(h, part, script))
         )
 
     return _let(_digest(F.lit(key), kind, form, attempt.cast("string")), made)
@@ -152,6 +153,8 @@ def _mentions(entity: Column) -> Column:
         .when(whole(ACCESS), F.array(pair(F.lit("access"), entity)))
         .when(whole(IP), F.array(pair(F.lit("ip"), entity)))
         .when(whole(CARD), F.array(pair(F.lit("card"), digits)))
+        .when(whole(SOCIAL), F.array(pair(F.lit("social"), digits)))
+        .when(whole(IBAN), F.array(pair(F.lit("iban"), F.replace(entity, F.lit(" "), F.lit("")))))
         .when(whole(PHONE), F.array(pair(F.lit("phone"), phone)))
         .otherwise(names)
     )
@@ -171,7 +174,8 @@ def _lay(entity: Column, kind: Column, drawn: Column) -> Column:
     tail = F.regexp_extract(entity, r"([A-Za-z0-9+/_-]+)$", 1)
     prefix = F.substring(entity, F.lit(1), F.char_length(entity) - F.char_length(tail))
     return (
-        F.when(kind.isin("card", "phone"), fill)
+        F.when(kind.isin("card", "phone", "social"), fill)
+        .when(kind == "iban", F.when(entity.contains(" "), F.rtrim(F.regexp_replace(one, "(.{4})", "$1 "))).otherwise(one))
         .when(kind == "mail", F.when(upper, F.upper(one)).otherwise(one))
         .when(kind == "secret", F.concat(prefix, one))
         .when(kind.startswith("name"), F.concat(F.regexp_extract(entity, r"^\S+ ", 0), F.array_join(drawn, " ")))
