@@ -23,6 +23,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,7 +56,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def _packer(rows: int, key: str):
     def run(batches):
         ids, mats, held, n = [], [], 0, 0
-        part = __import__("pyspark").TaskContext.get().partitionId()
+        part = TaskContext.get().partitionId()
 
         def out(ids, mats, n):
             i, m = np.concatenate(ids), np.concatenate(mats)
@@ -78,7 +79,7 @@ def _packer(rows: int, key: str):
     return run
 
 
-def nra(q: np.ndarray, qid: np.ndarray, m: np.ndarray, ids: np.ndarray, k: int, kinds: tuple = DEPTHS):
+def nra(q: np.ndarray, qid: np.ndarray, m: np.ndarray, ids: np.ndarray, k: int, depths: tuple = DEPTHS):
     """For each query (row of q) the k best rows of m: (query number, row number, score)."""
     n, d = m.shape
     limit = float(np.abs(q).max(initial=0)) * float(np.abs(m).max(initial=0)) * max(d, 1)
@@ -91,7 +92,7 @@ def nra(q: np.ndarray, qid: np.ndarray, m: np.ndarray, ids: np.ndarray, k: int,
     np.put_along_axis(rank, order, np.arange(n)[:, None], axis=0)
     low, high = rows.min(axis=0), rows.max(axis=0)
     alive = np.ones((len(q), n), bool)
-    for share in kinds:
+    for share in depths:
         t = int(n * share)
         if n <= 4 * k or t < 1 or t >= n:
             continue
