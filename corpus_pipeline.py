@@ -13,20 +13,23 @@ from pyspark.sql import functions as F
 from hushframe.llm import bpe, decontaminate, neardup, pii, quality
 from hushframe.llm._common import keep, table
 
+#: A column that the stages add and take away again.
+OWN = "__hushframe"
+
 
 def drop_junk(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
-    scored = quality.score_quality(docs, quality.learnable(table(spark, sf_dir, "labels")))
-    return scored.where(F.col("quality_score") >= quality.CUT).drop("quality_score")
+    scored = quality.score_quality(docs, quality.learnable(table(spark, sf_dir, "labels")), out=OWN)
+    return scored.where(F.col(OWN) >= quality.CUT).drop(OWN)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: that of the smallest doc_id, and of rows
     with one doc_id that of the smallest text. Rows without a doc_id stay."""
-    classes = neardup.jaccard_classes(docs).select(F.col("doc_id").alias("kept_id"), "class_id").where("kept_id = class_id").select("kept_id")
-    stay = docs.join(classes.hint("merge"), docs["doc_id"] == F.col("kept_id"), "left_semi")
+    classes = neardup.jaccard_classes(docs).where("doc_id = class_id").select(F.col("doc_id").alias(OWN))
+    stay = docs.join(classes.hint("merge"), docs["doc_id"] == classes[OWN], "left_semi")
     first = Window.partitionBy("doc_id").orderBy("text")
-    one = stay.withColumn("kept_row", F.row_number().over(first)).where("kept_row = 1").drop("kept_row")
+    one = stay.withColumn(OWN, F.row_number().over(first)).where(F.col(OWN) == 1).drop(OWN)
     return one.unionByName(docs.where("doc_id is null"))
 
 
@@ -37,7 +40,7 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data give way to surrogates."""
-    return pii.replace_pii(docs).drop("n_entities")
+    return pii.replace_pii(docs, out=OWN).drop(OWN)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -204,8 +204,9 @@ def draw(forms: DataFrame, key: str) -> DataFrame:
             return done
 
 
-def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """The rows of ``docs`` with entities of ``text`` replaced, plus ``n_entities``."""
+def replace_pii(docs: DataFrame, key: str = KEY, out: str = "n_entities") -> DataFrame:
+    """The rows of ``docs`` with entities of ``text`` replaced, plus their number as ``out``. A
+    column ``n_chars`` counts the new text."""
     columns = docs.columns
     row = F.struct(*[F.col(f"`{c}`") for c in columns])
     wrapped = docs.select(row.alias("row"), F.col("text").alias("text"))
@@ -236,8 +237,8 @@ def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
     same = wrapped.where(~some).select("row", "text", F.lit(0).alias("n"))
     both = changed.unionByName(same)
     kinds = dict(docs.dtypes)
-    out = [F.col("text") if c == "text" else F.when(F.col("n") > 0, F.char_length("text").cast(kinds[c])).otherwise(F.col("row")[c]).alias(c) if c == "n_chars" else F.col("row")[c].alias(c) for c in columns]
-    return both.select(*out, F.col("n").cast("long").alias("n_entities"))
+    kept = [F.col("text") if c == "text" else F.when(F.col("n") > 0, F.char_length("text").cast(kinds[c])).otherwise(F.col("row")[c]).alias(c) if c == "n_chars" else F.col("row")[c].alias(c) for c in columns]
+    return both.select(*kept, F.col("n").cast("long").alias(out))
 
 
 def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,6 +35,8 @@ ROWS = BUCKETS + SHAPES
 SAMPLE = 20_000
 RANGES = 16
 CUT = 0.7
+#: Text bytes of one numpy step: vectors of all its words are in memory.
+STEP_BYTES = 256 << 10
 
 
 def index_vectors() -> np.ndarray:
@@ -71,7 +73,7 @@ def _contexts(batches):
     index = index_vectors()
     total = np.zeros((ROWS, DIM))
     seen = False
-    for rows in steps(batches, "text"):
+    for rows in steps(batches, "text", STEP_BYTES):
         word, shape, bounds = _units(rows)
         seen = True
         if not len(word):
@@ -180,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, sample: int =
     shared = sc.broadcast(vectors)
 
     def run(batches):
-        for rows in steps(batches, "text"):
+        for rows in steps(batches, "text", STEP_BYTES):
             x = pooled(shared.value, rows)
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(list(x.astype(np.float32)), pa.list_(pa.float32()))], ["doc_id", "quality", "x"])
 
@@ -191,8 +193,8 @@ def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, sample: int =
     return Network(x, np.array([r["quality"] for r in rows], np.float64))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs`` with ``quality_score`` (0 to 1, higher: label 1 likelier)."""
+def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, out: str = "quality_score") -> DataFrame:
+    """The rows of ``docs`` with a column ``out`` (0 to 1, higher: label 1 likelier)."""
     vectors = word_vectors(docs)
     net = train(docs, labels, vectors, sample)
     shared = docs.sparkSession.sparkContext.broadcast((vectors, net))
@@ -200,11 +202,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
 
     def run(batches):
         vectors, net = shared.value
-        for rows in steps(batches, "text"):
+        for rows in steps(batches, "text", STEP_BYTES):
             s = net.predict(pooled(vectors, rows).astype(np.float64))
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(s, pa.float64())], [*rows.schema.names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(s, pa.float64())], [*rows.schema.names, out])
 
-    kept = StructType([*docs.schema.fields, StructField("quality_score", DoubleType())])
+    kept = StructType([*docs.schema.fields, StructField(out, DoubleType())])
     return docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, kept)
 
 

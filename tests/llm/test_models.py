@@ -262,3 +262,26 @@ def test_removed_spans(spark):
     got = {r.doc_id: r for r in decontaminate.remove_contamination(df, bench).collect()}
     assert got[2].text == "one two three" and got[2].n_chars == 13
     assert got[1].text.startswith("Keep é") and got[1].n_chars == len(got[1].text)
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    rows, quality_of = prose(60, 4)
+    good = next(i for i in quality_of if quality_of[i])
+    text = dict(rows)[good]
+    rows += [(None, text), (None, None), (good, text), (800, None), (801, ""), (802, "long " * 30_000 + "ann@example.com"), (803, text)]
+    clash = ["quality_score", "n_entities", "kept_id", "row", "entities", "at", "ids", "codes", "class_id", "n", "part"]
+    t = docs(rows, **{c: [f"{c}{i}" for i in range(len(rows))] for c in clash})
+    labels = pa.table({"doc_id": pa.array([*quality_of, None], pa.int64()), "quality": pa.array([*quality_of.values(), None], pa.int32()), "toxic": [0] * (len(quality_of) + 1)})
+    bench = pa.table({"item_id": pa.array([1, None], pa.int64()), "text": ["no such words here", None]})
+    d = write(tmp_path, documents=t, labels=labels, benchmark=bench)
+    source = spark.read.parquet(f"{d}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, source, d)
+        assert out.schema.names == source.schema.names
+        own = {(r.doc_id, r.text): r for r in out.collect()}
+        assert own and all(r.row.startswith("row") and r.n_entities.startswith("n_entities") for r in own.values())
+        assert stage(spark, source.limit(0), d).count() == 0
+    groups = [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, source, d).collect()]
+    assert groups.count(good) == 1 and 803 not in groups and groups.count(None) == 2
+    last = corpus_pipeline.encode(spark, source, d)
+    assert last.count() == len(rows) and {r.text for r in last.where("doc_id in (800, 801)").collect()} == {""}
