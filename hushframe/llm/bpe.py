@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ._common import _pow, mix, steps, table, text_buffers
 
 #: Text bytes of a block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 
 # ---------------------------------------------------------------- split pattern
 
