@@ -1,135 +1,178 @@
 """Cross-entropy difference of a target and a background language model.
 
-Both models are bigram models over one vocabulary of hashed words, with the same smoothing; the
+Both models are bigram models over the words of the corpus, with the same smoothing; the
 background's counts are scaled to the target's number of words, so that the two differ by what
 they have seen and not by how much. A document's score is the mean over its words of the loss
 under the target model less the loss under the background model: lower is more like the target.
 
-Counts are exact sums over all documents. A task adds up its documents in arrays of fixed size and
-gives them away as packed ranges, which are summed by range; the model has the same bounded size
-whatever the corpus.
+Counts are exact sums over all documents of all words and pairs that occur (64-bit hashes of
+them), so the models grow with the corpus and nothing of them is collected or broadcast. Documents
+are dealt by id into blocks of about BLOCK_BYTES. A block gives its distinct words and pairs with
+their counts, packed by range of the hash; a range adds them up and gives each block the totals of
+what it asked for, and the block scores its documents by them. Blocks and ranges grow in number,
+not in size. Only three sums (words of the target, words, bytes) reach the driver.
 
 Defined cases: a text without words (null, empty, white space) scores 0 with 0 words; an id that
 is labelled more than once is a target if any label says so; without targets the models are equal
 up to smoothing; a null doc_id is never a target; repeated rows count as often as they are there;
-an empty table gives no rows; other columns are ignored.
+an empty table gives no rows; other columns are ignored. Rows of one doc_id lie in one block.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ._common import PLAIN, Words, mix, planes, steps, table, text_buffers, unplanes
 
-#: Hashed words, hashed pairs of words, and ranges in which counts travel.
-WORDS, PAIRS, RANGES = 1 << 17, 1 << 20, 64
+#: Words that the smoothing allows for, seen or not.
+WORDS = 1 << 17
 #: Weight of pairs against single words, and counts added to each word.
 MIX, ADD = 0.6, 0.1
-CELLS = WORDS + PAIRS
+#: Text bytes of a block, and text bytes whose words and pairs a range of hashes holds.
+BLOCK_BYTES = 8 << 20
 
 
 def _ids(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word number, pair number and number of the word before, of each word; bounds of texts."""
+    """Hash of each word and of its pair with the word before, whether there is one; bounds of texts."""
     w = Words(*text_buffers(rows.column(rows.schema.get_field_index("text"))), PLAIN)
     h = w.hashes()
-    word = (h % np.uint64(WORDS)).astype(np.int64)
     before = np.concatenate([[np.uint64(0)], h[:-1]]) if len(h) else h
-    begin = w.bounds[:-1][np.diff(w.bounds) > 0]
-    before[begin] = 0  # the border before a text
-    pair = (mix(before * np.uint64(0x9E3779B97F4A7C15) + h) % np.uint64(PAIRS)).astype(np.int64)
-    first = (before % np.uint64(WORDS)).astype(np.int64)
-    first[begin] = -1
-    return word, pair, first, w.bounds
+    inner = np.ones(len(h), bool)
+    inner[w.bounds[:-1][np.diff(w.bounds) > 0]] = False
+    pair = mix(mix(before * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)) + h)
+    return h, pair, inner, w.bounds
 
 
-def _count(batches):
-    total = np.zeros((2, CELLS), np.int64)
-    seen = False
+def _sizes(batches):
     for rows in steps(batches, "text"):
-        word, pair, _, bounds = _ids(rows)
-        target = rows.column(rows.schema.get_field_index("target")).to_numpy(zero_copy_only=False).astype(bool)
-        of_target = np.repeat(target, np.diff(bounds))
-        seen = True
-        for k, pick in ((0, of_target), (1, slice(None))):
-            total[k, :WORDS] += np.bincount(word[pick], minlength=WORDS)
-            total[k, WORDS:] += np.bincount(pair[pick], minlength=PAIRS)
-    if not seen:
-        return
-    size = CELLS // RANGES
-    out = {"part": [], "at": [], "target": [], "background": []}
-    for p in range(RANGES):
-        own = total[:, p * size : (p + 1) * size]
-        at = np.flatnonzero(own[1])
-        out["part"].append(p)
-        out["at"].append(planes(np.diff(at, prepend=0).astype(np.uint32)))
-        out["target"].append(planes(own[0, at]))
-        out["background"].append(planes(own[1, at]))
-    yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int32() if k == "part" else pa.binary()) for k, v in out.items()})
-
-
-def _sum(key, t):
-    size = CELLS // RANGES
-    total = np.zeros((2, size), np.int64)
-    for k in range(t.num_rows):
-        at = np.cumsum(unplanes(t.column("at")[k].as_buffer(), np.uint32).astype(np.int64))
+        data, offsets = text_buffers(rows.column(rows.schema.get_field_index("text")))
+        yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(Words(data, offsets, PLAIN).bounds).astype(np.int64)), pa.array(np.diff(offsets))], ["doc_id", "words", "bytes"])
+
+
+def _counted(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *keys]), return_counts=True)
+
+
+def _distinct(docs: pa.Table) -> np.ndarray:
+    """Hashes of the words and pairs of a block, in order."""
+    own = []
+    for rows in steps(docs.select(["doc_id", "text"]).to_batches(), "text"):
+        word, pair, inner, _ = _ids(rows)
+        own.append(np.unique(np.concatenate([word, pair[inner]])))
+    return _counted(own)[0]
+
+
+def _ask(ranges: int):
+    borders = np.array([(p << 64) // ranges for p in range(1, ranges)], np.uint64)
+
+    def run(key, docs, good):
+        ids = good.column("doc_id").combine_chunks()
+        every, target = [], []
+        for rows in steps(docs.select(["doc_id", "text"]).to_batches(), "text"):
+            word, pair, inner, bounds = _ids(rows)
+            of_target = np.repeat(pc.is_in(rows.column(0), ids, skip_nulls=True).to_numpy(zero_copy_only=False), np.diff(bounds))
+            every += [word, pair[inner]]
+            target += [word[of_target], pair[inner & of_target]]
+        hashes, background = _counted(every)
+        own, n = _counted(target)
+        count = np.zeros(len(hashes), np.int64)
+        count[np.searchsorted(hashes, own)] = n
+        at = np.concatenate([[0], np.searchsorted(hashes, borders), [len(hashes)]])
+        out = {"part": [], "block": [], "hashes": [], "target": [], "background": []}
+        for p in range(ranges):
+            a, b = at[p], at[p + 1]
+            if a < b:
+                out["part"].append(p)
+                out["block"].append(key[0].as_py())
+                out["hashes"].append(planes(np.diff(hashes[a:b], prepend=np.uint64(0))))
+                out["target"].append(planes(count[a:b]))
+                out["background"].append(planes(background[a:b].astype(np.int64)))
+        return pa.table({k: pa.array(v, pa.int32() if k in ("part", "block") else pa.binary()) for k, v in out.items()})
+
+    return run
+
+
+def _hashes(cell) -> np.ndarray:
+    return np.cumsum(unplanes(cell.as_buffer(), np.uint64), dtype=np.uint64)
+
+
+def _answer(key, t):
+    asked = [_hashes(c) for c in t.column("hashes")]
+    every = np.unique(np.concatenate(asked))
+    total = np.zeros((2, len(every)), np.int64)
+    for k, own in enumerate(asked):
+        at = np.searchsorted(every, own)
         total[0, at] += unplanes(t.column("target")[k].as_buffer(), np.int64)
         total[1, at] += unplanes(t.column("background")[k].as_buffer(), np.int64)
-    return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "target": pa.array([planes(total[0])], pa.binary()), "background": pa.array([planes(total[1])], pa.binary())})
+    answers = [total[:, np.searchsorted(every, own)] for own in asked]
+    cells = {"target": pa.array([planes(a[0]) for a in answers], pa.binary()), "background": pa.array([planes(a[1]) for a in answers], pa.binary())}
+    return pa.table({"part": t.column("part"), "block": t.column("block"), **cells})
 
 
-def train(docs: DataFrame) -> np.ndarray:
-    """Counts of the target (row 0) and of all documents (row 1) in docs (text, target boolean)."""
-    parts = docs.select("text", "target").mapInArrow(_count, "part int, at binary, target binary, background binary")
-    total = np.zeros((2, CELLS), np.int64)
-    size = CELLS // RANGES
-    for r in parts.groupBy("part").applyInArrow(_sum, "part int, target binary, background binary").collect():  # RANGES rows of fixed size
-        for k, c in enumerate(("target", "background")):
-            total[k, r["part"] * size : (r["part"] + 1) * size] = unplanes(bytes(r[c]), np.int64)
-    return total
-
-
-def losses(counts: np.ndarray, word: np.ndarray, pair: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Loss of each word under the target (row 0) and the background model (row 1), in nats."""
-    masses = counts[:, :WORDS].sum(axis=1)
+def losses(counts: np.ndarray, masses, word: np.ndarray, pair: np.ndarray, before: np.ndarray, inner: np.ndarray) -> np.ndarray:
+    """Loss of each word under the target (row 0) and the background model (row 1), in nats. word,
+    pair and before are places in counts; pair and before are read only where inner says so."""
     out = []
     for k in (0, 1):
         scale = masses[0] / masses[1] if k == 1 and masses[0] and masses[1] else 1.0
         c = counts[k] * scale
         single = (c[word] + ADD) / (masses[k] * scale + ADD * WORDS)
-        context = np.where(first >= 0, c[np.maximum(first, 0)], c[WORDS + pair])
-        seen = c[WORDS + pair]
-        double = np.where(context > 0, np.minimum(seen / np.where(context > 0, context, 1), 1.0), 0.0)
-        weight = np.where((first >= 0) & (context > 0), MIX, 0.0)
+        context = np.where(inner, c[before], 0.0)
+        double = np.where(context > 0, np.minimum(c[pair] / np.where(context > 0, context, 1), 1.0), 0.0)
+        weight = np.where(context > 0, MIX, 0.0)
         out.append(-np.log(weight * double + (1 - weight) * single))
     return np.stack(out)
 
 
-def score(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """doc_id, n_words, loss_target, loss_background (means), difference."""
-    model = docs.sparkSession.sparkContext.broadcast(counts.astype(np.uint32) if counts.max(initial=0) < 1 << 32 else counts)
-
-    def run(batches):
-        for rows in steps(batches, "text"):
-            word, pair, first, bounds = _ids(rows)
-            both = losses(model.value, word, pair, first)
+def _score(masses, kind: pa.DataType):
+    schema = pa.schema([("doc_id", kind), ("n_words", pa.int64()), ("loss_target", pa.float64()), ("loss_background", pa.float64()), ("difference", pa.float64())])
+
+    def run(docs, answers):
+        answers = answers.sort_by("part")
+        hashes = _distinct(docs)  # in the order in which they were asked for
+        counts = np.stack([np.concatenate([np.zeros(0, np.int64), *(unplanes(c.as_buffer(), np.int64) for c in answers.column(k))]) for k in ("target", "background")])
+        if len(hashes) != counts.shape[1]:
+            raise RuntimeError("a block has not got the counts of its words")
+        out = []
+        for rows in steps(docs.select(["doc_id", "text"]).to_batches(), "text"):
+            word, pair, inner, bounds = _ids(rows)
+            own, back = np.unique(np.concatenate([word, pair[inner]]), return_inverse=True)
+            at = np.searchsorted(hashes, own)
+            word, pairs = back[: len(word)], np.zeros(len(word), np.int64)
+            pairs[inner] = back[len(word) :]
+            both = losses(counts[:, at], masses, word, pairs, np.concatenate([word[:1], word[:-1]]), inner)
             n = np.diff(bounds)
             sums = np.diff(np.concatenate([np.zeros((2, 1)), np.cumsum(both, axis=1)], axis=1)[:, bounds], axis=1)
             mean = sums / np.maximum(n, 1)
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n.astype(np.int64)), pa.array(mean[0]), pa.array(mean[1]), pa.array(mean[0] - mean[1])], ["doc_id", "n_words", "loss_target", "loss_background", "difference"])
+            out.append(pa.RecordBatch.from_arrays([rows.column(0), pa.array(n.astype(np.int64)), pa.array(mean[0]), pa.array(mean[1]), pa.array(mean[0] - mean[1])], schema=schema))
+        return pa.Table.from_batches(out, schema)
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words long, loss_target double, loss_background double, difference double")
+    return run
 
 
-def mark_targets(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text and target: whether labels (doc_id, quality) mark the document's quality 1."""
-    good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("q")).where("q = 1").select(F.col("doc_id"), F.lit(True).alias("good"))
-    return docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("target"))
+def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, n_words, loss_target, loss_background (means), difference. The target are the
+    documents whose quality labels (doc_id, quality) give as 1."""
+    kind = dict(docs.dtypes)["doc_id"]
+    good = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast(kind).alias("doc_id")).agg(F.max("quality").alias("q")).where("q = 1").select("doc_id")
+    sizes = docs.select("doc_id", "text").mapInArrow(_sizes, f"doc_id {kind}, words long, bytes long").groupBy("doc_id").agg(F.sum("words").alias("words"), F.sum("bytes").alias("bytes"))
+    marked = sizes.join(good.withColumn("good", F.lit(True)), "doc_id", "left")
+    words_of_target, words, size = marked.agg(F.sum(F.when(F.col("good"), F.col("words"))), F.sum("words"), F.sum("bytes")).first()
+    masses, blocks = (words_of_target or 0, words or 0), max(1, -(-(size or 0) // BLOCK_BYTES))
+    block = lambda by: F.pmod(F.xxhash64(by), F.lit(blocks)).cast("int").alias("block")
+    dealt = docs.select(block(F.coalesce(F.col("doc_id").cast("string"), "text")), "doc_id", "text")
+    chosen = good.select(block(F.col("doc_id").cast("string")), "doc_id")
+    packed = "part int, block int, hashes binary, target binary, background binary"
+    asked = dealt.groupBy("block").cogroup(chosen.groupBy("block")).applyInArrow(_ask(blocks), packed)
+    answers = asked.groupBy("part").applyInArrow(_answer, "part int, block int, target binary, background binary")
+    arrow = to_arrow_type(docs.schema["doc_id"].dataType)
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(masses, arrow), f"doc_id {kind}, n_words long, loss_target double, loss_background double, difference double")
 
 
 def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return score(docs, train(mark_targets(docs, table(spark, sf_dir, "labels"))))
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -285,3 +285,17 @@ def test_stages_on_odd_rows(spark, tmp_path):
     assert groups.count(good) == 1 and 803 not in groups and groups.count(None) == 2
     last = corpus_pipeline.encode(spark, source, d)
     assert last.count() == len(rows) and {r.text for r in last.where("doc_id in (800, 801)").collect()} == {""}
+
+
+def test_language_model_keeps_all_words_and_pairs_apart(spark, tmp_path, monkeypatch):
+    """More words and pairs than any fixed table of 2**17 and 2**20 cells holds apart."""
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 1 << 20)
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(2000))) for i in range(600)]
+    rows.append((None, "w0x0 w0x1"))
+    labels = pa.table({"doc_id": pa.array([0], pa.int64()), "quality": pa.array([1], pa.int32()), "toxic": [0]})
+    got = {r.doc_id: r for r in lm.op3_lm(spark, write(tmp_path, documents=docs(rows), labels=labels)).collect()}
+    assert len(got) == 601
+    # no other document has a word of the target, so all have the loss of unseen words alone
+    unseen = -np.log(lm.ADD / (2000 + lm.ADD * lm.WORDS))
+    assert all(got[i].loss_target == pytest.approx(unseen) for i in range(1, 600))
+    assert got[None].n_words == 2 and got[None].loss_target < got[1].loss_target
