@@ -295,8 +295,7 @@ def merge_inner(spark, sf):
 
 def _outer(how):
     def run(spark, sf):
-        d = bind(spark, sf, "documents").where("doc_id", "<", 500)
-        f = d.merge(bind(spark, sf, "labels"), on="doc_id", how=how)
+        f = bind(spark, sf, "documents").merge(bind(spark, sf, "labels"), on="doc_id", how=how)
         lang, quality = f.lang.fillna("none"), f.quality.fillna(9)
         return cells(f.assign(g=lang.str.cat(quality.astype("str"), "/")).groupby("g").size())
 

@@ -38,3 +38,13 @@ def test_entry(spark):
     assert entry.entry(spark).count() == 3
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(QUERIES) <= set(entry.queries())
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="needs the test tables")
+@pytest.mark.parametrize("how", ["left", "right", "outer"])
+def test_outer_joins_take_whole_tables(spark, how):
+    sf, kind = "/root/testdata/sf0.1", {"left": "LEFT", "right": "RIGHT", "outer": "FULL"}[how]
+    want = duckdb.sql(f"""SELECT coalesce(lang, 'none') || '/' || coalesce(quality, 9) AS g, count(*) AS n
+FROM '{sf}/documents.parquet' {kind} JOIN '{sf}/labels.parquet' USING (doc_id) GROUP BY 1 HAVING count(*) >= 5""").fetchall()
+    got = {r.g: r.value for r in QUERIES[f"merge_{how}"](spark, sf).collect() if r.value is not None}
+    assert got == dict(want)
