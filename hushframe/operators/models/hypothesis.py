@@ -25,12 +25,12 @@ def _shown(frame, n: int) -> int:
     return round(n / base) * base if base else n
 
 
-def _groups(frame: PrivateFrame, value: str, by: str, exactly: int | None = None) -> list:
+def _two_groups(frame: PrivateFrame, value: str, by: str) -> list:
     frame._need(value, by)
     v = F.col(f"`{value}`").cast("double")
-    rows = frame._df.where(v.isNotNull() & F.col(f"`{by}`").isNotNull()).groupBy(by).agg(F.count(v), F.avg(v), F.var_samp(v)).orderBy(by).limit(10_001).collect()
-    if len(rows) < 2 or exactly and len(rows) != exactly:
-        raise DisclosureError(f"the test needs {exactly or 'at least 2'} groups")
+    rows = frame._df.where(v.isNotNull() & F.col(f"`{by}`").isNotNull()).groupBy(by).agg(F.count(v), F.avg(v), F.var_samp(v)).orderBy(by).limit(3).collect()
+    if len(rows) != 2:
+        raise DisclosureError("the test needs 2 groups")
     if any(r[1] < frame._policy.suppression.descriptive_n for r in rows):
         raise DisclosureError("a group has too few rows")
     return rows
@@ -44,7 +44,7 @@ def ttest(frame: PrivateFrame, value: str, by: str | None = None, mu: float = 0.
             raise DisclosureError("too few rows, or no variation")
         t = (mean - mu) / math.sqrt(var / n)
         return _out("ttest", t, dist.t_sf2(t, n - 1), _shown(frame, n), df=n - 1 if not frame._policy.round_to else None)
-    (_, n1, m1, v1), (_, n2, m2, v2) = _groups(frame, value, by, 2)
+    (_, n1, m1, v1), (_, n2, m2, v2) = _two_groups(frame, value, by)
     a, b = v1 / n1, v2 / n2
     if a + b == 0:
         raise DisclosureError("there is no variation")
@@ -54,15 +54,23 @@ def ttest(frame: PrivateFrame, value: str, by: str | None = None, mu: float = 0.
 
 
 def anova(frame: PrivateFrame, value: str, by: str) -> Released:
-    rows = _groups(frame, value, by)
-    n = sum(r[1] for r in rows)
-    mean = sum(r[1] * r[2] for r in rows) / n
-    between = sum(r[1] * (r[2] - mean) ** 2 for r in rows) / (len(rows) - 1)
-    within = sum((r[1] - 1) * r[3] for r in rows) / (n - len(rows))
+    """The groups are summed where they are, however many there are."""
+    frame._need(value, by)
+    df = frame._df.select(F.col(f"`{value}`").cast("double").alias("v"), F.col(f"`{by}`").alias("g")).where("v is not null and g is not null")
+    mean = df.agg(F.avg("v")).first()[0]
+    groups = df.groupBy("g").agg(F.count("v").alias("n"), F.avg("v").alias("m"), F.var_samp("v").alias("s"))
+    k, n, least, between, within = groups.agg(
+        F.count(F.lit(1)), F.sum("n"), F.min("n"),
+        F.sum(F.col("n") * F.pow(F.col("m") - F.lit(mean), F.lit(2.0))), F.sum((F.col("n") - 1) * F.coalesce("s", F.lit(0.0))),
+    ).first()
+    if k < 2:
+        raise DisclosureError("the test needs at least 2 groups")
+    if least < frame._policy.suppression.descriptive_n:
+        raise DisclosureError("a group has too few rows")
     if not within:
         raise DisclosureError("there is no variation")
-    f = between / within
-    return _out("anova", f, dist.f_sf(f, len(rows) - 1, n - len(rows)), _shown(frame, n), df_between=len(rows) - 1)
+    f = (between / (k - 1)) / (within / (n - k))
+    return _out("anova", f, dist.f_sf(f, k - 1, n - k), _shown(frame, n), df_between=k - 1)
 
 
 def ranks(df, value: str, out: str):
@@ -74,7 +82,7 @@ def ranks(df, value: str, out: str):
 
 def mannwhitney(frame: PrivateFrame, value: str, by: str) -> Released:
     """Two-sided, normal approximation with tie and continuity correction."""
-    _groups(frame, value, by, 2)
+    _two_groups(frame, value, by)
     df = frame._df.select(F.col(f"`{value}`").cast("double").alias("v"), F.col(f"`{by}`").alias("g")).where("v is not null and g is not null")
     cells = df.groupBy("v", "g").agg(F.count(F.lit(1)).alias("n"))
     joined = cells.join(ranks(df, "v", "r"), "v")

@@ -304,6 +304,19 @@ def test_synthetic_control(spark):
     assert got["att"] == pytest.approx(3, abs=0.5) and "weights" not in got
 
 
+def test_anova_takes_all_groups(spark):
+    df = spark.range(24_000).selectExpr("id % 12000 as g", "cast(id % 12000 + 7 * floor(id / 12000) as double) as v")
+    f = PrivateFrame.bind(df, resolve_policy(suppression="off"))
+    data = df.toPandas()
+    means = data.groupby("g").v.transform("mean")
+    want = ((means - data.v.mean()) ** 2).sum() / 11_999 / (((data.v - means) ** 2).sum() / 12_000)
+    got = hypothesis.anova(f, "v", "g").payload
+    assert got["df_between"] == 11_999 and got["statistic"] == pytest.approx(want, rel=1e-6)
+    small = PrivateFrame.bind(df.union(spark.sql("select 99999L, 1d")), resolve_policy(suppression="light"))
+    with pytest.raises(DisclosureError):
+        hypothesis.anova(small, "v", "g")
+
+
 def test_charts(tiers):
     _, df = tiers
     src = {"df": df}
