@@ -164,7 +164,12 @@ def synthetic_control(frame: PrivateFrame, unit: str, time: str, outcome: str, t
     if n_units > 1000:
         raise DisclosureError("more than 1000 units")
     aggs = [F.avg(F.col(f"`{outcome}`").cast("double")).alias("y"), F.count(F.lit(1)).alias("n")] + [F.avg(F.col(f"`{c}`").cast("double")).alias(f"p{i}") for i, c in enumerate(predictors or [])]
-    cells = known.groupBy(unit, time).agg(*aggs, (F.min(unit_size) if unit_size else F.lit(None).cast("double")).alias("size")).limit(200_000).collect()
+    cells = known.groupBy(unit, time).agg(*aggs, (F.min(unit_size) if unit_size else F.lit(None).cast("double")).alias("size"))
+    cells = keep(cells, "cells")
+    smallest, n_times = cells.agg(F.min("size")).first()[0], cells.select(time).distinct().count()
+    # only units that are there at all times count, so the others' cells need not be fetched
+    full = [r[0] for r in cells.groupBy(unit).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") == n_times).collect()]
+    cells = cells.where(F.col(f"`{unit}`").isin([u for u in full if u is not None]) | (F.col(f"`{unit}`").isNull() & F.lit(None in full))).collect()
     times = sorted({r[time] for r in cells})
     units = sorted({r[unit] for r in cells} - {treated_unit}, key=str)
     value = {(r[unit], r[time]): r["y"] for r in cells}
@@ -185,8 +190,7 @@ def synthetic_control(frame: PrivateFrame, unit: str, time: str, outcome: str, t
     centre, spread = fit_a.mean(), fit_a.std() or 1.0
     w = simplex_fit((fit_a - centre) / spread, (fit_b - centre) / spread)
     donors, top = float(1 / np.sum(w * w)), float(w.max())
-    sizes = [r["size"] for r in cells if r["size"] is not None]
-    large = unit_size is not None and sizes and min(sizes) >= k
+    large = smallest is not None and smallest >= k
     if not large and not (donors >= k and top <= max_weight):
         raise DisclosureError("the synthetic unit rests on too few controls")
     gap = b - a @ w

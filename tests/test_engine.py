@@ -317,6 +317,16 @@ def test_anova_takes_all_groups(spark):
         hypothesis.anova(small, "v", "g")
 
 
+def test_synthetic_control_takes_all_cells(spark):
+    """More cells than a fixed number of them, of which none may be lost."""
+    df = spark.range(210_000).selectExpr("concat('u', id % 300) as unit", "cast(floor(id / 300) as int) as time", "50 as size").selectExpr(
+        "*", "sin(time) * (1 + cast(substr(unit, 2) as int) % 7) + if(unit = 'u0' and time >= 690, 3, 0) as y"
+    )
+    f = PrivateFrame.bind(df.where("unit <> 'u5' or time <> 3"), resolve_policy(suppression="light"))
+    got = f.synthetic_control("unit", "time", "y", "u0", 690, unit_size="size").payload
+    assert got["att"] == pytest.approx(3, abs=0.1) and len(got["times"]) == len(got["gap"]) == 700
+
+
 def test_charts(tiers):
     _, df = tiers
     src = {"df": df}
