@@ -10,7 +10,8 @@ surname stays one surname whatever first name goes with it.
 
 Collision check: all distinct normal forms are drawn together; of those with one surrogate the
 smallest keeps it, the rest, and any whose surrogate is itself an entity of the corpus, draw
-again until none is left. So distinct entities stay distinct, and no surrogate names someone real.
+again until none is left, and from the third draw on also longer ones (letters, digits or octets
+more by draw), so that there is one for every form. So distinct entities stay distinct, and no surrogate names someone real.
 
 Only documents with entities are kept aside (a table in the shared folder) and joined; all others
 pass untouched. A hot entity has one row on its side of the join, and adaptive execution splits
@@ -38,7 +39,7 @@ PHONE = r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-
 ACCESS = r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,80}|sk-[A-Za-z0-9_-]{20,120})(?![A-Za-z0-9])"
 SOCIAL = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"
 IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"
-SECRET = r"(?i:(?<![a-z])(?:password|passwd|pwd|secret|token|api_?key)\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9+/_-]{8,512}+"
+SECRET = r"(?i:(?<![a-z])(?:password|passwd|pwd|secret|token|api_?key)\s{0,2}[=:]\s{0,2}[\"']?)(?=[+/_-]*+[A-Za-z0-9])[A-Za-z0-9+/_-]{8,512}+"
 FEMALE, MALE, ANY = ("Mrs", "Ms", "Miss", "Frau", "Mme", "Madame", "Señora", "Sra", "г-жа"), ("Mr", "Herr", "Monsieur", "Señor", "Sr", "г-н"), ("Dr", "Prof")
 NAME = r"(?<![\p{L}\p{N}])(?:" + "|".join((*FEMALE, *MALE, *ANY)) + r")\.? \p{Lu}\p{Ll}{1,30}(?: \p{Lu}\p{Ll}{1,30})?(?![\p{L}\p{N}])"
 ENTITY = "|".join(f"(?:{p})" for p in (MAIL, ACCESS, SECRET, IP, CARD, SOCIAL, IBAN, PHONE, NAME))
@@ -92,31 +93,37 @@ def _luhn(digits: Column) -> Column:
     return F.pmod(F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), add), F.lit(10))
 
 
-def _name(h: Column, part: Column, script: Column) -> Column:
+def _name(h: Column, part: Column, script: Column, letters: Column) -> Column:
+    more = {LATIN: letters, CYRILLIC: F.translate(letters, "abcdefghijklmnop", "абвгдежзиклмнопр")}
+
     def build(kind) -> Column:
         syllables = F.split(F.lit(kind[0]), " ")
         n = len(kind[0].split(" "))
         at = lambda k: F.get(syllables, F.pmod(_number(h, k), F.lit(n)).cast("int"))
-        base = F.concat(at(1), at(9), at(17))
+        base = F.concat(at(1), at(9), at(17), more[kind])
         return F.initcap(F.when(part == "female", F.concat(base, F.lit(kind[1] + kind[2]))).when(part == "male", F.concat(base, F.lit(kind[1]))).otherwise(F.concat(base, at(25))))
 
     return F.when(script == "cyrillic", build(CYRILLIC)).otherwise(build(LATIN))
 
 
 def _surrogate(kind: Column, form: Column, attempt: Column, key: str) -> Column:
-    """The surrogate of a normal form."""
+    """The surrogate of a normal form; the third draw and later ones are longer by two each."""
+    more = F.least(F.greatest(attempt - 1, F.lit(0)) * 2, F.lit(64))
 
     def made(h: Column) -> Column:
+        drawn = _digest(h)
+        letters = F.substring(F.translate(drawn, "0123456789", "ghijklmnop"), F.lit(1), more)
+        digits = F.substring(F.translate(drawn, "abcdef", "012345"), F.lit(1), more)
         local, domain = F.substring_index(form, "@", 1), F.substring_index(form, "@", -1)
         labels = F.split(domain, r"\.")
         top = F.element_at(labels, -1)
         sub = F.slice(labels, F.lit(1), F.greatest(F.size(labels) - 2, F.lit(0)))
         mail = F.concat(
-            _spell(local, h), F.lit("@"),
+            _spell(local, h), letters, F.lit("@"),
             F.array_join(F.concat(F.transform(sub, lambda x: _spell(x, h)), F.array(F.lit("example"), F.when(top.isin(*RESERVED), top).otherwise("org"))), "."),
         )
         octet = lambda k: F.pmod(_number(h, k), F.lit(256)).cast("string")
-        ip = F.concat_ws(".", F.lit("10"), octet(1), octet(9), octet(17))
+        ip = F.concat(F.concat_ws(".", F.lit("10"), octet(1), octet(9), octet(17)), F.regexp_replace(digits, "([0-9])", ".$1"))
         spelled = _spell(form, h)
         body = F.concat(F.substring(form, 1, 1), F.substring(spelled, 2, 14))
         check = F.pmod(F.lit(10) - _luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")
@@ -124,13 +131,15 @@ def _surrogate(kind: Column, form: Column, attempt: Column, key: str) -> Column:
         plain = F.regexp_extract(form, r"^(\+[0-9]{1,3} )?", 0)
         rest = F.substring(form, F.char_length(plain) + 1, F.lit(64))
         lead = (F.pmod(_number(h, 33), F.lit(8)) + 2).cast("string")
-        phone = F.concat(plain, lead, F.substring(_spell(rest, h), 2, 64))
-        access = F.concat(F.substring(form, 1, 4), F.substring(_spell(form, h), 5, 200))
+        phone = F.concat(plain, lead, F.substring(_spell(rest, h), 2, 64), digits)
+        access = F.concat(F.substring(form, 1, 4), F.substring(_spell(form, h), 5, 200), F.when(F.upper(form) == form, F.upper(letters)).otherwise(letters))
+        social = F.concat(spelled, digits)
         secret = F.when(form.rlike("^[0-9a-f]+$"), F.substring(F.repeat(F.concat(h, _digest(h)), F.ceil(F.char_length(form) / 128).cast("int")), F.lit(1), F.char_length(form))).otherwise(_spell(form, h))
+        secret = F.concat(secret, F.substring(drawn, F.lit(1), more))
         part, script = F.substring_index(kind, ":", -1), F.when(form.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
         return (
             F.when(kind == "mail", mail).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone)
-            .when(kind.isin("access", "iban"), access).when(kind == "social", spelled).when(kind == "secret", secret).otherwise(_name(h, part, script))
+            .when(kind.isin("access", "iban"), access).when(kind == "social", social).when(kind == "secret", secret).otherwise(_name(h, part, script, letters))
         )
 
     return _let(_digest(F.lit(key), kind, form, attempt.cast("string")), made)
@@ -169,7 +178,7 @@ def _lay(entity: Column, kind: Column, drawn: Column) -> Column:
     fill = F.aggregate(
         F.split(entity, ""), zero,
         lambda a, c: F.struct((a["n"] + c.rlike("^[0-9]$").cast("int")).alias("n"), F.concat(a["out"], F.when(c.rlike("^[0-9]$"), F.substring(digits, a["n"] + 1, F.lit(1))).otherwise(c)).alias("out")),
-        lambda a: a["out"],
+        lambda a: F.concat(a["out"], F.substring(digits, a["n"] + 1, F.lit(64))),
     )
     tail = F.regexp_extract(entity, r"([A-Za-z0-9+/_-]+)$", 1)
     prefix = F.substring(entity, F.lit(1), F.char_length(entity) - F.char_length(tail))

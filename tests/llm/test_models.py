@@ -200,6 +200,20 @@ def test_surrogates_stay_distinct(spark, monkeypatch):
     assert not {r.surrogate for r in got} & {r.form for r in got}
 
 
+def test_every_form_finds_a_surrogate(spark):
+    """More forms than surrogates of their shape, and forms without a letter or digit."""
+    mails = [f"{a}{b}@m{k}.com" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz" for k in range(2)]
+    phones = [f"+1 {i}" for i in range(1000, 10_000)]
+    forms = [("mail", m) for m in mails] + [("phone", f) for f in phones] + [("secret", "_" * 16), ("access", "sk-" + "_" * 20)] + [("secret", f"_______{c}") for c in "0123456789"]
+    got = pii.draw(spark.createDataFrame(forms, "kind string, form string"), "k").collect()
+    assert {(r.kind, r.form) for r in got} == set(forms) and len({(r.kind, r.surrogate) for r in got}) == len(forms)
+    assert not {(r.kind, r.surrogate) for r in got} & set(forms)
+    rows = [(1, "Password: ________________"), (2, "Password:\n------------"), (3, " ".join(f"+1 {str(f)[3:5]} {str(f)[5:]}" for f in phones))]
+    out = {r.doc_id: r.text for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[1] == rows[0][1] and out[2] == rows[1][1]
+    assert len(set(out[3].split("+1 "))) == len(set(rows[2][1].split("+1 ")))
+
+
 def test_pipeline_against_plain_stages(spark, tmp_path):
     rows, quality_of = prose(150, 8)
     good = [i for i in quality_of if quality_of[i]]
