@@ -6,7 +6,8 @@ from a keyed hash of its normal form, so every mention of it, in whatever spelli
 one. A surrogate keeps type and format: digits become digits and letters letters of the same case,
 separators, country code, mail top-level domain and card check digit stay valid, addresses stay
 within reserved ranges and domains, names keep script and the gender that the title shows, and a
-surname stays one surname whatever first name goes with it.
+surname stays one surname whatever first name goes with it. Where a document names someone with a
+title, its other mentions of the name's words get the same surrogates; they are not counted.
 
 Collision check: all distinct normal forms are drawn together; of those with one surrogate the
 smallest keeps it, the rest, and any whose surrogate is itself an entity of the corpus, draw
@@ -36,15 +37,16 @@ MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1
 IP = r"(?<![0-9.])(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}(?![0-9]|\.[0-9])"
 CARD = r"(?<![0-9A-Za-z])(?:[0-9]{4}[ -]?){3}[0-9]{4}(?![0-9A-Za-z])"
 PHONE = r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,4}\)?){2,5}(?![0-9A-Za-z])"
-ACCESS = r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,80}|sk-[A-Za-z0-9_-]{20,120})(?![A-Za-z0-9])"
+ACCESS = r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|sk-[A-Za-z0-9_-]{20,}+)(?![A-Za-z0-9])"
 SOCIAL = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"
 IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"
-SECRET = r"(?i:(?<![a-z])(?:password|passwd|pwd|secret|token|api_?key)\s{0,2}[=:]\s{0,2}[\"']?)(?=[+/_-]*+[A-Za-z0-9])[A-Za-z0-9+/_-]{8,512}+"
+SECRET = r"(?i:(?<![a-z])(?:password|passwd|pwd|secret|token|api_?key)\s{0,2}[=:]\s{0,2}[\"']?)(?=[+/_.-]*+[A-Za-z0-9])[A-Za-z0-9+/_.-]{7,}[A-Za-z0-9+/_-]"
 FEMALE, MALE, ANY = ("Mrs", "Ms", "Miss", "Frau", "Mme", "Madame", "Señora", "Sra", "г-жа"), ("Mr", "Herr", "Monsieur", "Señor", "Sr", "г-н"), ("Dr", "Prof")
-NAME = r"(?<![\p{L}\p{N}])(?:" + "|".join((*FEMALE, *MALE, *ANY)) + r")\.? \p{Lu}\p{Ll}{1,30}(?: \p{Lu}\p{Ll}{1,30})?(?![\p{L}\p{N}])"
+WORD = r"\p{Lu}(?:\.(?= \p{Lu})|[\p{L}\p{M}]*+(?:(?:-(?=\p{L})|['’](?=\p{Lu}))[\p{L}\p{M}]++){0,50}+(?<=[\p{L}\p{M}'’-][\p{L}\p{M}]))"
+NAME = r"(?<![\p{L}\p{N}])(?:" + "|".join((*FEMALE, *MALE, *ANY)) + r")\.? (?:" + WORD + r"(?: (?:(?:van|von|de|der|den|del|della|di|da|la|le|bin) ){0,3}+" + WORD + r"){0,50}+)(?![\p{L}\p{N}])"
 ENTITY = "|".join(f"(?:{p})" for p in (MAIL, ACCESS, SECRET, IP, CARD, SOCIAL, IBAN, PHONE, NAME))
 #: A text without any of these has no entity.
-HINT = r"[0-9@=:]|sk-|xox|gh[pousr]_|" + "|".join((*FEMALE, *MALE, *ANY))
+HINT = r"[0-9@=:]|AKIA|ASIA|sk-|xox|gh[pousr]_|" + "|".join((*FEMALE, *MALE, *ANY))
 
 # Syllables for names, which are built by rule and so never run out.
 LATIN = ("ba be bo da de do fa fe ga go ha he ka ke la le lo ma me mi na ne no pa pe ra re ri ro sa se so ta te to va ve vi", "n", "a")
@@ -132,7 +134,7 @@ def _surrogate(kind: Column, form: Column, attempt: Column, key: str) -> Column:
         rest = F.substring(form, F.char_length(plain) + 1, F.lit(64))
         lead = (F.pmod(_number(h, 33), F.lit(8)) + 2).cast("string")
         phone = F.concat(plain, lead, F.substring(_spell(rest, h), 2, 64), digits)
-        access = F.concat(F.substring(form, 1, 4), F.substring(_spell(form, h), 5, 200), F.when(F.upper(form) == form, F.upper(letters)).otherwise(letters))
+        access = F.concat(F.substring(form, 1, 4), F.substring(_spell(form, h), F.lit(5), F.char_length(form)), F.when(F.upper(form) == form, F.upper(letters)).otherwise(letters))
         social = F.concat(spelled, digits)
         secret = F.when(form.rlike("^[0-9a-f]+$"), F.substring(F.repeat(F.concat(h, _digest(h)), F.ceil(F.char_length(form) / 128).cast("int")), F.lit(1), F.char_length(form))).otherwise(_spell(form, h))
         secret = F.concat(secret, F.substring(drawn, F.lit(1), more))
@@ -155,9 +157,9 @@ def _mentions(entity: Column) -> Column:
     country = F.regexp_extract(entity, r"^(\+[0-9]{1,3})[ .(-]", 1)
     national = F.substring(digits, F.greatest(F.char_length(country), F.lit(1)), F.lit(64))
     phone = F.when(country != "", F.concat(country, F.lit(" "), national)).otherwise(digits)
-    names = F.when(F.size(words) > 1, F.array(pair(first, F.get(words, F.lit(0))), pair(F.lit("name:last"), F.get(words, F.lit(1))))).otherwise(F.array(pair(F.lit("name:last"), F.get(words, F.lit(0)))))
+    names = F.transform(words, lambda w, i: pair(F.when(i < F.size(words) - 1, first).otherwise("name:last"), w))
     return (
-        F.when(whole(SECRET), F.array(pair(F.lit("secret"), F.regexp_extract(entity, r"([A-Za-z0-9+/_-]+)$", 1))))
+        F.when(whole(SECRET), F.array(pair(F.lit("secret"), F.regexp_extract(entity, r"([A-Za-z0-9+/_.-]+)$", 1))))
         .when(entity.contains("@"), F.array(pair(F.lit("mail"), F.lower(entity))))
         .when(whole(ACCESS), F.array(pair(F.lit("access"), entity)))
         .when(whole(IP), F.array(pair(F.lit("ip"), entity)))
@@ -180,7 +182,7 @@ def _lay(entity: Column, kind: Column, drawn: Column) -> Column:
         lambda a, c: F.struct((a["n"] + c.rlike("^[0-9]$").cast("int")).alias("n"), F.concat(a["out"], F.when(c.rlike("^[0-9]$"), F.substring(digits, a["n"] + 1, F.lit(1))).otherwise(c)).alias("out")),
         lambda a: F.concat(a["out"], F.substring(digits, a["n"] + 1, F.lit(64))),
     )
-    tail = F.regexp_extract(entity, r"([A-Za-z0-9+/_-]+)$", 1)
+    tail = F.regexp_extract(entity, r"([A-Za-z0-9+/_.-]+)$", 1)
     prefix = F.substring(entity, F.lit(1), F.char_length(entity) - F.char_length(tail))
     return (
         F.when(kind.isin("card", "phone", "social"), fill)
@@ -227,20 +229,20 @@ def replace_pii(docs: DataFrame, key: str = KEY, out: str = "n_entities") -> Dat
         found.select("at", F.posexplode("entities").alias("pos", "entity")).select("at", "pos", "entity", _mentions(F.col("entity")).alias("parts")),
         "mentions",
     )
-    parts = mention.select("at", "pos", "entity", F.posexplode("parts").alias("k", "p")).select("at", "pos", "entity", "k", "p.kind", "p.form")
+    parts = mention.select("at", "pos", "entity", F.size("parts").alias("m"), F.posexplode("parts").alias("k", "p")).select("at", "pos", "entity", "m", "k", "p.kind", "p.form")
     surrogates = draw(parts.select("kind", "form").distinct(), key)
-    drawn = parts.join(surrogates, ["kind", "form"]).groupBy("at").agg(F.array_sort(F.collect_list(F.struct("pos", "k", "kind", "entity", "surrogate"))).alias("all"))
+    drawn = parts.join(surrogates, ["kind", "form"]).groupBy("at").agg(F.array_sort(F.collect_list(F.struct("pos", "k", "m", "kind", "form", "entity", "surrogate"))).alias("all"))
     # the parts of a mention lie next to each other; a mention's own are those with its position
-    second = lambda i: F.get(F.col("all"), i + 1)
     laid = F.filter(
-        F.transform(
-            F.transform("all", lambda x, i: F.struct(x.alias("x"), F.when(second(i)["pos"] == x["pos"], F.array(x["surrogate"], second(i)["surrogate"])).otherwise(F.array(x["surrogate"])).alias("own"))),
-            lambda y: F.when(y["x"]["k"] == 0, _lay(y["x"]["entity"], y["x"]["kind"], y["own"])),
-        ),
+        F.transform("all", lambda x, i: F.when(x["k"] == 0, _lay(x["entity"], x["kind"], F.transform(F.slice("all", i + 1, x["m"]), lambda z: z["surrogate"])))),
         lambda z: z.isNotNull(),
     )
-    drawn = drawn.select("at", laid.alias("new"))
-    between = F.split("text", ENTITY, -1)
+    # names of the document, the longer ones first, which may be mentioned without a title as well
+    named = F.filter("all", lambda x: x["kind"].startswith("name") & x["form"].rlike(r"^\p{Lu}.*\p{L}$"))
+    named = F.array_sort(F.array_distinct(F.transform(named, lambda x: F.struct((-F.char_length(x["form"])).alias("size"), x["form"].alias("form"), x["surrogate"].alias("surrogate")))))
+    drawn = drawn.select("at", laid.alias("new"), named.alias("named"))
+    bare = lambda t, x: F.regexp_replace(t, F.concat(F.lit(r"(?<![\p{L}\p{N}])"), x["form"], F.lit(r"(?![\p{L}\p{N}])")), x["surrogate"])
+    between = F.transform(F.split("text", ENTITY, -1), lambda t: F.when(F.size("named") > 0, F.aggregate("named", t, bare)).otherwise(t))
     joined = F.array_join(F.transform(between, lambda t, i: F.concat(t, F.coalesce(F.get(F.col("new"), i), F.lit("")))), "")
     changed = found.join(drawn, "at").select("row", joined.alias("text"), F.size("entities").alias("n"))
     same = wrapped.where(~some).select("row", "text", F.lit(0).alias("n"))
