@@ -1,8 +1,10 @@
 """Shared parts of the training-data operators: written tables, word hashing, byte planes.
 
-Words are found on the UTF-8 bytes of a whole Arrow column at once. A word's hash is a
-polynomial over its bytes modulo 2**64, taken from one running sum, then mixed; windows of words
-are hashed the same way. All constants are fixed, so every task gets the same hash for a word.
+Words are found on the UTF-8 bytes of a whole Arrow column at once. A word's hash is the sum of its
+eight-byte pieces, each scrambled with its place, scrambled again with the length; a window's hash
+joins those of its halves the same way. No step is a polynomial, so texts of a regular make have no
+hash in common either. All constants are fixed, so every task gets the same hash for a word. Where
+equal hashes must mean equal words, ``distinct`` and ``Lexicon`` compare the bytes.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Text bytes that one numpy step takes; a longer document is a step of its own.
 CHUNK_BYTES = 1 << 20
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
 _LANE = np.uint64(0xD1B54A32D192ED03)
 
 
@@ -82,25 +84,6 @@ ALNUM = byte_table(lambda b: 0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x61 <= b
 #: Maps A-Z to a-z.
 LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], dtype=np.uint8)
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _pow(n: int, base: np.uint64 = _BASE) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i for i below n, modulo 2**64."""
-    key = int(base)
-    if key not in _powers or len(_powers[key][0]) < n:
-        size = max(n, 1 << 12)
-        inv = pow(key, -1, 1 << 64)
-        made = []
-        for b in (key, inv):
-            out = np.ones(size, dtype=np.uint64)
-            out[1:] = np.uint64(b)
-            made.append(np.multiply.accumulate(out))
-        _powers[key] = (made[0], made[1])
-    up, down = _powers[key]
-    return up[:n], down[:n]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
     h = h ^ (h >> np.uint64(33))
@@ -126,6 +109,54 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
+def pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Eight-byte pieces of byte spans, the last of each filled up with zeros; where each span's
+    pieces begin; and the number of each piece in its span. No span is empty."""
+    n = (ends - starts + 7) >> 3
+    first = np.concatenate([[0], np.cumsum(n)])
+    k = np.arange(first[-1]) - np.repeat(first[:-1], n)
+    at = np.repeat(starts, n) + 8 * k
+    wide = np.concatenate([data, np.zeros(8, np.uint8)])
+    value = np.ndarray(len(data) + 1, "<u8", buffer=wide, strides=(1,))[at]
+    rest = np.repeat(ends, n) - at
+    short = np.flatnonzero(rest < 8)
+    value[short] &= (np.uint64(1) << (8 * rest[short]).astype(np.uint64)) - np.uint64(1)
+    return value, first, k
+
+
+def span_hashes(value: np.ndarray, first: np.ndarray, k: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of spans of ``size`` bytes from their pieces."""
+    if not len(size):
+        return np.zeros(0, np.uint64)
+    place = mix(np.arange(1, int(k.max()) + 2, dtype=np.uint64) * _GOLD)
+    return mix(np.add.reduceat(mix(value ^ place[k]), first[:-1]) + mix(size.astype(np.uint64)))
+
+
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first span of each distinct byte string, and the number of each span's string. Strings
+    are found by hash and their bytes compared, so that no two are taken for one."""
+    size = ends - starts
+    value, first, k = pieces(data, starts, ends)
+    _, one, code = np.unique(span_hashes(value, first, k, size), return_index=True, return_inverse=True)
+    code = code.ravel()
+    if not len(size):
+        return one, code
+    like = one[code]
+    differ = value != value[np.minimum(np.repeat(first[:-1][like], np.diff(first)) + k, len(value) - 1)]
+    odd = np.flatnonzero((size != size[like]) | np.logical_or.reduceat(differ, first[:-1]))
+    if len(odd):  # strings that share a hash with another one
+        more: dict[bytes, int] = {}
+        extra = []
+        for i in odd:
+            text = data[starts[i] : ends[i]].tobytes()
+            if text not in more:
+                more[text] = len(one) + len(more)
+                extra.append(i)
+            code[i] = more[text]
+        one = np.concatenate([one, extra])
+    return one, code
+
+
 class Words:
     """The words of some texts: byte spans, hashes, and the first word of each text."""
 
@@ -147,27 +178,81 @@ class Words:
         return len(self.starts)
 
     def hashes(self) -> np.ndarray:
-        if not len(self.starts):
-            return np.zeros(0, np.uint64)
-        up, down = _pow(len(self.data) + 1)
-        run = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=run[1:])
-        return mix((run[self.ends] - run[self.starts]) * down[self.starts])
+        return span_hashes(*pieces(self.data, self.starts, self.ends), self.ends - self.starts)
 
     def doc(self) -> np.ndarray:
         """The text number of each word."""
         return np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
 
 
+class Lexicon:
+    """A fixed set of words, numbered from 1. Looks words up by hash and compares their bytes."""
+
+    def __init__(self, words: Words):
+        one, code = distinct(words.data, words.starts, words.ends)
+        self.of = code + 1  # the number of each word that it was made of
+        size = words.ends[one] - words.starts[one]
+        edge = np.concatenate([[0], np.cumsum(size)])
+        self.data = words.data[np.repeat(words.starts[one] - edge[:-1], size) + np.arange(edge[-1])]
+        self.starts, self.ends = edge[:-1], edge[1:]
+        self.value, self.first, k = pieces(self.data, self.starts, self.ends)
+        h = span_hashes(self.value, self.first, k, size)
+        self.order = np.argsort(h, kind="stable")
+        self.hashes = h[self.order]
+        self._by_bytes: dict[bytes, int] = {}
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def numbers(self, words: Words) -> np.ndarray:
+        """The number of each word, 0 for those not in the set."""
+        out = np.zeros(len(words), np.int64)
+        size = words.ends - words.starts
+        value, first, k = pieces(words.data, words.starts, words.ends)
+        h = span_hashes(value, first, k, size)
+        if not len(self) or not len(h):
+            return out
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self) - 1)
+        found = np.flatnonzero(self.hashes[at] == h)
+        like = self.order[at[found]]
+        n = np.diff(first)[found]
+        own = np.repeat(first[:-1][found] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        its = np.repeat(self.first[:-1][like], n) + k[own]
+        differ = value[own] != self.value[np.minimum(its, len(self.value) - 1)]
+        odd = size[found] != (self.ends - self.starts)[like]
+        if len(found):
+            odd |= np.logical_or.reduceat(differ, np.cumsum(n) - n)
+        out[found] = np.where(odd, 0, like + 1)
+        for i in found[odd]:  # a hash in common with a word of the set
+            if not self._by_bytes:
+                self._by_bytes = {self.data[a:b].tobytes(): i + 1 for i, (a, b) in enumerate(zip(self.starts, self.ends))}
+            out[i] = self._by_bytes.get(words.data[words.starts[i] : words.ends[i]].tobytes(), 0)
+        return out
+
+
 def windows(h: np.ndarray, size: int, lane: bool = False) -> np.ndarray:
-    """Hashes of all runs of ``size`` values, borders of texts not regarded."""
+    """Hashes of all runs of ``size`` values, borders of texts not regarded: runs of powers of two
+    from pairs of half the length, and the run of ``size`` from those."""
     n = len(h) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    up, down = _pow(len(h) + 1, _LANE if lane else _BASE)
-    run = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum((mix(h) if lane else h) * up[:-1], out=run[1:])
-    return mix((run[size:] - run[:n]) * down[:n])
+    base = _LANE if lane else _GOLD
+    power, reach, out, done = mix(h ^ base), 1, None, 0
+    while True:
+        if size & reach:
+            part = power[done : done + n]
+            out = part if out is None else mix(out * base + part)
+            done += reach
+        if done == size:
+            return mix(out + np.uint64(size))
+        power = mix(power[:-reach] * base + power[reach:])
+        reach *= 2
+
+
+def unique(a: np.ndarray) -> np.ndarray:
+    """The distinct values in order, by sorting: numpy's own way by hashing takes far longer."""
+    a = np.sort(a)
+    return a[np.concatenate([[True], a[1:] != a[:-1]])] if len(a) else a
 
 
 def whole(bounds: np.ndarray, size: int) -> np.ndarray:

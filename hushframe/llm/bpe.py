@@ -1,33 +1,37 @@
 """Byte-level BPE: encoding by ranked merges in Spark higher-order functions, and decoding.
 
 1. Texts are cut into matches of the split pattern, exactly as the regular expression would cut
-   them, on whole columns at once (``cuts``). A block of documents gives its distinct words, each
-   as its bytes' tokens and the ranks whose pieces occur in it, and its documents as word numbers.
+   them, on whole columns at once (``cuts``). A block of documents gives its distinct words (found
+   by hash, bytes compared), each as its bytes' tokens and the ranks whose pieces occur in it, and
+   its documents as word numbers.
 2. Each distinct word is folded: ``aggregate`` goes through its ranked merges from the lowest, and
    each joins all its pairs of tokens, from the left. The literal rank map, from a rank to its
    pair and joined token, is read by array index.
 3. Word numbers become ids by array reads. Nothing is shuffled, nothing grows with the corpus,
    and only the vocabulary is shipped.
 
-Decoding looks every id up in the literal array of pieces and concatenates them; pieces travel
-as text with a character a byte, since Spark joins arrays of text only.
+A row of tokens is a text with a character a token (``token``): Spark's ``replace`` then joins
+pairs, and ``array_join`` rows. This holds for vocabularies of under 1,112,064 ranks; a larger one is
+refused. Decoding looks every id up in the literal array of pieces and concatenates them; pieces
+travel as text with a character a byte, since Spark joins arrays of text only.
 
 Defined cases: null text is empty and has no ids; a null doc_id is kept; repeated rows give
-repeated results; an empty table gives no rows; other columns are ignored.
+repeated results; an empty table gives no rows; other columns are ignored. A very long text is a
+block of its own, a very long word is folded like any other.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
-import zlib
+import hashlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import _pow, mix, steps, table, text_buffers
+from ._common import distinct, mix, steps, table, text_buffers, unique
 
 #: Text bytes of a block.
 BLOCK_BYTES = 2 << 20
@@ -114,16 +118,25 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+#: Code points that are no characters, and how many there are.
+GAP, GAP_SIZE = 0xD800, 0x800
+
+
+def token(i: int) -> str:
+    """The character that stands for a rank: the i-th code point that is a character."""
+    return chr(i if i < GAP else i + GAP_SIZE)
+
+
 @functools.lru_cache(maxsize=4)
 def merges(path: str) -> tuple[list[str], list[str], list[str]]:
-    """For each rank the two tokens that it joins and the joined token, as ``<00116><00104>`` and
-    ``<00400>``, and each byte's token. The two tokens of a rank are what its bytes become under
-    the lower ranks alone; a text gets to it in no other way, because a pair inside a token's
-    bytes meets the same merges there as in the token alone, and a merge makes no pair of lower
-    rank than its own."""
+    """For each rank the two tokens that it joins and the joined token, and each byte's token. The
+    two tokens of a rank are what its bytes become under the lower ranks alone; a text gets to it
+    in no other way, because a pair inside a token's bytes meets the same merges there as in the
+    token alone, and a merge makes no pair of lower rank than its own."""
     ranks = load_ranks(path)
-    name = lambda i: f"<{i:05d}>"
     size = max(ranks.values()) + 1
+    if size >= 0x110000 - GAP_SIZE:
+        raise ValueError("as many ranks as there are characters")
     left, right = [""] * size, [""] * size
     for piece, rank in ranks.items():
         if len(piece) == 1:
@@ -139,69 +152,73 @@ def merges(path: str) -> tuple[list[str], list[str], list[str]]:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         if len(parts) == 2:
-            left[rank] = name(ranks[parts[0]]) + name(ranks[parts[1]])
-            right[rank] = name(rank)
-    return left, right, [name(ranks[bytes([b])]) for b in range(256)]
+            left[rank] = token(ranks[parts[0]]) + token(ranks[parts[1]])
+            right[rank] = token(rank)
+    return left, right, [token(ranks[bytes([b])]) for b in range(256)]
+
+
+def _step(h: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    """The hash of a row of bytes with one more."""
+    return mix(h + byte.astype(np.uint64) + np.uint64(1))
 
 
 class Finder:
-    """Which ranks' pieces occur in words: a place is followed as long as a piece may begin there
-    (a bit table of beginnings), and pieces are looked up by length."""
-
-    def __init__(self, ranks: dict[bytes, int], byte_names: list[str]):
-        self.byte = np.frombuffer("".join(byte_names).encode(), np.uint8).reshape(256, -1)
-        by: dict[int, list[tuple[bytes, int]]] = {}
-        for piece, rank in ranks.items():
-            if len(piece) > 1:
-                by.setdefault(len(piece), []).append((piece, rank))
-        self.by, self.alive = {}, np.zeros(1 << 22, bool)
-        for size in range(2, max(by, default=0) + 1):  # what pieces begin with
-            heads = sorted({p[:size] for k, own in by.items() if k >= size for p, _ in own})
-            flat = np.frombuffer(b"".join(heads), np.uint8)
-            self.alive[self._hash(flat, np.arange(len(heads)) * size, size) >> np.uint64(42)] = True
-            by.setdefault(size, [])
-        for size, own in sorted(by.items()):
-            flat = np.frombuffer(b"".join(p for p, _ in own), np.uint8)
-            h = self._hash(flat, np.arange(len(own)) * size, size)
-            order = np.argsort(h)
-            self.by[size] = (h[order], np.array([r for _, r in own])[order])
-
-    @staticmethod
-    def _run(data: np.ndarray) -> np.ndarray:
-        run = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _pow(len(data) + 1)[0][:-1], out=run[1:])
-        return run
-
-    def _hash(self, data, at, size, run=None):
-        run = self._run(data) if run is None else run
-        return mix((run[at + size] - run[at]) * _pow(len(data) + 1)[1][at])
+    """Which ranks' pieces occur in words: a place is followed, byte by byte, as long as a piece may
+    begin there (a bit table of beginnings), and pieces are looked up by length and hash. A rank
+    that is found by chance joins nothing, since the pair is not there."""
+
+    def __init__(self, ranks: dict[bytes, int], byte_tokens: list[str]):
+        spelled = [t.encode() for t in byte_tokens]
+        self.size = np.array([len(t) for t in spelled])
+        self.byte = np.zeros((256, self.size.max()), np.uint8)
+        for b, t in enumerate(spelled):
+            self.byte[b, : len(t)] = list(t)
+        self.ranks = max(ranks.values()) + 1
+        long = [(p, r) for p, r in ranks.items() if len(p) > 1]
+        flat = np.frombuffer(b"".join(p for p, _ in long), np.uint8)
+        size = np.array([len(p) for p, _ in long], np.int64)
+        rank = np.array([r for _, r in long], np.int64)
+        at = np.concatenate([[0], np.cumsum(size)])[:-1]
+        self.by, self.alive = [], np.zeros(1 << 22, bool)
+        h, k = np.zeros(len(at), np.uint64), 0
+        while len(at):
+            h, k = _step(h, flat[at + k]), k + 1
+            self.alive[h >> np.uint64(42)] = True  # what pieces begin with
+            done = size == k
+            order = np.argsort(h[done])
+            self.by.append((h[done][order], rank[done][order]))
+            h, at, size, rank = h[~done], at[~done], size[~done], rank[~done]
+
+    def spell(self, data: np.ndarray, edges: np.ndarray) -> pa.Array:
+        """Each word as the tokens of its bytes."""
+        size = self.size[data]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        out = np.zeros(upto[-1], np.uint8)
+        for k in range(self.byte.shape[1]):
+            on = size > k
+            out[upto[:-1][on] + k] = self.byte[data[on], k]
+        return pa.LargeStringArray.from_buffers(len(edges) - 1, pa.py_buffer(upto[edges].tobytes()), pa.py_buffer(out.tobytes())).cast(pa.string())
 
     def find(self, data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ranks of each word's pieces, ascending, and where each word's begin."""
         n = len(edges) - 1
         left = np.repeat(edges[1:], np.diff(edges)) - np.arange(len(data))
-        word = np.repeat(np.arange(n), np.diff(edges))
-        run = self._run(data)
-        longest = int(left.max(initial=0))
+        word = np.repeat(np.arange(n, dtype=np.int32), np.diff(edges))
         keys = []
-        at = np.arange(len(data))
-        for size, (h, rank) in self.by.items():
-            if size > longest:
-                break
-            at = at[left[at] >= size]
-            own = self._hash(data, at, size, run)
-            on = self.alive[own >> np.uint64(42)]  # longer pieces can only go on from here
-            at, own = at[on], own[on]
+        at, h = np.arange(len(data)), np.zeros(len(data), np.uint64)
+        for k, (known, rank) in enumerate(self.by):
+            on = left[at] > k
+            at, h = at[on], _step(h[on], data[at[on] + k])
+            on = self.alive[h >> np.uint64(42)]  # longer pieces can only go on from here
+            at, h = at[on], h[on]
             if not len(at):
                 break
-            if len(h):
-                k = np.minimum(np.searchsorted(h, own), len(h) - 1)
-                hit = h[k] == own
-                keys.append(word[at[hit]] << 16 | rank[k[hit]])
-        key = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
-        if len(key):
-            key = key[np.concatenate([[True], key[1:] != key[:-1]])]
-        return (key & 0xFFFF).astype(np.int32), np.searchsorted(key, np.arange(n + 1) << 16).astype(np.int32)
+            if len(known):
+                i = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                hit = known[i] == h
+                keys.append(word[at[hit]].astype(np.int64) * self.ranks + rank[i[hit]])
+        key = unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+        return (key % self.ranks).astype(np.int32), np.searchsorted(key, np.arange(n + 1) * self.ranks).astype(np.int32)
 
 
 def _let(value: Column, use) -> Column:
@@ -209,94 +226,78 @@ def _let(value: Column, use) -> Column:
 
 
 def fold_word(word: Column, path: str) -> Column:
-    """The ids of one word: its ranked merges, lowest first, folded over its bytes."""
+    """The tokens of one word: its ranked merges, lowest first, folded over its bytes."""
     left, right, _ = merges(path)
-    pair_of, token_of = F.split(F.lit(",".join(left)), ","), F.split(F.lit(",".join(right)), ",")
-    folded = F.aggregate(word["merges"], word["bytes"], lambda s, r: F.replace(s, F.get(pair_of, r), F.get(token_of, r)))
-    return F.split(F.btrim(folded, F.lit("<>")), "><").cast("array<int>")
+    pair_of, token_of = _array(left), _array(right)
+    return F.aggregate(word["merges"], word["bytes"], lambda s, r: F.replace(s, F.get(pair_of, r), F.get(token_of, r)))
+
+
+def _array(texts: list[str]) -> Column:
+    """A literal array of rows of tokens: one literal, cut at a character that is no token."""
+    return F.split(F.lit(token(len(texts)).join(texts)), rf"\x{{{ord(token(len(texts))):x}}}", -1)
+
+
+def _characters(tokens: Column) -> Column:
+    return F.when(tokens == "", F.array().cast("array<string>")).otherwise(F.split(tokens, ""))
+
+
+def numbers(tokens: Column, size: int) -> Column:
+    """The ids of a row of tokens of a vocabulary of ``size`` ranks."""
+    if size <= GAP:
+        return F.transform(_characters(tokens), F.ascii)
+    return F.transform(_characters(tokens), lambda c: F.when(F.ascii(c) < GAP, F.ascii(c)).otherwise(F.ascii(c) - GAP_SIZE))
 
 
 # ---------------------------------------------------------------- blocks
 
-_finders: dict[int, Finder] = {}
+_finders: dict[bytes, Finder] = {}
 
 
-def _finder(ranks: dict[bytes, int], byte_names: list[str]) -> Finder:
+def _finder(ranks: dict[bytes, int], byte_tokens: list[str]) -> Finder:
     """One for each vocabulary that a worker has met."""
-    key = zlib.crc32(b"".join(ranks)) ^ len(ranks)
+    key = hashlib.sha256(b"".join(b"%d,%d," % (len(p), r) + p for p, r in ranks.items())).digest()
     if key not in _finders:
-        _finders[key] = Finder(ranks, byte_names)
+        _finders[key] = Finder(ranks, byte_tokens)
     return _finders[key]
 
 
-def _blocks(ranks: dict[bytes, int], byte_names: list[str]):
+def _blocks(ranks: dict[bytes, int], byte_tokens: list[str]):
     """Blocks of documents: distinct words, and documents as word numbers."""
 
     def run(batches):
-        finder = _finder(ranks, byte_names)
-        known, code_of = np.zeros(0, np.uint64), np.zeros(0, np.int32)
-        words, ids, codes, sizes, total = [], [], [], [], 0
-
-        def out():
-            offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
-            docs = pa.StructArray.from_arrays(
-                [pa.concat_arrays(ids), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(codes)))], ["doc_id", "codes"]
-            )
-            found = pa.concat_arrays(words)
-            one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
-            return pa.RecordBatch.from_arrays([one(found), one(docs)], ["words", "docs"])
-
-        for rows in steps(batches, "text"):
+        finder = _finder(ranks, byte_tokens)
+        one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
+        for rows in steps(batches, "text", BLOCK_BYTES):
             data, offsets = text_buffers(rows.column(1))
             begin = cuts(data, offsets)
-            end = np.append(begin[1:], len(data))
-            if len(begin):
-                up, down = _pow(len(data) + 1)
-                run_sum = np.zeros(len(data) + 1, np.uint64)
-                np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=run_sum[1:])
-                h = mix((run_sum[end] - run_sum[begin]) * down[begin])
-            else:
-                h = np.zeros(0, np.uint64)
-            values, first, back = np.unique(h, return_index=True, return_inverse=True)
-            at = np.minimum(np.searchsorted(known, values), max(len(known) - 1, 0))
-            old = known[at] == values if len(known) else np.zeros(len(values), bool)
-            code = np.empty(len(values), np.int32)
-            code[old] = code_of[at[old]]
-            fresh = np.flatnonzero(~old)
-            code[fresh] = len(known) + np.arange(len(fresh))
-            a, size = begin[first[fresh]], (end - begin)[first[fresh]]
+            end = np.append(begin[1:], len(data))[: len(begin)]
+            first, code = distinct(data, begin, end)
+            a, size = begin[first], (end - begin)[first]
             edges = np.concatenate([[0], np.cumsum(size)])
             gathered = data[np.repeat(a - edges[:-1], size) + np.arange(edges[-1])]
-            own, bounds = finder.find(gathered, edges)
-            width = finder.byte.shape[1]
-            spelled = pa.StringArray.from_buffers(len(fresh), pa.py_buffer((edges * width).astype(np.int32).tobytes()), pa.py_buffer(finder.byte[gathered].tobytes()))
-            words.append(pa.StructArray.from_arrays([spelled, pa.ListArray.from_arrays(pa.array(bounds), pa.array(own))], ["bytes", "merges"]))
-            known = np.concatenate([known, values[fresh]])
-            code_of = np.concatenate([code_of, code[fresh]])
-            order = np.argsort(known, kind="stable")
-            known, code_of = known[order], code_of[order]
-            ids.append(rows.column(0))
-            codes.append(code[back.ravel()])
-            sizes.append(np.diff(np.searchsorted(begin, offsets)))
-            total += len(data)
-            if total >= BLOCK_BYTES:
-                yield out()
-                known, code_of = np.zeros(0, np.uint64), np.zeros(0, np.int32)
-                words, ids, codes, sizes, total = [], [], [], [], 0
-        if ids:
-            yield out()
+            found, bounds = finder.find(gathered, edges)
+            words = pa.StructArray.from_arrays([finder.spell(gathered, edges), pa.ListArray.from_arrays(pa.array(bounds), pa.array(found))], ["bytes", "merges"])
+            upto = np.searchsorted(begin, offsets).astype(np.int32)
+            docs = pa.StructArray.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(upto), pa.array(code.astype(np.int32)))], ["doc_id", "codes"])
+            yield pa.RecordBatch.from_arrays([one(words), one(docs)], ["words", "docs"])
 
     return run
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids array<int>: each whole text by the ranks in ``path``, no special tokens."""
+def tokens(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, tokens string: each whole text by the ranks in ``path``, a character a token, no
+    special tokens."""
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"words array<struct<bytes:string,merges:array<int>>>, docs array<struct<doc_id:{kind},codes:array<int>>>"
     blocks = docs.select("doc_id", "text").mapInArrow(_blocks(load_ranks(path), merges(path)[2]), schema)
     of_word = F.transform("words", lambda w: fold_word(w, path))
-    ids = lambda found: F.transform(F.col("docs"), lambda d: F.struct(d["doc_id"].alias("doc_id"), F.flatten(F.transform(d["codes"], lambda c: F.get(found, c))).alias("ids")))
-    return blocks.select(F.inline(_let(of_word, ids)))
+    joined = lambda found: F.transform(F.col("docs"), lambda d: F.struct(d["doc_id"].alias("doc_id"), F.array_join(F.transform(d["codes"], lambda c: F.get(found, c)), "").alias("tokens")))
+    return blocks.select(F.inline(_let(of_word, joined)))
+
+
+def encode(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, ids array<int>: each whole text by the ranks in ``path``, no special tokens."""
+    return tokens(docs, path).select("doc_id", numbers(F.col("tokens"), vocabulary_size(path)).alias("ids"))
 
 
 def decode(ids: Column, path: str) -> Column:
@@ -306,14 +307,12 @@ def decode(ids: Column, path: str) -> Column:
     return F.encode(F.array_join(F.transform(ids, lambda i: F.get(text, i)), ""), "ISO-8859-1")
 
 
-def little_endian(ids: Column, size: int) -> Column:
-    """An array of ids below ``size`` as unsigned 32-bit numbers, low byte first."""
-    if size <= 0xD800:  # an id is a character then, and 0 its upper half
-        chars = F.split(F.lit("\U00010000".join(chr(i) for i in range(size))), "\U00010000", -1)
-        joined = F.array_join(F.transform(ids, lambda i: F.get(chars, i)), "\u0000")
-        return F.encode(F.when(F.size(ids) > 0, F.concat(joined, F.lit("\u0000"))).otherwise(""), "UTF-16LE")
+def little_endian(tokens: Column, size: int) -> Column:
+    """The ids of a row of tokens as unsigned 32-bit numbers, low byte first."""
+    if size <= GAP:  # an id is a character of two bytes then, and 0 its upper half
+        return F.encode(F.when(tokens == "", "").otherwise(F.concat(F.array_join(F.split(tokens, ""), "\u0000"), F.lit("\u0000"))), "UTF-16LE")
     hexed = F.split(F.lit(",".join(i.to_bytes(4, "little").hex() for i in range(size))), ",")
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(hexed, i)), ""))
+    return F.unhex(F.array_join(F.transform(numbers(tokens, size), lambda i: F.get(hexed, i)), ""))
 
 
 def vocabulary() -> str:
@@ -322,12 +321,16 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def vocabulary_size(path: str) -> int:
+    return max(load_ranks(path).values()) + 1
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary()
-    size = max(load_ranks(path).values()) + 1
-    return encode(table(spark, sf_dir, "documents"), path).select(
+    size, row = vocabulary_size(path), F.col("tokens")
+    return tokens(table(spark, sf_dir, "documents"), path).select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(little_endian(F.col("ids"), size), 256).alias("ids_sha256"),
-        F.sha2(decode(F.col("ids"), path), 256).alias("decoded_sha256"),
+        F.char_length(row).cast("long").alias("n_tokens"),
+        F.sha2(little_endian(row, size), 256).alias("ids_sha256"),
+        F.sha2(decode(numbers(row, size), path), 256).alias("decoded_sha256"),
     )

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from hushframe.llm import bpe, decontaminate, lm, neardup, pii, quality
+from hushframe.llm import _common, bpe, decontaminate, lm, neardup, pii, quality
 from hushframe.llm.queries import QUERIES
 
 from .helpers import docs, rows_of, write
@@ -61,8 +61,46 @@ def test_merges_of_another_vocabulary_are_pairs():
     ranks = bpe.load_ranks(bpe.vocabulary())
     piece = {r: p for p, r in ranks.items()}
     for rank in (300, 5000, 50_000):
-        a, b = (int(x) for x in re.findall(r"\d+", left[rank]))
-        assert piece[a] + piece[b] == piece[rank] and right[rank] == f"<{rank:05d}>"
+        a, b = map(ord, left[rank])  # below the gap a token is the character of its number
+        assert piece[a] + piece[b] == piece[rank] and right[rank] == bpe.token(rank)
+
+
+def test_words_of_one_hash_stay_apart(spark, tmp_path, monkeypatch):
+    """The Thue-Morse word and its complement; and all words under a hash that is always the same."""
+    thue = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = thue.translate(str.maketrans("ab", "ba"))
+    rows = [(1, thue), (2, other), (3, f"{other} {thue} {other}")]
+    d = write(tmp_path, documents=docs(rows))
+    want = {i: hashlib.sha256(t.encode()).hexdigest() for i, t in rows}
+    assert {r.doc_id: r.decoded_sha256 for r in bpe.op4_bpe(spark, d).collect()} == want
+    data = np.frombuffer("ab cd ab a cd b a".replace(" ", "").encode(), np.uint8)
+    starts = np.array([0, 2, 4, 6, 7, 9, 10])
+    ends = np.array([2, 4, 6, 7, 9, 10, 11])
+    monkeypatch.setattr(_common, "span_hashes", lambda value, first, k, size: np.zeros(len(size), np.uint64))
+    first, code = _common.distinct(data, starts, ends)
+    assert code[0] == code[2] and code[1] == code[4] and code[3] == code[6] and len(set(code.tolist())) == 4
+    assert sorted(data[starts[i] : ends[i]].tobytes() for i in first) == [b"a", b"ab", b"b", b"cd"]
+    text = np.frombuffer(b"x ab b a yy ab", np.uint8)
+    own = _common.Lexicon(_common.Words(text[:8], np.array([0, 8])))
+    assert own.numbers(_common.Words(text, np.array([0, 14]))).tolist() == [*own.of.tolist(), 0, own.of[1]]
+
+
+def test_a_vocabulary_beyond_sixteen_bits(spark, tmp_path):
+    """Ranks over 65,536, on either side of the code points that are no characters."""
+    import base64
+
+    import tiktoken
+
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 55_000, b"cd": 55_400, b"abcd": 70_000, b" x": 70_001}
+    path = tmp_path / "wide"
+    path.write_bytes(b"\n".join(base64.b64encode(p) + b" %d" % r for p, r in ranks.items()))
+    own = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+    rows = [(1, "abcdab"), (2, "a"), (3, ""), (4, "cdcd")]
+    for r in bpe.encode(spark.createDataFrame(rows, "doc_id int, text string"), str(path)).collect():
+        assert r.ids == own.encode_ordinary(dict(rows)[r.doc_id])
+    size = bpe.vocabulary_size(str(path))
+    got = bpe.tokens(spark.createDataFrame(rows, "doc_id int, text string"), str(path)).select("doc_id", bpe.little_endian(bpe.F.col("tokens"), size).alias("b"), bpe.decode(bpe.numbers(bpe.F.col("tokens"), size), str(path)).cast("string").alias("t")).collect()
+    assert all(r.b == np.array(own.encode_ordinary(dict(rows)[r.doc_id]), "<u4").tobytes() and r.t == dict(rows)[r.doc_id] for r in got)
 
 
 def test_language_model_against_a_plain_one(spark, tmp_path):
