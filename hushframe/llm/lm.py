@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ._common import PLAIN, Words, mix, planes, steps, table, text_buffers, unplanes
+from ._common import PLAIN, Words, mix, planes, steps, table, text_buffers, unique, unplanes
 
 #: Words that the smoothing allows for, seen or not.
 WORDS = 1 << 17
@@ -63,8 +63,8 @@ def _distinct(docs: pa.Table) -> np.ndarray:
     own = []
     for rows in steps(docs.select(["doc_id", "text"]).to_batches(), "text"):
         word, pair, inner, _ = _ids(rows)
-        own.append(np.unique(np.concatenate([word, pair[inner]])))
-    return _counted(own)[0]
+        own.append(unique(np.concatenate([word, pair[inner]])))
+    return unique(np.concatenate([np.zeros(0, np.uint64), *own]))
 
 
 def _ask(ranges: int):
@@ -103,7 +103,7 @@ def _hashes(cell) -> np.ndarray:
 
 def _answer(key, t):
     asked = [_hashes(c) for c in t.column("hashes")]
-    every = np.unique(np.concatenate(asked))
+    every = unique(np.concatenate(asked))
     total = np.zeros((2, len(every)), np.int64)
     for k, own in enumerate(asked):
         at = np.searchsorted(every, own)
