@@ -266,6 +266,7 @@ def steps(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK_BYT
     """Cut record batches into pieces of at most ``limit`` bytes of ``column`` or one row. Memory
     that is freed goes back to the system, since a worker may live on beside other tasks."""
     pa.set_memory_pool(pa.system_memory_pool())
+    _own_pages()
     for batch in batches:
         i = batch.schema.get_field_index(column)
         sizes = np.diff(text_buffers(batch.column(i))[1])
@@ -280,6 +281,18 @@ def steps(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK_BYT
         _trim()
 
 
+#: glibc's M_MMAP_THRESHOLD.
+_MMAP_THRESHOLD = -3
+
+
+def _own_pages() -> None:
+    """Large arrays get pages of their own, which go back when they are freed, however large the
+    arrays before them were."""
+    mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
+    if mallopt:
+        mallopt(_MMAP_THRESHOLD, 1 << 22)
+
+
 def _trim() -> None:
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
