@@ -4,42 +4,42 @@ A window is ``size`` consecutive words; each holds a whole block of ``size // 2`
 begins at a multiple of ``size // 2`` of its document. So the index has the non-overlapping blocks
 of all documents, and every rolling window of block length probes it:
 
-1. Blocks and probes meet on their hash. Tasks get them as packed byte planes, a row for each
-   piece of text and hash range, never a row a word. A probe hits if its hash has a block and
-   occurs in two documents at least. (A short hash only adds false hits, which step 2 drops.)
-2. Hits go back to their document, where each is extended: the ``size``-word windows around it
-   are hashed in 80 bits and those of their range. These meet on their hash, where the smallest doc_id wins.
-3. Windows that lost go back; adjacent ones merge into maximal repeats, whose words are removed.
-
-No step makes pairs, so the work grows with the text even if thousands of documents share a
-passage, and ranges of hashes stay even because a hot window is one place a document.
-
-Documents and their hits meet on buckets of doc_id; the text is shuffled once, and steps 2 and 3
-read that same exchange.
+1. Documents are dealt into buckets of about RANGE_BYTES. A bucket sends the distinct hashes of its
+   probes, sorted and packed as differences, a row for each range of hashes, with two bits each:
+   whether a block has it, and whether two documents of the bucket do. A hash hits if some block has
+   it and two documents do; the answer is a bit for each hash asked. (A short hash only adds false
+   hits, which step 2 drops.)
+2. The bucket extends its hits: of the ``size``-word windows around them it sends the distinct ones
+   (80 bits) with their smallest doc_id. The smallest doc_id of all buckets wins; the answer is again
+   a bit for each window asked.
+3. Windows that lost are merged where they overlap into maximal repeats, whose words are removed.
+
+A bucket asks once for what it has a thousand times, so a passage that a tenth of all documents
+share is an entry a bucket, and no range is hot. Answers are bits in the order of the questions,
+which each step finds again from the same documents; what a row says besides its entries is two
+numbers. No step makes pairs. The text is shuffled once, and all steps read that same exchange.
 
 Defined cases: null or empty text has no words and the hash of an empty text; a null doc_id counts
 as larger than every other; rows with one doc_id and one text count as one document with all its
 windows, rows with one doc_id and different texts do not take words from each other; an empty
-table gives no rows; other columns are ignored.
+table gives no rows; other columns are ignored. A very long text makes its bucket larger.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Words, mix, partitions, planes, steps, table, text_buffers, unplanes, whole, windows
+from ._common import Words, partitions, planes, steps, table, text_buffers, unique, whole, windows
 
 WINDOW = 50
 #: Text bytes for one range of hashes and one bucket of documents.
 RANGE_BYTES = 8 << 20
-#: Bytes of a window's first hash that travel; its second hash has four.
-LANE1 = 6
 NULL_ID = np.iinfo(np.int64).max
 
 
@@ -47,209 +47,197 @@ def _ids(column) -> np.ndarray:
     return column.fill_null(NULL_ID).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _ranges(h: np.ndarray, parts: int) -> np.ndarray:
-    return ((h >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.int64)
-
-
-def _widen(raw, size: int) -> np.ndarray:
-    """Numbers of which only the low ``size`` byte planes are there."""
-    flat = np.frombuffer(raw, np.uint8)
-    full = np.zeros((8, len(flat) // size), np.uint8)
-    full[:size] = flat.reshape(size, -1)
-    return np.ascontiguousarray(full.T).view(np.uint64).ravel()
-
-
-def _probe(size: int, parts: int, hash_bytes: int):
-    """Blocks and rolling windows of pieces of text, packed by range of hashes."""
-    block = size // 2
-
-    def run(batches):
-        for rows in steps(batches, "text"):
-            w = Words(*text_buffers(rows.column(1)))
-            n_words = np.diff(w.bounds)
-            h = windows(w.hashes(), block)
-            long_enough = np.repeat(n_words >= size, n_words)
-            at = np.flatnonzero((whole(w.bounds, block) & long_enough)[: len(h)])
-            if not len(at):
-                continue
-            h = h[at]
-            anchor = (at - np.repeat(w.bounds[:-1], n_words)[at]) % block == 0
-            part = _ranges(h, parts)
-            order = np.argsort(part.astype(np.uint16) if parts < 1 << 16 else part, kind="stable")
-            cut = np.concatenate([[0], np.flatnonzero(np.diff(part[order])) + 1, [len(order)]])
-            ids = _ids(rows.column(0))
-            head = (planes(np.diff(ids, prepend=0)), planes(n_words.astype(np.uint32)))
-            out = {"part": [], "ids": [], "sizes": [], "hashes": [], "places": [], "anchors": []}
-            for a, b in zip(cut[:-1], cut[1:]):
-                own = order[a:b]
-                out["part"].append(int(part[own[0]]))
-                out["ids"].append(head[0])
-                out["sizes"].append(head[1])
-                out["hashes"].append(planes(h[own])[: hash_bytes * len(own)])
-                out["places"].append(planes(np.diff(at[own], prepend=0).astype(np.uint32)))
-                out["anchors"].append(np.packbits(anchor[own]).tobytes())
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64() if k == "part" else pa.binary()) for k, v in out.items()})
-
-    return run
+def _cuts(top: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ranges that sorted 32-bit values fall into, and where each range's values begin."""
+    part = (top.astype(np.uint64) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    begin = np.flatnonzero(np.diff(part, prepend=-1))
+    return part[begin], np.append(begin, len(part))
+
+
+def _narrow(sorted_values: np.ndarray) -> bytes:
+    """Sorted numbers as differences, in as many byte planes as the largest needs."""
+    gaps = np.diff(sorted_values, prepend=np.uint64(0))
+    size = max(1, (int(gaps.max()).bit_length() + 7) // 8)
+    return planes(gaps)[: size * len(gaps)]
+
+
+def _wide(cell, n: int) -> np.ndarray:
+    flat = np.frombuffer(cell.as_buffer(), np.uint8)
+    full = np.zeros((8, n), np.uint8)
+    full[: len(flat) // n] = flat.reshape(-1, n)
+    return np.cumsum(np.ascontiguousarray(full.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _bits(cell, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(cell.as_buffer(), np.uint8), count=n).astype(bool)
+
+
+def _any(flags: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    return np.logical_or.reduceat(flags, begin) if len(begin) else np.zeros(0, bool)
+
+
+class Bucket:
+    """The probes of some documents: distinct hashes of ``bits`` bits, in order."""
+
+    def __init__(self, docs: pa.Table, size: int, bits: int):
+        self.size, self.block = size, size // 2
+        self.rows, code, ids, anchor = [], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+        for rows in steps(docs.select(["doc_id", "text"]).to_batches(), "text"):
+            w, own = Words(*text_buffers(rows.column(1))), _ids(rows.column(0))
+            words, n_words = w.hashes(), np.diff(w.bounds)
+            h = windows(words, self.block)
+            at = np.flatnonzero((whole(w.bounds, self.block) & np.repeat(n_words >= size, n_words))[: len(h)])
+            doc = np.repeat(np.arange(len(own)), n_words)
+            self.rows.append((rows.column(0), w, words, doc, own, at, len(code)))
+            code.append(h[at] >> np.uint64(64 - bits))
+            ids.append(own[doc[at]])
+            anchor.append((at - w.bounds[doc[at]]) % self.block == 0)
+        self.code = code
+        code = np.concatenate(code)
+        order = np.argsort(code, kind="stable")
+        begin = np.flatnonzero(np.diff(code[order], prepend=~code[order][:1]))
+        self.distinct = code[order][begin]
+        self.anchor = _any(np.concatenate(anchor)[order], begin)
+        ids = np.concatenate(ids)[order]
+        self.several = np.minimum.reduceat(ids, begin) < np.maximum.reduceat(ids, begin) if len(begin) else self.anchor
+
+    def extend(self, hit: np.ndarray) -> None:
+        """The windows around the probes whose hash hit (a flag for each distinct one): where they
+        start, and the distinct ones with the smallest doc_id of each."""
+        hits = self.distinct[hit]
+        self.starts, lane1, lane2, ids = [], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint16)], [np.zeros(0, np.int64)]
+        for _, w, words, doc, own, at, k in self.rows:
+            own_code = self.code[k]
+            place = at[hits[np.minimum(np.searchsorted(hits, own_code), len(hits) - 1)] == own_code] if len(hits) else at[:0]
+            delta = np.zeros(len(w) + 1, np.int64)
+            np.add.at(delta, np.maximum(place - (self.size - self.block), w.bounds[doc[place]]), 1)
+            np.add.at(delta, place + 1, -1)
+            one = windows(words, self.size)
+            start = np.flatnonzero(((np.cumsum(delta[:-1]) > 0) & whole(w.bounds, self.size))[: len(one)])
+            self.starts.append(start)
+            lane1.append(one[start])
+            lane2.append(windows(words, self.size, lane=True)[start].astype(np.uint16))
+            ids.append(own[doc[start]])
+        lane1, lane2, self.ids = (np.concatenate(x) for x in (lane1, lane2, ids))
+        order = np.lexsort((lane2, lane1))
+        new = np.ones(len(order), bool)
+        new[1:] = (lane1[order][1:] != lane1[order][:-1]) | (lane2[order][1:] != lane2[order][:-1])
+        begin = np.flatnonzero(new)
+        self.entry = np.empty(len(order), np.int64)
+        self.entry[order] = np.cumsum(new) - 1
+        self.lane1, self.lane2 = lane1[order][begin], lane2[order][begin]
+        self.least = np.minimum.reduceat(self.ids[order], begin) if len(begin) else self.ids[:0]
 
 
-def _bucket(ids: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix(ids.astype(np.uint64) + np.uint64(0x9E37)) % np.uint64(buckets)).astype(np.int64)
-
-
-def _packed(bucket: np.ndarray, cols: dict[str, np.ndarray]) -> pa.Table:
-    """A row for each bucket: its entries as byte planes."""
-    order = np.argsort(bucket, kind="stable")
-    cut = np.concatenate([[0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)]]) if len(order) else np.array([0])
-    pairs = list(zip(cut[:-1], cut[1:]))
-    out = {"bucket": pa.array([int(bucket[order[a]]) for a, _ in pairs], pa.int64())}
-    for k, v in cols.items():
-        v = v[order]
-        out[k] = pa.array([planes(v[a:b]) for a, b in pairs], pa.binary())
-    return pa.table(out)
-
-
-def _match(buckets: int, hash_bytes: int):
-    """Hits of one range: probes whose hash has a block and another document."""
-
-    def run(t):
-        h, n = [], []
-        anchors = []
-        for raw, a in zip(t.column("hashes"), t.column("anchors")):
-            h.append(_widen(raw.as_buffer(), hash_bytes))
-            n.append(len(h[-1]))
-            anchors.append(np.unpackbits(np.frombuffer(a.as_buffer(), np.uint8), count=n[-1]).astype(bool))
-        h, anchor = np.concatenate(h), np.concatenate(anchors)
-        blocks = np.unique(h[anchor])
-        at = np.searchsorted(blocks, h)
-        at[at == len(blocks)] = 0
-        cand = np.flatnonzero(blocks[at] == h) if len(blocks) else np.zeros(0, np.int64)
-        ids, word = np.zeros(len(cand), np.int64), np.zeros(len(cand), np.int64)
-        ends = np.cumsum(n)
-        cut = np.searchsorted(cand, np.concatenate([[0], ends]))
-        for k, (a, b) in enumerate(zip(cut[:-1], cut[1:])):
-            if a == b:
-                continue
-            place = np.cumsum(unplanes(t.column("places")[k].as_buffer(), np.uint32).astype(np.int64))[cand[a:b] - (ends[k] - n[k])]
-            doc_ids = np.cumsum(unplanes(t.column("ids")[k].as_buffer(), np.int64))
-            bound = np.cumsum(unplanes(t.column("sizes")[k].as_buffer(), np.uint32).astype(np.int64))
-            doc = np.searchsorted(bound, place, side="right")
-            ids[a:b] = doc_ids[doc]
-            word[a:b] = place - np.where(doc > 0, bound[doc - 1], 0)
-        of = at[cand]
-        least, most = np.full(len(blocks), NULL_ID), np.full(len(blocks), np.iinfo(np.int64).min)
-        np.minimum.at(least, of, ids)
-        np.maximum.at(most, of, ids)
-        hit = (least < most)[of]  # the block is in two documents
-        ids, word = ids[hit], word[hit]
-        return _packed(_bucket(ids, buckets), {"ids": ids, "words": word.astype(np.uint32)})
+def _answers(replies: pa.Table, kind: int, size: int) -> np.ndarray:
+    """The bits of the answers of one kind, in the order of what was asked."""
+    own = replies.filter(pc.equal(replies.column("kind"), kind)).sort_by("part")
+    flags = np.concatenate([np.zeros(0, bool), *(_bits(b, n.as_py()) for b, n in zip(own.column("bits"), own.column("n")))])
+    if len(flags) != size:
+        raise RuntimeError("a bucket has not got the answers to what it asked")
+    return flags
 
-    return run
 
+ASKED = "part long, bucket long, n int, hashes binary, anchors binary, several binary"
+REPLY = "bucket long, kind int, part long, n int, bits binary"
+SPREAD = "part long, bucket long, n int, lane1 binary, lane2 binary, ids binary"
 
-def _entries(t: pa.Table, **kinds) -> list[np.ndarray]:
-    return [np.concatenate([np.zeros(0, d)] + [unplanes(x.as_buffer(), d) for x in t.column(k)]) for k, d in kinds.items()]
-
-
-def _extend(size: int, parts: int):
-    """The size-word windows around the hits of a bucket, packed by range of hashes."""
-    block = size // 2
-
-    def run(key, docs, hits):
-        out = {k: [] for k in ("part", "lane1", "lane2", "ids", "prints", "words", "uses")}
-        ids, word = _entries(hits, ids=np.int64, words=np.uint32)
-        order = np.lexsort((word, ids))
-        ids, word = ids[order], word[order].astype(np.int64)
-        for rows in steps(docs.to_batches(), "text"):
-            data, offsets = text_buffers(rows.column(rows.schema.get_field_index("text")))
-            w = Words(data, offsets)
-            own = _ids(rows.column(rows.schema.get_field_index("doc_id")))
-            n_words = np.diff(w.bounds)
-            lo, hi = np.searchsorted(ids, own), np.searchsorted(ids, own, side="right")
-            count = np.where(n_words >= size, hi - lo, 0)
-            if not count.sum():
-                continue
-            doc = np.repeat(np.arange(len(own)), count)
-            k = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(count.sum())
-            place = word[k]
-            fits = place + block <= n_words[doc]
-            doc, place = doc[fits], place[fits]
-            delta = np.zeros(len(w) + 1, np.int64)
-            np.add.at(delta, w.bounds[doc] + np.maximum(place - (size - block), 0), 1)
-            np.add.at(delta, w.bounds[doc] + place + 1, -1)
-            h = w.hashes()
-            one = windows(h, size)
-            starts = np.flatnonzero(((np.cumsum(delta[:-1]) > 0) & whole(w.bounds, size))[: len(one)])
-            if not len(starts):
-                continue
-            lane1, lane2 = one[starts], windows(h, size, lane=True)[starts].astype(np.uint32)
-            d = np.searchsorted(w.bounds, starts, side="right") - 1
-            text_hash = _prints(data, offsets)
-            part = _ranges(lane1, parts)
-            order = np.argsort(part, kind="stable")
-            cut = np.concatenate([[0], np.flatnonzero(np.diff(part[order])) + 1, [len(order)]])
-            for a, b in zip(cut[:-1], cut[1:]):
-                pick = order[a:b]
-                used, uses = np.unique(d[pick], return_counts=True)
-                out["part"].append(int(part[pick[0]]))
-                out["lane1"].append(planes(lane1[pick])[: LANE1 * len(pick)])
-                out["lane2"].append(lane2[pick].tobytes())
-                out["ids"].append(planes(own[used]))
-                out["prints"].append(text_hash[used].tobytes())
-                out["uses"].append(planes(uses.astype(np.uint32)))
-                out["words"].append(planes((starts[pick] - w.bounds[d[pick]]).astype(np.uint32)))
-        return pa.table({k: pa.array(v, pa.int64() if k == "part" else pa.binary()) for k, v in out.items()})
 
-    return run
+def _table(schema: str, rows: list[tuple]) -> pa.Table:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    columns = list(zip(*rows)) if rows else [()] * len(fields)
+    return pa.table({name: pa.array(list(c), kinds[kind]) for (name, kind), c in zip(fields, columns)})
 
 
-def _prints(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A 64-bit fingerprint of each whole text."""
-    raw = data.tobytes()
-    return np.array([int.from_bytes(hashlib.blake2b(raw[a:b], digest_size=8).digest(), "little") for a, b in zip(offsets[:-1], offsets[1:])], dtype=np.uint64)
+def _ask(size: int, parts: int, bits: int):
+    def run(key, docs):
+        b, out = Bucket(docs, size, bits), []
+        part, cut = _cuts(b.distinct >> np.uint64(bits - 32), parts)
+        for p, x, y in zip(part, cut[:-1], cut[1:]):
+            low = -(-(int(p) << 32) // parts) << (bits - 32)  # the range's first hash
+            out.append((int(p), key[0].as_py(), int(y - x), _narrow(b.distinct[x:y] - np.uint64(low)), np.packbits(b.anchor[x:y]).tobytes(), np.packbits(b.several[x:y]).tobytes()))
+        return _table(ASKED, out)
 
+    return run
 
-def _resolve(buckets: int):
-    """Windows of one range whose words also start in a document with a smaller doc_id."""
 
-    def run(t):
-        lane1, lane2, words = (np.concatenate([f(x) for x in t.column(k)]) for k, f in (("lane1", lambda x: _widen(x.as_buffer(), LANE1)), ("lane2", lambda x: np.frombuffer(x.as_buffer(), np.uint32)), ("words", lambda x: unplanes(x.as_buffer(), np.uint32))))
-        uses = _entries(t, uses=np.uint32)[0].astype(np.int64)
-        ids = np.repeat(_entries(t, ids=np.int64)[0], uses)
-        prints = np.repeat(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("prints")]), uses)
-        order = np.lexsort((ids, lane2, lane1))
-        new = np.ones(len(order), bool)
-        new[1:] = (lane1[order][1:] != lane1[order][:-1]) | (lane2[order][1:] != lane2[order][:-1])
-        least = ids[order][np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-        lost = order[ids[order] > least]
-        return _packed(_bucket(ids[lost], buckets), {"ids": ids[lost], "prints": prints[lost], "words": words[lost]})
+def _match(key, t):
+    """Of one range, the hashes that a block has and two documents."""
+    n = t.column("n").to_pylist()
+    code = np.concatenate([_wide(c, k) for c, k in zip(t.column("hashes"), n)])
+    anchor, several = (np.concatenate([_bits(c, k) for c, k in zip(t.column(name), n)]) for name in ("anchors", "several"))
+    blocks = unique(code[anchor])
+    at = np.minimum(np.searchsorted(blocks, code), max(len(blocks) - 1, 0))
+    known = blocks[at] == code if len(blocks) else np.zeros(len(code), bool)
+    shared = np.bincount(at[known], minlength=len(blocks)) > 1
+    shared[at[known & several]] = True
+    hit = known.copy()
+    hit[known] = shared[at[known]]
+    ends = np.cumsum(n)
+    part = key[0].as_py()
+    return _table(REPLY, [(b, 0, part, k, np.packbits(hit[e - k : e]).tobytes()) for b, k, e in zip(t.column("bucket").to_pylist(), n, ends)])
+
+
+def _spread(size: int, parts: int, bits: int):
+    """The windows around the hits of a bucket; and the hits themselves, which travel on with them
+    under a negative range."""
+
+    def run(key, docs, replies):
+        if not docs.num_rows:
+            return _table(SPREAD, [])
+        bucket = key[0].as_py()
+        b = Bucket(docs, size, bits)
+        hit = _answers(replies, 0, len(b.distinct))
+        b.extend(hit)
+        out = [(-1 - bucket % parts, bucket, len(hit), np.packbits(hit).tobytes(), b"", b"")]
+        part, cut = _cuts(b.lane1 >> np.uint64(32), parts)
+        for p, x, y in zip(part, cut[:-1], cut[1:]):
+            out.append((int(p), bucket, int(y - x), _narrow(b.lane1[x:y] - np.uint64(-(-(int(p) << 32) // parts) << 32)), planes(b.lane2[x:y]), planes(b.least[x:y])))
+        return _table(SPREAD, out)
 
     return run
 
 
-def _remove(size: int):
-    def run(key, docs, lost):
-        ids, prints, word = _entries(lost, ids=np.int64, prints=np.uint64, words=np.uint32)
-        order = np.lexsort((word, prints, ids))
-        ids, prints, word = ids[order], prints[order], word[order].astype(np.int64)
-        made = []
-        for rows in steps(docs.to_batches(), "text"):
-            column = rows.column(rows.schema.get_field_index("doc_id"))
-            data, offsets = text_buffers(rows.column(rows.schema.get_field_index("text")))
-            w = Words(data, offsets)
-            own = _ids(column)
-            lo, hi = np.searchsorted(ids, own), np.searchsorted(ids, own, side="right")
+def _resolve(key, t):
+    """Of one range, the windows whose words also start in a document with a smaller doc_id than any
+    of the bucket that asked."""
+    part, n, buckets = key[0].as_py(), t.column("n").to_pylist(), t.column("bucket").to_pylist()
+    if part < 0:
+        return _table(REPLY, [(b, 0, 0, k, c.as_py()) for b, k, c in zip(buckets, n, t.column("lane1"))])
+    lane1 = np.concatenate([_wide(c, k) for c, k in zip(t.column("lane1"), n)])
+    plane = lambda c, kind: np.ascontiguousarray(np.frombuffer(c.as_buffer(), np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+    lane2 = np.concatenate([plane(c, np.uint16) for c in t.column("lane2")])
+    ids = np.concatenate([plane(c, np.int64) for c in t.column("ids")])
+    order = np.lexsort((ids, lane2, lane1))
+    new = np.ones(len(order), bool)
+    new[1:] = (lane1[order][1:] != lane1[order][:-1]) | (lane2[order][1:] != lane2[order][:-1])
+    least = ids[order][np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    lost = np.zeros(len(order), bool)
+    lost[order] = ids[order] > least
+    ends = np.cumsum(n)
+    return _table(REPLY, [(b, 1, part, k, np.packbits(lost[e - k : e]).tobytes()) for b, k, e in zip(buckets, n, ends)])
+
+
+def _remove(size: int, bits: int):
+    def run(key, docs, replies):
+        made = [pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept": pa.array([], pa.string())})]
+        if not docs.num_rows:
+            return made[0]
+        b = Bucket(docs, size, bits)
+        b.extend(_answers(replies, 0, len(b.distinct)))
+        lost = _answers(replies, 1, len(b.least))[b.entry] | (b.ids > b.least[b.entry])
+        done = 0
+        for (column, w, *_), start in zip(b.rows, b.starts):
             delta = np.zeros(len(w) + 1, np.int64)
-            if (hi > lo).any():
-                for d in np.flatnonzero(hi > lo):
-                    p = int.from_bytes(hashlib.blake2b(data[offsets[d] : offsets[d + 1]].tobytes(), digest_size=8).digest(), "little")
-                    starts = np.unique(word[lo[d] : hi[d]][prints[lo[d] : hi[d]] == np.uint64(p)]) + w.bounds[d]
-                    delta[starts] += 1
-                    np.add.at(delta, starts + size, -1)
+            gone = start[lost[done : done + len(start)]]
+            done += len(start)
+            delta[gone] += 1
+            np.add.at(delta, gone + size, -1)
             gone = np.cumsum(delta[:-1]) > 0
             # kept words joined by one space: their bytes, each word followed by a space
             stay = ~gone
-            mark = np.zeros(len(data) + 1, np.int8)
+            mark = np.zeros(len(w.data) + 1, np.int8)
             np.add.at(mark, w.starts[stay], 1)
             np.add.at(mark, w.ends[stay], -1)
             inside = np.cumsum(mark[:-1]) > 0
@@ -258,45 +246,32 @@ def _remove(size: int):
             joined = np.full(int(total[-1]), 0x20, np.uint8)
             begin = total[:-1][stay]
             run_of = np.repeat(begin - (np.cumsum(length[stay]) - length[stay]), length[stay])
-            joined[run_of + np.arange(int(length[stay].sum()))] = data[inside]
+            joined[run_of + np.arange(int(length[stay].sum()))] = w.data[inside]
             raw, edge = joined.tobytes(), total[w.bounds]
             removed = np.concatenate([[0], np.cumsum(gone)])[w.bounds]
             made.append(pa.table({
                 "doc_id": column,
                 "n_words": pa.array(np.diff(w.bounds).astype(np.int64)),
                 "n_removed": pa.array(np.diff(removed).astype(np.int64)),
-                "kept": pa.array([raw[a : max(a, b - 1)].decode() for a, b in zip(edge[:-1], edge[1:])], pa.string()),
+                "kept": pa.array([raw[x : max(x, y - 1)].decode() for x, y in zip(edge[:-1], edge[1:])], pa.string()),
             }))
-        return pa.concat_tables(made) if made else pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept": pa.array([], pa.string())})
+        return pa.concat_tables(made)
 
     return run
 
 
-def dedup_substrings(docs: DataFrame, size: int = WINDOW) -> DataFrame:
+def dedup_substrings(docs: DataFrame, size: int = WINDOW, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept (kept words joined by one space)."""
-    spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts = max(2 * partitions(spark), math.ceil(total / RANGE_BYTES))
-    # bits for the blocks there can be, less those the range says, and ten more: one probe in a
-    # thousand hits by chance
-    hash_bytes = min(8, max(3, math.ceil((math.log2(max(total, size) / size) - math.log2(parts) + 10) / 8)))
-    packed = "hashes binary, places binary, anchors binary"
-    probes = source.mapInArrow(_probe(size, parts, hash_bytes), f"part long, ids binary, sizes binary, {packed}")
-    hits = probes.groupBy("part").applyInArrow(_match(parts, hash_bytes), "bucket long, ids binary, words binary")
-
-    texts = source.mapInArrow(_with_bucket(parts), "bucket long, doc_id long, text string")
-    windows_of = texts.groupBy("bucket").cogroup(hits.groupBy("bucket")).applyInArrow(_extend(size, parts), "part long, lane1 binary, lane2 binary, ids binary, prints binary, words binary, uses binary")
-    lost = windows_of.groupBy("part").applyInArrow(_resolve(parts), "bucket long, ids binary, prints binary, words binary")
-    return texts.groupBy("bucket").cogroup(lost.groupBy("bucket")).applyInArrow(_remove(size), "doc_id long, n_words long, n_removed long, kept string")
-
-
-def _with_bucket(buckets: int):
-    def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_bucket(_ids(b.column(0)), buckets)), b.column(0), b.column(1)], ["bucket", "doc_id", "text"])
-
-    return run
+    parts = max(2 * partitions(docs.sparkSession), math.ceil(total / range_bytes))
+    # bits for the blocks there can be and ten more: one probe in a thousand hits by chance
+    bits = min(64, max(32, math.ceil(math.log2(max(total, size) / size)) + 10))
+    texts = source.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).alias("bucket"), "doc_id", "text")
+    hits = texts.groupBy("bucket").applyInArrow(_ask(size, parts, bits), ASKED).groupBy("part").applyInArrow(_match, REPLY)
+    spread = texts.groupBy("bucket").cogroup(hits.groupBy("bucket")).applyInArrow(_spread(size, parts, bits), SPREAD)
+    lost = spread.groupBy("part").applyInArrow(_resolve, REPLY)
+    return texts.groupBy("bucket").cogroup(lost.groupBy("bucket")).applyInArrow(_remove(size, bits), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,6 +84,32 @@ def test_substring_null_and_repeated_ids(spark, tmp_path):
     assert got == [(-1, 60), (-1, 60), (5, 0), (5, 0), (5, 0), (9, 60)]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_substrings_over_many_buckets(spark, tmp_path, monkeypatch, seed):
+    monkeypatch.setattr(substring, "RANGE_BYTES", 4000)
+    monkeypatch.setattr(substring.dedup_substrings, "__defaults__", (50, 4000))
+    rows = corpus(seed + 20, 150)
+    rows = [r for i, r in enumerate(rows) if r[0] not in {x[0] for x in rows[:i]}]
+    rows += [(1000 + i, rows[62][1] + f" tail{i} " + rows[61][1]) for i in range(60)]  # a passage in many documents
+    d = write(tmp_path, documents=docs(rows))
+    assert rows_of(substring.op10_substrings(spark, d)) == sql_rows(d, substring.OP10_SQL, "documents")
+
+
+def test_what_a_bucket_sends_does_not_grow_with_the_ranges():
+    rnd = random.Random(1)
+    text = pa.table({"doc_id": pa.array(range(200), pa.int64()), "text": [" ".join(rnd.choice(WORDS) + str(rnd.randint(0, 99)) for _ in range(300)) for _ in range(200)]})
+    key = (pa.scalar(3),)
+    sizes = {}
+    for parts in (64, 4096):
+        t = substring._ask(50, parts, 40)(key, text)
+        assert sum(t.column("n").to_pylist()) == len(substring.Bucket(text, 50, 40).distinct)
+        sizes[parts] = sum(t.column(c).nbytes for c in ("part", "bucket"))
+        assert t.num_rows <= parts and sizes[parts] == 16 * t.num_rows  # a row says two numbers besides its entries
+    one = sum(len(c.as_py()) for c in substring._ask(50, 64, 40)(key, text).column("hashes"))
+    many = sum(len(c.as_py()) for c in t.column("hashes"))
+    assert many <= one * 1.1
+
+
 def test_fm_index_against_search():
     rnd = np.random.default_rng(3)
     s = rnd.integers(0, 4, 500)
