@@ -190,16 +190,54 @@ def test_top_k(spark, tmp_path):
 
 
 @pytest.mark.parametrize("scale", [10, 10**5, 10**9])
-def test_bounds_never_lose_a_row(scale):
+@pytest.mark.parametrize("shape", ["flat", "few stand out"])
+def test_bounds_never_lose_a_row(scale, shape):
     rnd = np.random.default_rng(7)
     m = (rnd.normal(size=(400, 6)) * scale).astype(np.int64)
     m[100:110] = m[0]
+    if shape != "flat":
+        m[200:] //= 50
     q, qid, ids = m[:30], np.arange(30), np.arange(400)
-    i, j, s = topk.nra(q, qid, m, ids, 5)
     full = q.astype(object) @ m.T.astype(object)
-    for k in range(30):
-        want = sorted(((-full[k][x], x) for x in range(400) if x != k))[:5]
-        assert [(-a, b) for a, b, c in zip(s, j, i) if c == k] == want
+    depths = []
+    for floor in (-np.inf, 0):
+        found, read = topk.nra(q, qid, np.array([floor] * 30, object), m, ids, 5)
+        depths.append(read.mean())
+        for k, (j, s) in enumerate(found):
+            want = sorted((-full[k][x], x) for x in range(400) if x != k and full[k][x] >= floor)[:5]
+            got = sorted((-int(b), int(a)) for a, b in zip(j, s))
+            assert [x for x in got if -x[0] >= floor][: len(want)] == want
+            assert all(full[k][x] == -y for y, x in got)
+    assert depths[1] <= depths[0] and (shape == "flat" or depths[0] < 400)
+
+
+def test_lists_are_read_no_further_than_needed(spark):
+    """Vectors that lie far apart in size: the best are known early, and later blocks end at once."""
+    rnd = np.random.default_rng(2)
+    rows = [(i, (np.abs(rnd.normal(size=6)) * (1000 if i < 40 else 10) + 1).astype(int).tolist()) for i in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    got = topk.top_k(df, df.where("vec_id < 5"), 10).collect()
+    m = np.array([v for _, v in rows])
+    for i in range(5):
+        want = sorted((-int(m[i] @ m[x]), x) for x in range(3000) if x != i)[:10]
+        assert sorted((-r.score, r.vec_id) for r in got if r.query_id == i) == want
+        assert {r["rank"] for r in got if r.query_id == i} == set(range(1, 11))
+    assert all(r.depth < 1 for r in got)
+
+
+def test_top_k_of_odd_vectors(spark, monkeypatch):
+    """Several lengths (none among them), repeated ids, blocks of few rows and of few queries."""
+    monkeypatch.setattr(topk, "CELLS", 40)
+    monkeypatch.setattr(topk, "ROWS", 16)
+    monkeypatch.setattr(topk, "QUERIES", 7)
+    rnd = np.random.default_rng(3)
+    rows = [(i, rnd.integers(-5, 6, int(rnd.choice([0, 1, 3, 4, 4, 4, 4, 60]))).tolist()) for i in range(150)] + [(20, [1, 2]), (3, [4])]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    queries = [(i, v) for i, v in rows[:150] if i % 10 == 0]
+    got = topk.top_k(df, spark.createDataFrame(queries, "vec_id long, v array<long>"), 4).collect()
+    for i, v in queries:
+        want = sorted((-sum(a * b for a, b in zip(v, w)), x) for x, w in rows if x != i)[:4]
+        assert [(-r.score, r.vec_id) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == i] == want
 
 
 def test_chat(spark, tmp_path):
