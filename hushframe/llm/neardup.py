@@ -7,18 +7,22 @@ is about one document of each class.
 
 * Bands: ``plan_bands`` takes the most rows a band and then the fewest bands that keep the chance
   to miss a pair at the threshold under ``1 - recall``. Band hashes are shuffled; documents of
-  one band value are linked to their smallest id: links grow with the documents, not with pairs.
-* The connected parts of these links hold every pair that shares a band. A part is verified on
-  full sets, in pairs of blocks of its documents; a task counts intersections by postings and
-  gives back each document's links and a forest of the linked ones, never the pairs.
+  one band value, a bucket, are linked to their smallest id: links grow with the documents.
+* Documents in buckets are put in the order of the connected parts of these links and dealt into
+  blocks of about BLOCK_WEIGHT, so that a bucket's documents lie in few blocks. A document is sent
+  to a pair of blocks if it is in one of them and shares a bucket with a document of the other;
+  there full sets are compared. So a pair that shares a band meets once, and parts that hang
+  together by chance links cost no more than these links. A task counts intersections by postings
+  and gives back each document's links and a forest of the linked ones, never the pairs.
 * Connected parts of the verified links are the duplicate groups.
 
 Connected parts come from rounds of large-star and small-star steps over tables in the shared
-folder; no link or part comes to the driver.
+folder; no link or part comes to the driver. The neighbours of a star's centre are dealt over SALTS tasks.
 
 Defined cases: null texts and texts without a word have no set: no links, and a group of their own;
 rows with one id are one document (if their texts differ, that of the smallest set hash counts);
-null ids take no part; an empty table gives no rows; other columns are ignored.
+null ids take no part; an empty table gives no rows; other columns are ignored. Very long texts
+make blocks of few documents.
 """
 
 from __future__ import annotations
@@ -27,14 +31,18 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import ALNUM, LOWER, Words, drop_kept, keep, mix, steps, table, text_buffers, windows
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.9995
-#: Documents in a block of a part that is verified.
-BLOCK = 256
+#: N-grams in a block of documents that are verified, and n-grams that a document counts as besides
+#: its own, which bounds the documents of a block.
+BLOCK_WEIGHT, DOC_WEIGHT = 1 << 19, 256
+#: Tasks among which the neighbours of one node are dealt.
+SALTS = 16
 
 
 def plan_bands(threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = 128) -> tuple[int, int]:
@@ -115,9 +123,12 @@ def connected(links: DataFrame, what: str = "links") -> DataFrame:
     edges = keep(links.select("a", "b").where("a <> b").distinct(), what)
     before = None
     while True:
-        # large star: every larger neighbour is linked to the smallest of the neighbourhood
-        least = both(edges).groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both(edges).where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        # large star: every larger neighbour is linked to the smallest of the neighbourhood; only
+        # nodes with a larger neighbour, of which there are few, are copied for the salts
+        near = both(edges).groupBy("a").agg(F.min("b").alias("m"), F.max("b").alias("most")).where("most > a")
+        least = near.select("a", F.least("a", "m").alias("m"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        up = both(edges).where("b > a").withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+        large = up.join(least, ["a", "salt"]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = keep(large, what)
         # small star: every smaller neighbour, and the node, are linked to the smallest of them
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
@@ -134,16 +145,31 @@ def connected(links: DataFrame, what: str = "links") -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def _dealt(weight: int):
+    """Rows in order, cut into blocks by weight; a block lies within one partition."""
+
+    def run(batches):
+        part, upto = TaskContext.get().partitionId(), 0
+        for b in batches:
+            total = upto + np.cumsum(b.column(3).to_numpy().astype(np.int64) + DOC_WEIGHT)
+            upto = int(total[-1]) if len(total) else upto
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(part << 32 | total // weight)], ["id", "copies", "set1", "block"])
+
+    return run
+
+
 def _verify(threshold: float):
-    """Links and a spanning forest within one pair of blocks (x, y) of a part."""
+    """Links and a spanning forest within one pair of blocks (x, y)."""
 
     def run(key, t):
+        # a document that was read in two tasks is here twice
+        t = t.take(np.unique(t.column("id").to_numpy(), return_index=True)[1])
         ids, side = t.column("id").to_numpy(), t.column("side").to_numpy()
         weight = t.column("copies").to_numpy().astype(np.int64)
         sets = t.column("grams")
         order = np.lexsort((ids, side))
         x, y = (order[side[order] == s] for s in (0, 1))
-        own = not len(y)  # a block with itself
+        own = key[0] == key[1]  # a block with itself
         if own:
             y = x
         get = lambda k: np.frombuffer(sets[int(k)].as_buffer(), np.uint64)
@@ -190,17 +216,26 @@ def _verify(threshold: float):
 
 
 def _sets(n: int):
+    """The sets of rows that come in the order of their ids: one for each id, that of its class."""
+
     def run(batches):
+        last = None
         for rows in steps(batches, "text"):
             g, bounds = _unique(*_grams(rows, n))
             total = np.concatenate([[np.uint64(0)], np.cumsum(mix(g))])[bounds]
-            raw = [g[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
-            yield pa.RecordBatch.from_arrays([rows.column(2), pa.array(np.diff(total).view(np.int64)), pa.array(raw, pa.binary())], ["row", "set1", "grams"])
+            ids = rows.column(0).to_numpy()
+            pick = []
+            for i in np.flatnonzero(np.diff(total).view(np.int64) == rows.column(2).field("set1").to_numpy()):
+                if ids[i] != last:
+                    pick.append(i)
+                    last = ids[i]
+            raw = [g[bounds[i] : bounds[i + 1]].tobytes() for i in pick]
+            yield pa.RecordBatch.from_arrays([rows.column(2).take(pa.array(pick, pa.int64())), pa.array(raw, pa.binary())], ["row", "grams"])
 
     return run
 
 
-def jaccard_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+def jaccard_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, block_weight: int = BLOCK_WEIGHT) -> DataFrame:
     """doc_id, class_id (smallest doc_id of its group), n_links (documents similar to it, copies
     included), n_copies (documents with its very set of n-grams, itself included)."""
     bands, per_band = plan_bands(threshold, recall)
@@ -212,25 +247,24 @@ def jaccard_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, r
     # one document of each set; a hot set is aggregated before it is shuffled
     classes = keep(signed.groupBy(*of_set).agg(F.min_by("bands", "id").alias("bands"), F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")), "classes")
     band = classes.select("id", F.posexplode("bands").alias("band", "h"))
-    least = band.groupBy("band", "h").agg(F.min("id").alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    links = band.join(least, ["band", "h"]).where("id <> m").select(F.col("id").alias("a"), F.col("m").alias("b")).distinct()
-    part_of = connected(links, "candidates")
+    least = band.groupBy("band", "h").agg(F.min("id").alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "h", "m")
+    shared = keep(band.join(least, ["band", "h"]), "buckets")
+    part_of = connected(shared.where("id <> m").select(F.col("id").alias("a"), F.col("m").alias("b")), "candidates")
     roots = part_of.select(F.col("root").alias("node"), "root").distinct()
     members = part_of.unionByName(roots).select(F.col("node").alias("id"), F.col("root").alias("part"))
-    # members of a part get numbers from ranges of their hash, so that no window holds a whole part
-    sliced = members.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(64)).cast("int"))
-    sizes = sliced.groupBy("part", "slice").agg(F.count(F.lit(1)).alias("n"))
-    upto = Window.partitionBy("part").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    begin = sizes.select("part", "slice", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("begin"), F.sum("n").over(Window.partitionBy("part")).alias("size"))
-    number = F.col("begin") + F.row_number().over(Window.partitionBy("part", "slice").orderBy("id")) - 1
-    placed = sliced.join(begin, ["part", "slice"]).select("id", "part", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.floor(number / BLOCK).cast("int").alias("block"))
-    placed = keep(placed.join(classes.select("id", "copies", "set1"), "id"), "members")
-    texts = source.withColumnRenamed("doc_id", "id").join(placed.hint("merge"), "id").select("id", "text", F.struct("id", "set1", "part", "block", "blocks", "copies").alias("row"))
-    sets = texts.mapInArrow(_sets(n), "row struct<id:long,set1:long,part:long,block:int,blocks:int,copies:long>, set1 long, grams binary")
-    pairs = sets.where("set1 = row.set1").dropDuplicates(["row"]).select("row.*", "grams").select(
-        "id", "copies", "grams", "part", F.col("block").alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"),
-    ).select("id", "copies", "grams", "part", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
-    found = keep(pairs.groupBy("part", "x", "y").applyInArrow(_verify(threshold), "id long, root long, links long"), "verified")
+    ordered = members.join(classes.select("id", "copies", "set1", "n_grams"), "id").repartitionByRange("part", "id").sortWithinPartitions("part", "id")
+    blocks = keep(ordered.select("id", "copies", "set1", "n_grams").mapInArrow(_dealt(block_weight), "id long, copies long, set1 long, block long"), "blocks")
+    # the blocks that a bucket's documents lie in are those that each of them is sent to
+    spread = shared.select("id", "band", "h").join(blocks.select("id", "block"), "id")
+    lies_in = spread.groupBy("band", "h").agg(F.collect_set("block").alias("blocks"))
+    to = spread.join(lies_in, ["band", "h"]).select("id", F.explode("blocks").alias("other")).distinct()
+    placed = to.join(blocks, "id").groupBy("id", "copies", "set1", "block").agg(F.collect_list("other").alias("others"))
+    texts = source.withColumnRenamed("doc_id", "id").join(placed.hint("merge"), "id").select("id", "text", F.struct("id", "set1", "copies", "block", "others").alias("row"))
+    sets = texts.mapInArrow(_sets(n), "row struct<id:long,set1:long,copies:long,block:long,others:array<long>>, grams binary")
+    pairs = sets.select("row.id", "row.copies", "grams", F.col("row.block").alias("own"), F.explode("row.others").alias("other")).select(
+        "id", "copies", "grams", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side")
+    )
+    found = keep(pairs.groupBy("x", "y").applyInArrow(_verify(threshold), "id long, root long, links long"), "verified")
     group = connected(found.select(F.col("id").alias("a"), F.col("root").alias("b")), "groups")
     n_links = found.groupBy("id").agg(F.sum("links").alias("links"))
     per_class = classes.join(n_links, "id", "left").join(group, F.col("id") == F.col("node"), "left").select(

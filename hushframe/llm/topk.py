@@ -72,8 +72,16 @@ def _unpacked(ids: bytes, d: int, kind: str, m: bytes) -> tuple[np.ndarray, np.n
     return own, np.frombuffer(m, kind).astype(np.int64).reshape(len(own), d)
 
 
-def _blocks(batches):
+def _blocks(rows: int, cells: int):
     """Blocks of candidates, each of one length."""
+
+    def run(batches):
+        yield from _cut(batches, rows, cells)
+
+    return run
+
+
+def _cut(batches, rows: int, cells: int):
     held: dict[int, list] = {}
     part, n = TaskContext.get().partitionId(), 0
 
@@ -86,7 +94,7 @@ def _blocks(batches):
 
     for b in batches:
         for d, ids, m in _by_length(b.column(0), b.column(1)):
-            most = max(1, min(ROWS, CELLS // max(d, 1)))
+            most = max(1, min(rows, cells // max(d, 1)))
             at = 0
             while at < len(ids):
                 own = held.setdefault(d, [])
@@ -95,7 +103,7 @@ def _blocks(batches):
                 at += room
                 if at <= len(ids):
                     yield out(d)
-        while sum(len(i) * max(d, 1) for d, own in held.items() for i, _ in own) > 2 * CELLS:  # many lengths
+        while sum(len(i) * max(d, 1) for d, own in held.items() for i, _ in own) > 2 * cells:  # many lengths
             yield out(max(held, key=lambda d: sum(len(i) for i, _ in held[d]) * max(d, 1)))
     for d in list(held):
         yield out(d)
@@ -194,7 +202,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     blocks = max(1, math.ceil(queries.count() / QUERIES))
     n_rows = max(1, math.ceil(candidates.count() / ROWS))
     packed = "ids binary, d int, kind string, m binary"
-    cand = candidates.select("vec_id", "v").repartition(n_rows).mapInArrow(_blocks, f"block long, {packed}")
+    cand = candidates.select("vec_id", "v").repartition(n_rows).mapInArrow(_blocks(ROWS, CELLS), f"block long, {packed}")
     grouped = queries.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("qb"))
 
     def pack_queries(key, t):

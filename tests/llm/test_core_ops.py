@@ -131,15 +131,36 @@ def test_jaccard_against_sql(spark, tmp_path):
     assert rows_of(neardup.op2_jaccard(spark, d)) == sql_rows(d, neardup.OP2_SQL, "documents")
 
 
-def test_jaccard_blocks_of_a_large_group(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK", 7)
+def test_jaccard_blocks_of_a_large_group(spark):
     base = [f"w{i}" for i in range(200)]
     rows = [(i, " ".join(base[:20] + [f"x{i}"] + base[20:])) for i in range(40)]
-    d = write(tmp_path, documents=docs(rows + [(0, rows[0][1])]))
-    got = neardup.op2_jaccard(spark, d).collect()
+    got = neardup.jaccard_classes(spark.createDataFrame(rows + [(0, rows[0][1])] * 3, "doc_id long, text string"), block_weight=3000).collect()
     assert [(r.class_id, r.n_links) for r in got] == [(0, 39)] * 40
 
 
+def test_chained_documents_are_sent_where_they_share_a_bucket(spark):
+    """A long chain of which only neighbours are similar: sets sent grow with the links."""
+    word = [f"c{i}" for i in range(2300)]
+    rows = [(i, " ".join(word[10 * i : 10 * i + 200])) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in neardup.jaccard_classes(df, block_weight=3000).collect()}
+    grams = [{tuple(t.split()[k : k + 5]) for k in range(196)} for _, t in rows]
+    for i in range(200):
+        assert got[i].n_links == sum(len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j]) for j in range(max(0, i - 5), min(200, i + 6)) if j != i)
+        assert got[i].class_id == 0
+
+
+def test_star_parts(spark):
+    rnd = random.Random(5)
+    links = [(0, i) for i in range(1, 300)] + [(rnd.randint(300, 600), rnd.randint(300, 600)) for _ in range(250)]
+    root = list(range(601))
+    for _ in range(20):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {r.node: r.root for r in neardup.connected(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert all(got.get(i, i) == root[i] for i in range(601))
+
+
 def test_bands_reach_the_recall():
     bands, per_band = neardup.plan_bands(0.8, 0.9995)
     assert 1 - (1 - 0.8**per_band) ** bands >= 0.9995
