@@ -1,7 +1,8 @@
 """Chat formatting with Spark expressions only.
 
 One row per conversation: turn structs are collected and sorted, adjacent turns of one role are
-merged by array aggregation, and the pieces are concatenated. A merged block is
+merged into blocks by array expressions, and the pieces are concatenated. The work is in proportion
+to the text, and to the turns but for a logarithm. A merged block is
 
     <|im_start|>ROLE\\nTEXT<|im_sep|>TEXT<|im_end|>\\n
 
@@ -11,7 +12,8 @@ break or backslash in a role is written as ``\\n`` or two backslashes.
 
 Defined cases: null text or role counts as empty; rows that tie on the turn are ordered by role,
 then text; a null turn comes first; rows with a null conv_id form one conversation; repeated rows
-are repeated turns; an empty table gives no rows; other columns are ignored.
+are repeated turns; an empty table gives no rows; other columns are ignored. A conversation is one
+row of the result, however long it and its texts are.
 """
 
 from __future__ import annotations
@@ -38,8 +40,14 @@ def _role_out(c: Column) -> Column:
 
 
 def _role_in(c: Column) -> Column:
-    marked = F.replace(unescape(c), F.lit("\\\\"), F.lit("\u0000"))
-    return F.replace(F.replace(marked, F.lit("\\n"), F.lit("\n")), F.lit("\u0000"), F.lit("\\"))
+    """Between doubled backslashes, which are backslashes, a single one can only begin a line break."""
+    return F.array_join(F.transform(F.split(unescape(c), r"\\\\", -1), lambda x: F.replace(x, F.lit("\\n"), F.lit("\n"))), "\\")
+
+
+def _running(sizes: Column) -> Column:
+    """Sums of an array up to each place, by doubling the reach: a pass for each power of two."""
+    reach = F.filter(F.array(*[F.lit(1 << k) for k in range(31)]), lambda r: r < F.size(sizes))
+    return F.aggregate(reach, sizes, lambda a, r: F.transform(a, lambda x, i: x + F.when(i >= r, F.get(a, i - r)).otherwise(0)))
 
 
 def format_chat(rows: DataFrame, learn: str = "assistant") -> DataFrame:
@@ -50,37 +58,23 @@ def format_chat(rows: DataFrame, learn: str = "assistant") -> DataFrame:
         F.coalesce(F.col("role"), F.lit("")).alias("role"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
     )
-    sorted_turns = rows.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    blank = F.expr("cast(array() as array<struct<role:string,texts:array<string>>>)")
-
-    def merge(acc: Column, t: Column) -> Column:
-        last = F.element_at(acc, -1)
-        same = (F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["role"] == t["role"])
-        grown = F.struct(t["role"].alias("role"), F.array_append(last["texts"], escape(t["text"])).alias("texts"))
-        fresh = F.struct(t["role"].alias("role"), F.array(escape(t["text"])).alias("texts"))
-        return F.when(same, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(fresh)))
-
-    blocks = sorted_turns.select("conv_id", F.aggregate("turns", blank, merge).alias("blocks"))
-    head = lambda b: F.concat(F.lit(START), _role_out(b["role"]), F.lit("\n"))
-    body = lambda b: F.array_join(b["texts"], SEP)
-    pieces = F.transform("blocks", lambda b: F.concat(head(b), body(b), F.lit(END)))
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,length:int>>)").alias("spans"))
-
-    def inside(acc: Column, x: Column) -> Column:
-        span = F.struct(acc["at"].alias("start"), F.char_length(x).alias("length"))
-        return F.struct((acc["at"] + F.char_length(x) + len(SEP)).alias("at"), F.array_append(acc["spans"], span).alias("spans"))
-
-    def over(acc: Column, b: Column) -> Column:
-        begin = acc["at"] + F.char_length(head(b))
-        none = F.expr("cast(array() as array<struct<start:int,length:int>>)")
-        own = F.aggregate(b["texts"], F.struct(begin.alias("at"), none.alias("spans")), inside, lambda a: a["spans"])
-        spans = F.when(b["role"] == learn, F.concat(acc["spans"], own)).otherwise(acc["spans"])
-        return F.struct((begin + F.char_length(body(b)) + len(END)).alias("at"), spans.alias("spans"))
-
-    return blocks.select(
+    turns = rows.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    opens = F.transform("turns", lambda t, i: (i == 0) | (t["role"] != F.get(F.col("turns"), i - 1)["role"]))
+    turns = turns.select("conv_id", F.col("turns.role").alias("roles"), F.transform("turns", lambda t: escape(t["text"])).alias("texts"), opens.alias("opens"))
+    # a block: a turn of another role than the one before, and those that follow it
+    begin = F.filter(F.transform("opens", lambda o, i: F.when(o, i)), lambda i: i.isNotNull())
+    turns = turns.withColumn("begin", begin)
+    one = lambda i, k: F.struct(_role_out(F.get("roles", i)).alias("role"), F.slice("texts", i + 1, F.coalesce(F.get("begin", k + 1), F.size("texts")) - i).alias("texts"))
+    turns = turns.withColumn("blocks", F.transform("begin", one))
+    pieces = F.transform("blocks", lambda b: F.concat(F.lit(START), b["role"], F.lit("\n"), F.array_join(b["texts"], SEP), F.lit(END)))
+    # what stands before each text: the end of one block and the head of the next, or a separator
+    before = lambda o, i: F.when(o, F.when(i > 0, len(END)).otherwise(0) + len(START) + F.char_length(_role_out(F.get("roles", i))) + 1).otherwise(len(SEP))
+    turns = turns.withColumn("ends", F.transform(F.arrays_zip("opens", "texts"), lambda t, i: before(t["opens"], i) + F.char_length(t["texts"]))).withColumn("ends", _running(F.col("ends")))
+    spans = F.transform("texts", lambda t, i: F.when(F.get("roles", i) == learn, F.struct((F.get("ends", i) - F.char_length(t)).alias("start"), F.char_length(t).alias("length"))))
+    return turns.select(
         "conv_id",
         F.array_join(pieces, "").alias("formatted"),
-        F.aggregate("blocks", zero, over, lambda a: a["spans"]).alias("loss"),
+        F.filter(spans, lambda s: s.isNotNull()).alias("loss"),
         F.size("blocks").alias("n_blocks"),
     )
 

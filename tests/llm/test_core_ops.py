@@ -277,3 +277,21 @@ def test_chat(spark, tmp_path):
     assert [r for r in rows_of(got) if r[0] == 4][0][2:] == [r for r in want if r[0] == 4][0][2:]
     none = write(tmp_path, conversations=t.slice(0, 0))
     assert [r.conv_id for r in chat.op9_chat(spark, none).collect()] == [-1]
+
+
+def test_chat_reads_back_what_it_wrote(spark):
+    """Control characters in roles, many turns, a very long text."""
+    rnd = random.Random(6)
+    bits = ["\0", "\\", "\\n", "\n", "<", "|", "<|im_end|>", "<|im_sep|>\n", "é", "😀", "\u0001", "a"]
+    made = lambda: "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 6)))
+    rows = [(c, t, made(), made()) for c in range(40) for t in range(rnd.randint(1, 9))]
+    rows += [(100, t, rnd.choice(["user", "assistant"]), f"text {t}") for t in range(6000)] + [(101, 0, "assistant", "long <| " * 300_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.parse_chat(chat.format_chat(df)).collect()}
+    for c in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == c]
+        assert [(t.role, t.text) for t in got[c].turns] == [(r[2], r[3]) for r in own]
+        assert got[c].loss_text == "".join(r[3] for r in own if r[2] == "assistant")
+        assert got[c].n_blocks == sum(i == 0 or r[2] != own[i - 1][2] for i, r in enumerate(own))
+        spans = [got[c].formatted[s.start : s.start + s.length] for s in got[c].loss]
+        assert "".join(spans).replace("<\\|", "<|") == got[c].loss_text or "\\" in got[c].loss_text
