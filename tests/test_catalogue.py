@@ -1,6 +1,9 @@
 """Every query with SQL agrees with DuckDB on the smallest tables."""
 
 import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -34,6 +37,21 @@ def test_query(spark, name):
         assert got == want
 
 
+def test_the_rest_stands_alone(tmp_path):
+    """Without the training-data operators, with and without the pipeline that uses them."""
+    here = os.path.dirname(os.path.abspath(entry.__file__))
+    for keep_pipeline in (True, False):
+        own = tmp_path / str(keep_pipeline)
+        shutil.copytree(f"{here}/hushframe", own / "hushframe", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+        for f in ("__spark_entry__.py", *["corpus_pipeline.py"] * keep_pipeline):
+            if os.path.exists(f"{here}/{f}"):
+                shutil.copy(f"{here}/{f}", own)
+        code = "import __spark_entry__ as e; print(*sorted(e.queries())); assert set(e.oracle_sql()) <= set(e.queries())"
+        done = subprocess.run([sys.executable, "-B", "-c", code], cwd=own, env=os.environ | {"PYTHONPATH": ""}, capture_output=True, text=True)
+        assert done.returncode == 0, done.stderr
+        assert done.stdout.split() == sorted(QUERIES)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 3
     assert set(entry.oracle_sql()) <= set(entry.queries())
