@@ -7,7 +7,7 @@ columns of documents. The last gives doc_id, n_tokens, ids and the text decoded
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushframe.llm import bpe, decontaminate, neardup, pii, quality
@@ -23,14 +23,29 @@ def drop_junk(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(F.col(OWN) >= quality.CUT).drop(OWN)
 
 
+def _with_key(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """A column OWN that is the doc_id where that is of one row, and whether others are there: of
+    rows with one doc_id those of one text have the doc_id, other texts a hash above all small
+    ids; rows without a doc_id have such a hash too."""
+    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
+    rows = docs.select("doc_id", "text").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min(F.when(F.col("text").isNotNull(), text_hash)).alias("first"))
+    odd = keep(rows.where("rows > 1 or doc_id is null").select(F.col("doc_id").alias(OWN), F.coalesce("first", F.lit(0)).alias(OWN + "_first")), "repeated-ids")
+    if not odd.head(1):
+        return docs.withColumn(OWN, F.col("doc_id").cast("long")), False
+    marked = docs.join(odd, docs["doc_id"].eqNullSafe(odd[OWN]), "left").drop(OWN)
+    first = F.col(OWN + "_first")
+    other = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2) + F.lit(1 << 62)
+    key = F.when(F.col("doc_id").isNotNull() & (first.isNull() | (first == text_hash)), F.col("doc_id").cast("long")).otherwise(other)
+    return marked.withColumn(OWN, key).drop(OWN + "_first"), True
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: that of the smallest doc_id, and of rows
-    with one doc_id that of the smallest text. Rows without a doc_id stay."""
-    classes = neardup.jaccard_classes(docs).where("doc_id = class_id").select(F.col("doc_id").alias(OWN))
-    stay = docs.join(classes.hint("merge"), docs["doc_id"] == classes[OWN], "left_semi")
-    first = Window.partitionBy("doc_id").orderBy("text")
-    one = stay.withColumn(OWN, F.row_number().over(first)).where(F.col(OWN) == 1).drop(OWN)
-    return one.unionByName(docs.where("doc_id is null"))
+    """One document of each group of near copies stays: that of the smallest doc_id. Rows that share
+    a doc_id, or have none, are judged each by its own text; equal rows are one."""
+    keyed, repeated = _with_key(docs)
+    classes = neardup.jaccard_classes(keyed.select(F.col(OWN).alias("doc_id"), "text")).where("doc_id = class_id").select(F.col("doc_id").alias(OWN + "_id"))
+    stay = keyed.join(classes.hint("merge"), keyed[OWN] == classes[OWN + "_id"], "left_semi")
+    return (stay.dropDuplicates([OWN]) if repeated else stay).drop(OWN)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +72,7 @@ STAGES = [
     ("byte-level BPE", encode),
 ]
 
-#: No SQL expresses the classifier, the surrogates or BPE; tests/llm/test_pipeline.py checks the
+#: No SQL expresses the classifier, the surrogates or BPE; tests/llm/test_models.py checks the
 #: rows against a plain version.
 ORACLE_SQL = None
 
