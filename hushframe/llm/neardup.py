@@ -145,17 +145,25 @@ def connected(links: DataFrame, what: str = "links") -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def _dealt(weight: int):
-    """Rows in order, cut into blocks by weight; a block lies within one partition."""
-
-    def run(batches):
-        part, upto = TaskContext.get().partitionId(), 0
-        for b in batches:
-            total = upto + np.cumsum(b.column(3).to_numpy().astype(np.int64) + DOC_WEIGHT)
-            upto = int(total[-1]) if len(total) else upto
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(part << 32 | total // weight)], ["id", "copies", "set1", "block"])
-
-    return run
+def _weighed(batches):
+    """Rows in order with the weight of those up to them in their partition."""
+    part, upto = TaskContext.get().partitionId(), 0
+    for b in batches:
+        total = upto + np.cumsum(b.column(3).to_numpy().astype(np.int64) + DOC_WEIGHT)
+        upto = int(total[-1]) if len(total) else upto
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(np.full(len(total), part, np.int32)), pa.array(total)], ["id", "copies", "set1", "range", "upto"])
+
+
+def _in_blocks(ordered: DataFrame, weight: int) -> DataFrame:
+    """id, copies, set1, block of ordered rows (id, copies, set1, n_grams), cut by weight. The driver
+    sees two numbers a partition."""
+    rows = keep(ordered.mapInArrow(_weighed, "id long, copies long, set1 long, range int, upto long"), "weighed")
+    begin, total = [], 0
+    for r in sorted(rows.groupBy("range").agg(F.max("upto").alias("weight")).collect()):
+        begin.append((r["range"], total))
+        total += r["weight"]
+    begins = ordered.sparkSession.createDataFrame(begin, "range int, begin long")
+    return rows.join(F.broadcast(begins), "range").select("id", "copies", "set1", F.floor((F.col("begin") + F.col("upto")) / weight).alias("block"))
 
 
 def _verify(threshold: float):
@@ -253,12 +261,12 @@ def jaccard_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, r
     roots = part_of.select(F.col("root").alias("node"), "root").distinct()
     members = part_of.unionByName(roots).select(F.col("node").alias("id"), F.col("root").alias("part"))
     ordered = members.join(classes.select("id", "copies", "set1", "n_grams"), "id").repartitionByRange("part", "id").sortWithinPartitions("part", "id")
-    blocks = keep(ordered.select("id", "copies", "set1", "n_grams").mapInArrow(_dealt(block_weight), "id long, copies long, set1 long, block long"), "blocks")
+    blocks = keep(_in_blocks(ordered.select("id", "copies", "set1", "n_grams"), block_weight), "blocks")
     # the blocks that a bucket's documents lie in are those that each of them is sent to
     spread = shared.select("id", "band", "h").join(blocks.select("id", "block"), "id")
-    lies_in = spread.groupBy("band", "h").agg(F.collect_set("block").alias("blocks"))
-    to = spread.join(lies_in, ["band", "h"]).select("id", F.explode("blocks").alias("other")).distinct()
-    placed = to.join(blocks, "id").groupBy("id", "copies", "set1", "block").agg(F.collect_list("other").alias("others"))
+    lies_in = spread.groupBy("band", "h").agg(F.sort_array(F.collect_set("block")).alias("blocks"))
+    others = spread.select("id", "band", "h").join(lies_in, ["band", "h"]).groupBy("id").agg(F.array_distinct(F.flatten(F.collect_set("blocks"))).alias("others"))
+    placed = others.join(blocks, "id")
     texts = source.withColumnRenamed("doc_id", "id").join(placed.hint("merge"), "id").select("id", "text", F.struct("id", "set1", "copies", "block", "others").alias("row"))
     sets = texts.mapInArrow(_sets(n), "row struct<id:long,set1:long,copies:long,block:long,others:array<long>>, grams binary")
     pairs = sets.select("row.id", "row.copies", "grams", F.col("row.block").alias("own"), F.explode("row.others").alias("other")).select(
