@@ -55,7 +55,7 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data give way to surrogates."""
-    return pii.replace_pii(docs, out=OWN).drop(OWN)
+    return pii.replace_pii(docs, pii.session_key(spark), out=OWN).drop(OWN)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
