@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from ._common import table
 
 #: Rows of a candidate block and of a query block, and components that a block holds.
-ROWS, QUERIES, CELLS = 8192, 8192, 8192 * 64
+ROWS, QUERIES, CELLS = 2048, 8192, 2048 * 64
 #: Queries whose bounds are in memory at once.
 AT_ONCE = 512
 #: The lists are read in so many steps; a query is resolved when so many times k rows are left.
@@ -215,7 +215,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     # tasks: blocks of queries times runs of candidate blocks
     runs = min(n_rows, max(1, math.ceil(2 * spark.sparkContext.defaultParallelism / blocks)))
     copies = cand.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(asked, "qb")
-    pairs = copies.withColumn("run", F.pmod(F.xxhash64("block"), F.lit(runs))).repartition(blocks * runs, "qb", "run").sortWithinPartitions("qb", "qd", "run")
+    pairs = copies.withColumn("run", F.pmod(F.xxhash64("block"), F.lit(runs))).repartition(4 * blocks * runs, "qb", "run").sortWithinPartitions("qb", "qd", "run")
 
     def score(batches):
         at, best = None, None
