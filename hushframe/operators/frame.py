@@ -18,11 +18,14 @@ from pyspark.sql import types as T
 from ..errors import DisclosureError
 from ..functions import exprs as E
 from ..plans import ordered as O
+from ..plans.quantiles import grouped_quantiles
 from ..plans.store import keep
 from ..policy import Policy
 from . import release as R
 
 RID = "__rid"
+#: Begins the hidden columns with a source's numbers as they are in the file.
+RAW = "__raw_"
 _ids = itertools.count(1)
 CASTS = {
     "int": "bigint", "int64": "bigint", "int32": "int", "float": "double", "float64": "double", "float32": "float",
@@ -35,6 +38,19 @@ def is_numeric(kind: T.DataType) -> bool:
     return isinstance(kind, E.NUMERIC)
 
 
+#: Plan nodes that give the same rows in the same places each time.
+_SCANS = ("LogicalRelation", "LocalRelation", "LogicalRDD", "Project", "Filter", "SubqueryAlias", "View", "Range", "RelationV2", "DataSourceV2Relation")
+
+
+def is_scan(df: DataFrame) -> bool:
+    def steady(node) -> bool:
+        children = node.children()
+        return node.nodeName().split(" ")[0] in _SCANS and all(steady(children.apply(i)) for i in range(children.size()))
+
+    plan = df._jdf.queryExecution().analyzed()
+    return plan.deterministic() and steady(plan)
+
+
 def quiet_bool(what: str):
     def refuse(self, *_):
         raise DisclosureError(f"a private {what} has no length, truth value or iteration")
@@ -52,8 +68,10 @@ def _cast_name(dtype) -> str:
 class PrivateColumn:
     """An expression on a frame. ``rowwise`` is false for expressions with a window."""
 
-    def __init__(self, frame: "PrivateFrame", expr: Column, name: str = "value", rowwise: bool = True):
+    def __init__(self, frame: "PrivateFrame", expr: Column, name: str = "value", rowwise: bool = True, bare: Column | None = None):
         self._frame, self._expr, self._name, self._rowwise = frame, expr, name, rowwise
+        #: The same as a filter: NULL where the column is false, so that it can reach the scan.
+        self._bare = bare
 
     # -- plumbing
     def _type(self) -> T.DataType:
@@ -89,19 +107,46 @@ class PrivateColumn:
     __hash__ = None
 
     # -- comparisons and logic
-    def __gt__(self, o): return self._binary(lambda a, b: E.compare(">", a, b), o)
-    def __lt__(self, o): return self._binary(lambda a, b: E.compare("<", a, b), o)
-    def __ge__(self, o): return self._binary(lambda a, b: E.compare(">=", a, b), o)
-    def __le__(self, o): return self._binary(lambda a, b: E.compare("<=", a, b), o)
-    def __eq__(self, o): return self._binary(lambda a, b: E.compare("==", a, b), o)
-    def __ne__(self, o): return self._binary(lambda a, b: E.compare("!=", a, b), o)
-    def __and__(self, o): return self._binary(lambda a, b: E.truth(a) & E.truth(b), o)
+    def _compared(self, op: str, other) -> "PrivateColumn":
+        out = self._binary(lambda a, b: E.compare(op, a, b), other)
+        if op != "!=" and not isinstance(other, PrivateColumn):
+            out._bare = self._frame._raw_too(self._name, self._expr, lambda c: E.COMPARE[op](c, F.lit(other)))
+        return out
+
+    def __gt__(self, o): return self._compared(">", o)
+    def __lt__(self, o): return self._compared("<", o)
+    def __ge__(self, o): return self._compared(">=", o)
+    def __le__(self, o): return self._compared("<=", o)
+    def __eq__(self, o): return self._compared("==", o)
+    def __ne__(self, o): return self._compared("!=", o)
+
+    def __and__(self, o):
+        out = self._binary(lambda a, b: E.truth(a) & E.truth(b), o)
+        if isinstance(o, PrivateColumn) and o._frame is self._frame and (self._bare is not None or o._bare is not None):
+            out._bare = self._as_filter() & o._as_filter()
+        return out
+
+    def _as_filter(self) -> Column:
+        return self._expr if self._bare is None else self._bare
+
     def __or__(self, o): return self._binary(lambda a, b: E.truth(a) | E.truth(b), o)
     def __invert__(self): return self._new(~E.truth(self._expr))
     def isna(self): return self._new(self._expr.isNull())
     def notna(self): return self._new(self._expr.isNotNull())
-    def isin(self, values): return self._new(F.coalesce(self._expr.isin(list(values)), F.lit(False)))
-    def between(self, low, high): return self._new(F.coalesce((self._expr >= self._other(low)) & (self._expr <= self._other(high)), F.lit(False)))
+
+    def isin(self, values):
+        own = list(values)
+        out = self._new(F.coalesce(self._expr.isin(own), F.lit(False)))
+        out._bare = self._frame._raw_too(self._name, self._expr, lambda c: c.isin(own))
+        return out
+
+    def between(self, low, high):
+        a, b = self._other(low), self._other(high)
+        out = self._new(F.coalesce((self._expr >= a) & (self._expr <= b), F.lit(False)))
+        if not isinstance(low, PrivateColumn) and not isinstance(high, PrivateColumn):
+            out._bare = self._frame._raw_too(self._name, self._expr, lambda c: c.between(a, b))
+        return out
+
     isnull, notnull = isna, notna
 
     # -- arithmetic
@@ -415,24 +460,41 @@ class PrivateFrame:
 
     @classmethod
     def bind(cls, df: DataFrame, policy: Policy, key: list[str] | None = None) -> "PrivateFrame":
-        """A source: NaN becomes NULL, decimals become doubles, rows get an id (of ``key`` if given)."""
+        """A source: NaN becomes NULL, decimals become doubles, rows get an id (of ``key`` if given,
+        which must tell rows apart). A source that is more than a scan is written once, since its
+        rows could get other ids each time."""
         out = []
         for f in df.schema.fields:
             c = F.col(f"`{f.name}`")
             if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+                out.append(c.alias(RAW + f.name))
                 c = F.when(~F.isnan(c), c)
             elif isinstance(f.dataType, T.DecimalType):
                 c = c.cast("double")
             elif isinstance(f.dataType, T.TimestampType):
                 c = c.cast("timestamp_ntz")
             out.append(c.alias(f.name))
-        rid = F.xxhash64(*key) if key else F.monotonically_increasing_id()
-        return cls(df.select(*out).withColumn(RID, rid), policy, df.columns)
+        if key:
+            if df.groupBy(*key).count().where("count > 1").head(1):
+                raise ValueError("the key columns do not tell all rows apart")
+            return cls(df.select(*out, F.xxhash64(*key).alias(RID)), policy, df.columns)
+        if not is_scan(df):
+            df = keep(df.withColumn(RID, F.monotonically_increasing_id()), "source")
+            return cls(df.select(*out, RID), policy, [c for c in df.columns if c != RID])
+        return cls(df.select(*out).withColumn(RID, F.monotonically_increasing_id()), policy, df.columns)
 
     # -- plumbing
     def _kind(self, name: str) -> T.DataType:
         return self._df.schema[name].dataType
 
+    def _raw_too(self, name: str, expr: Column, test) -> Column:
+        """A filter on a column; of a source's numbers also on what is in the file: it follows from
+        the first (NaN apart, which that drops) and reaches the scan."""
+        raw = RAW + name
+        if raw in self._df.columns and expr._jc.equals(F.col(f"`{name}`")._jc):
+            return test(F.col(f"`{raw}`")) & test(expr)
+        return test(expr)
+
     def _need(self, *names) -> list[str]:
         for n in names:
             if not isinstance(n, str) or n not in self._cols:
@@ -473,10 +535,22 @@ class PrivateFrame:
             return column._expr
         me = column._plain()
         name = f"__h{next(_ids)}"
-        other = me._frame._df.select(F.col(RID).alias(name + "_id"), me._expr.alias(name))
+        behind = [F.col(me._frame._support).alias(name + "_support")] if me._frame._support else []
+        other = me._frame._df.select(F.col(RID).alias(name + "_id"), me._expr.alias(name), *behind)
         self._df = self._df.join(other, self._df[RID] == F.col(name + "_id"), "left").drop(name + "_id")
+        if behind:
+            least = F.least(self._support, name + "_support") if self._support else F.col(name + "_support")
+            self._df = self._df.withColumn(name + "_least", least)
+            self._support = name + "_least"
         return F.col(name)
 
+    def _need_support(self) -> None:
+        """Refuse rows that few rows of a source stand behind, where they count one by one."""
+        if self._support:
+            least = self._df.agg(F.min(self._support)).first()[0]
+            if least is not None and least < self._policy.suppression.min_n:
+                raise DisclosureError("too few rows stand behind a row of this frame")
+
     def _check_edits(self, edits: list[tuple[Column, Column]]) -> None:
         """An edit touches none, or enough rows, or leaves enough untouched."""
         m = self._policy.suppression.min_edit_units
@@ -499,7 +573,8 @@ class PrivateFrame:
         if isinstance(what, PrivateColumn):
             if not isinstance(what._type(), T.BooleanType):
                 raise DisclosureError("a mask is a column of truth values")
-            cond = self._align(what)
+            here = what._frame is self or what._frame._id in self._kin
+            cond = what._as_filter() if here and what._rowwise else self._align(what)
             return self._like(self._df.where(cond), kin=True)
         raise DisclosureError("select by column name, list of names, or mask")
 
@@ -525,8 +600,11 @@ class PrivateFrame:
                 new[name] = F.lit(value)
             else:
                 raise DisclosureError("assign takes columns and single values")
-        df = self._df.withColumns(new)
-        return self._like(df, self._cols + [n for n in new if n not in self._cols])
+        return self._like(self._changed(new), self._cols + [n for n in new if n not in self._cols])
+
+    def _changed(self, new: dict[str, Column]) -> DataFrame:
+        """The rows with new columns; what the file has of columns of these names no longer counts."""
+        return self._df.withColumns(new).drop(*[RAW + n for n in new])
 
     def rename(self, columns: dict) -> "PrivateFrame":
         own = {k: v for k, v in columns.items() if k in self._cols}
@@ -534,7 +612,7 @@ class PrivateFrame:
         if len(set(left)) < len(left) or any(str(c).startswith("_") for c in own.values()):
             raise DisclosureError("rename gives unusable names")
         order = [(own.get(c, c), up) for c, up in self._order]
-        return self._like(self._df.withColumnsRenamed(own), left, order=order)
+        return self._like(self._df.withColumnsRenamed(own).drop(*[RAW + c for pair in own.items() for c in pair]), left, order=order)
 
     def drop(self, columns) -> "PrivateFrame":
         gone = self._names(columns)
@@ -572,7 +650,7 @@ class PrivateFrame:
         if op not in E.COMPARE:
             raise DisclosureError("where: the operator is one of > < >= <= == !=")
         # top-level comparisons stay bare (NULL drops the row), so they reach the scan
-        return self._like(self._df.where(E.COMPARE[op](self._col(col)._expr, F.lit(value))), kin=True)
+        return self._like(self._df.where(self._raw_too(col, self._col(col)._expr, lambda c: E.COMPARE[op](c, F.lit(value)))), kin=True)
 
     def dropna(self, subset=None) -> "PrivateFrame":
         names = self._cols if subset is None else self._names(subset)
@@ -613,16 +691,16 @@ class PrivateFrame:
 
     def _edited(self, new: dict[str, Column]) -> "PrivateFrame":
         self._check_edits([(F.col(c), e) for c, e in new.items()])
-        return self._like(self._df.withColumns(new))
+        return self._like(self._changed(new))
 
     def astype(self, dtype) -> "PrivateFrame":
         kinds = dtype if isinstance(dtype, dict) else {c: dtype for c in self._cols}
         self._need(*kinds)
-        return self._like(self._df.withColumns({c: F.col(c).try_cast(_cast_name(t)) for c, t in kinds.items()}))
+        return self._like(self._changed({c: F.col(c).try_cast(_cast_name(t)) for c, t in kinds.items()}))
 
     def round(self, decimals: int = 0) -> "PrivateFrame":
         own = [c for c in self._cols if isinstance(self._kind(c), (T.FloatType, T.DoubleType))]
-        return self._like(self._df.withColumns({c: E.round_even(F.col(c), int(decimals)) for c in own}))
+        return self._like(self._changed({c: E.round_even(F.col(c), int(decimals)) for c in own}))
 
     # -- joins and grouped frames
     def merge(self, other: "PrivateFrame", *, on, how: str = "inner") -> "PrivateFrame":
@@ -632,8 +710,9 @@ class PrivateFrame:
         keys = self._names(on)
         other._need(*keys)
         right = {c: c + "_y" if c in self._cols else c for c in other._cols if c not in keys}
-        l = self._df.select(*[F.col(f"`{c}`").alias(f"l_{c}") for c in self._cols], F.col(RID).alias("l_rid"))
-        r = other._df.select(*[F.col(f"`{c}`").alias(f"r_{c}") for c in other._cols], F.col(RID).alias("r_rid"))
+        behind = lambda frame, name: [F.col(frame._support).alias(name)] if frame._support else []
+        l = self._df.select(*[F.col(f"`{c}`").alias(f"l_{c}") for c in self._cols], F.col(RID).alias("l_rid"), *behind(self, "l__support"))
+        r = other._df.select(*[F.col(f"`{c}`").alias(f"r_{c}") for c in other._cols], F.col(RID).alias("r_rid"), *behind(other, "r__support"))
         cond = None
         for k in keys:
             same = l[f"l_{k}"].eqNullSafe(r[f"r_{k}"])
@@ -641,8 +720,11 @@ class PrivateFrame:
         joined = l.join(r, cond, how)
         out = [(F.coalesce(f"l_{c}", f"r_{c}") if c in keys else F.col(f"l_{c}")).alias(c) for c in self._cols]
         out += [F.col(f"r_{c}").alias(n) for c, n in right.items()]
+        supports = [c for c in ("l__support", "r__support") if c in joined.columns]
+        if supports:  # the rows behind a joined row are the fewer of those behind its two sides
+            out.append((F.least(*supports) if len(supports) > 1 else F.col(supports[0])).alias("__support"))
         df = joined.select(*out, F.xxhash64("l_rid", "r_rid").alias(RID))
-        return PrivateFrame(df, self._policy, self._cols + list(right.values()))
+        return PrivateFrame(df, self._policy, self._cols + list(right.values()), support="__support" if supports else None)
 
     def summarise(self, by, **out) -> "PrivateFrame":
         """A private frame of groups; it remembers the rows behind each."""
@@ -670,27 +752,35 @@ class PrivateFrame:
         kinds = {self._kind(c) for c in vals}
         kind = "double" if all(is_numeric(k) for k in kinds) else "string"
         one = kinds.pop().simpleString() if len(kinds) == 1 else kind
-        df = self._df.select(*ids, RID, *[F.col(c).cast(one).alias(c) for c in vals]).unpivot([*ids, RID], vals, var_name, value_name)
-        return PrivateFrame(df.withColumn(RID, F.xxhash64(RID, var_name)), self._policy, [*ids, var_name, value_name])
+        hidden = [RID, *([self._support] if self._support else [])]
+        df = self._df.select(*ids, *hidden, *[F.col(c).cast(one).alias(c) for c in vals]).unpivot([*ids, *hidden], vals, var_name, value_name)
+        return PrivateFrame(df.withColumn(RID, F.xxhash64(RID, var_name)), self._policy, [*ids, var_name, value_name], support=self._support)
 
     def pivot(self, index, columns, values) -> "PrivateFrame":
         keys = self._names(index)
         self._need(columns, values)
-        groups = self._df.groupBy(*keys, columns).agg(F.count(F.lit(1)).alias("n"), F.first(values).alias("v"))
+        behind = F.min(self._support) if self._support else F.lit(None).cast("long")
+        groups = self._df.groupBy(*keys, columns).agg(F.count(F.lit(1)).alias("n"), F.first(values).alias("v"), behind.alias("s"))
         if groups.where("n > 1").limit(1).count():
             raise DisclosureError("pivot: several rows have the same index and column")
         levels = [r[0] for r in self._df.select(columns).distinct().orderBy(columns).limit(1001).collect() if r[0] is not None]
         if len(levels) > 1000:
             raise DisclosureError("pivot: more than 1000 columns")
-        df = groups.groupBy(*keys).pivot(columns, levels).agg(F.first("v")).withColumn(RID, F.xxhash64(*keys))
-        return PrivateFrame(df, self._policy, [*keys, *map(str, levels)])
+        df = groups.groupBy(*keys).pivot(columns, levels).agg(F.first("v"))
+        if self._support:
+            least = groups.groupBy(*[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.min("s").alias("__support"))
+            same = F.lit(True)
+            for i, k in enumerate(keys):
+                same = same & F.col(f"`{k}`").eqNullSafe(F.col(f"__k{i}"))
+            df = df.join(least, same).drop(*[f"__k{i}" for i in range(len(keys))])
+        return PrivateFrame(df.withColumn(RID, F.xxhash64(*keys)), self._policy, [*keys, *map(str, levels)], support="__support" if self._support else None)
 
     def explode(self, column) -> "PrivateFrame":
         self._need(column)
         if not isinstance(self._kind(column), T.ArrayType):
             return self
         df = self._df.select("*", F.posexplode_outer(column).alias("__p", "__v")).withColumn(column, F.col("__v"))
-        return PrivateFrame(df.withColumn(RID, F.xxhash64(RID, "__p")).drop("__p", "__v"), self._policy, self._cols)
+        return PrivateFrame(df.withColumn(RID, F.xxhash64(RID, "__p")).drop("__p", "__v"), self._policy, self._cols, support=self._support)
 
     def stack(self) -> PrivateColumn:
         """Values of all numeric columns below each other, without missing ones."""
@@ -827,20 +917,23 @@ class PrivateSeriesGroups:
         return tables.group_describe(self._frame, self._by, self._value)
 
     def transform(self, stat) -> PrivateColumn:
+        """The group's statistic on each row: the groups are aggregated and joined, so a large group
+        is not in one task."""
         R.check_stat(stat)
+        frame, name = self._frame, f"__h{next(_ids)}"
         v = F.col(f"`{self._value}`")
-        w = Window.partitionBy(*self._by)
-        known = None
+        value = R.aggregate(stat, v)
+        known = frame._df
         for k in self._by:
-            known = F.col(k).isNotNull() if known is None else known & F.col(k).isNotNull()
-        return PrivateColumn(self._frame, F.when(known, _windowed(stat, v, w)), self._value, False)
-
-
-def _windowed(stat: str, v: Column, w) -> Column:
-    if stat == "size":
-        return F.count(F.lit(1)).over(w).cast("double")
-    if stat == "count":
-        return F.count(v).over(w).cast("double")
-    if stat == "sum":
-        return F.coalesce(F.sum(v.cast("double")).over(w), F.lit(0.0))
-    return R.aggregate(stat, v).over(w)
+            known = known.where(F.col(f"`{k}`").isNotNull())
+        keys = [F.col(f"`{k}`").alias(f"{name}_{i}") for i, k in enumerate(self._by)]
+        own = [c for c in (f"{name}_{i}" for i in range(len(self._by)))]
+        if stat == "median":
+            groups = grouped_quantiles(known.select(*keys, v.alias("v")), own, F.col("v"), [0.5], "m").select(*own, F.col("m")[0].alias(name))
+        else:
+            groups = known.groupBy(*keys).agg(value.alias(name))
+        same = F.lit(True)
+        for i, k in enumerate(self._by):
+            same = same & (frame._df[f"`{k}`"] == groups[f"{name}_{i}"])
+        frame._df = frame._df.join(groups, same, "left").drop(*[f"{name}_{i}" for i in range(len(self._by))])
+        return PrivateColumn(frame, F.col(name), self._value)

@@ -96,6 +96,7 @@ def build(frame: PrivateFrame, y: str, terms: list[tuple[str, ...]], intercept:
     """Text and C() factors get treatment coding, the first level being the reference."""
     used = [y, *extra, *{re.sub(r"^C\((.*)\)$", r"\1", f) for t in terms for f in t}]
     frame._need(*used)
+    frame._need_support()
     df = frame._df
     for c in dict.fromkeys(used):
         df = df.where(F.col(f"`{c}`").isNotNull())

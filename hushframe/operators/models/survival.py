@@ -19,6 +19,7 @@ from .regression import COLUMNS, coefficient_rows, combine, inverse, solve
 def event_table(frame: PrivateFrame, duration: str, event: str, by: str | None = None) -> DataFrame:
     """grp, t, d (events), n (at risk), size (of the group); groups under the minimum are left out."""
     frame._need(duration, event, *([by] if by else []))
+    frame._need_support()
     g = F.col(f"`{by}`").cast("string") if by else F.lit("all")
     t, e = F.col(f"`{duration}`").cast("double"), F.col(f"`{event}`").cast("double")
     df = frame._df.select(g.alias("grp"), t.alias("t"), e.alias("e")).where("grp is not null and t is not null and e is not null")

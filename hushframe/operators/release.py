@@ -108,10 +108,10 @@ def sig_column(c: Column, figures: int | None) -> Column:
     return F.when(c == 0, c).otherwise(F.rint(c * scale) / scale)
 
 
-def salt() -> str:
-    found = os.environ.get(SALT)
+def salt(policy: Policy) -> str:
+    found = policy.suppression.noise_key or os.environ.get(SALT)
     if not found:
-        raise DisclosureError(f"count noise needs a secret in {SALT}")
+        raise DisclosureError(f"count noise needs a secret, in the policy or in {SALT}")
     return found
 
 
@@ -126,7 +126,7 @@ def noise(policy: Policy, *labels: Column) -> Column | None:
     for label in labels:
         text = F.coalesce(label.cast("string"), F.lit("\u0000"))
         parts += [F.char_length(text).cast("string"), text]
-    digest = F.sha2(F.concat_ws("|", F.lit(salt()), *parts).cast("binary"), 256)
+    digest = F.sha2(F.concat_ws("|", F.lit(salt(policy)), *parts).cast("binary"), 256)
     return F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), F.lit(2 * step + 1)) - step
 
 

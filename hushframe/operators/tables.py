@@ -226,7 +226,7 @@ def _driver_noise(policy, *labels: str) -> int:
 
     step = int(policy.suppression.count_noise)
     parts = [p for x in labels for p in (str(len(x)), x)]
-    digest = hashlib.sha256("|".join([R.salt(), *parts]).encode()).hexdigest()
+    digest = hashlib.sha256("|".join([R.salt(policy), *parts]).encode()).hexdigest()
     return int(digest[:15], 16) % (2 * step + 1) - step
 
 

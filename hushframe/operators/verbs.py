@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from ..errors import DisclosureError
 from ..policy import Policy
 from .frame import PrivateFrame
@@ -28,8 +30,19 @@ def iv(frame, y, x, endog, instruments, fe=(), cluster=None):
     return panel.iv(frame, y, as_list(x), as_list(endog), as_list(instruments), as_list(fe), cluster).summary()
 
 
+def _on_supported_rows(verb):
+    """A verb that takes rows one by one refuses those that stand for too few."""
+
+    @functools.wraps(verb)
+    def run(frame, *args, **named):
+        frame._need_support()
+        return verb(frame, *args, **named)
+
+    return run
+
+
 VERBS = {
-    f.__name__: f
+    f.__name__: _on_supported_rows(f)
     for f in (
         ols, logit, poisson, cox, weibull_aft, lognormal_aft, loglogistic_aft, feols, iv,
         hypothesis.ttest, hypothesis.anova, hypothesis.mannwhitney, hypothesis.chisq, hypothesis.corr_test,

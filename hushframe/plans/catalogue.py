@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ from ..operators import verbs  # noqa: F401  binds the statistical verbs to fram
 from ..operators.frame import PrivateFrame
 from ..operators.models import panel, regression, survival
 from ..operators.models.design import parse
-from ..policy import resolve_policy
+from ..policy import PRESETS, resolve_policy
 from ..sources.tables import bind, load
 from ..streaming import windowed_counts
 
@@ -128,8 +128,7 @@ def value_counts_suppressed(spark, sf):
 SELECT event_type, CAST(greatest(0, count(*) + (('0x' || substr(sha256('fixture|' || length(event_type) || '|' || event_type), 1, 15))::BIGINT % 5) - 2) AS DOUBLE) AS count
 FROM events GROUP BY event_type""")
 def value_counts_noise(spark, sf):
-    os.environ.setdefault(R.SALT, "fixture")
-    return cells(bind(spark, sf, "events", "microdata").value_counts("event_type"))
+    return cells(bind(spark, sf, "events", replace(PRESETS["microdata"], noise_key="fixture")).value_counts("event_type"))
 
 
 @query("SELECT l_returnflag, l_linestatus, CAST(count(*) AS DOUBLE) AS count FROM lineitem GROUP BY ALL")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from enum import Enum
 
 
@@ -26,6 +26,8 @@ class Suppression:
     min_population: int | None = None
     winsorize: tuple[float, float] | None = None
     count_noise: int | None = None
+    #: Secret that fixes the noise; without it the environment's.
+    noise_key: str | None = field(default=None, repr=False)
     max_low_cell_share: float | None = None
     min_edit_units: int | None = None
     min_descriptive_n: int | None = None

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -74,35 +75,40 @@ def run(code: str, sources: dict[str, DataFrame], level: Level | str | list = Le
     gate = validate(code, names=frozenset(names))
     if not gate.ok:
         return _failed(gate.error, stamp)
-    try:
-        values, after = execute_script(code, names)
-    except HushError as e:
-        return _failed(e, stamp)
+    script, error = _told("script", lambda: _evaluator(names).run(code))
+    if error:
+        return _failed(error, stamp)
     stamp["verbs_used"] = gate.calls
     results = []
-    for value in values:
-        try:
-            results.append(_cleared(mediate(value, render), stamp))
-        except HushError as e:
-            results.append(_failed(e, stamp))
-        except Exception as e:  # an engine's message can hold data
-            results.append(_failed(SandboxError(f"the result raised {type(e).__name__}"), stamp))
+    for value in script.values:
+        cleared, error = _told("result", lambda: _cleared(mediate(value, render), stamp))  # noqa: B023
+        results.append(_failed(error, stamp) if error else cleared)
     good = [r for r in results if r.ok]
     last = results[-1] if results else Result(True, "none", audit=dict(stamp))
     last = Result(last.ok, last.kind, last.payload, last.audit, last.error)
     last.results = good
     if catalog:
-        try:
-            last.catalog = [schema_entry(n, v) for n, v in after.items() if isinstance(v, PrivateFrame)]
-        except Exception as e:
-            return _failed(SandboxError(f"the catalog raised {type(e).__name__}"), stamp)
+        last.catalog, error = _told("catalog", lambda: [schema_entry(n, v) for n, v in script.names.items() if isinstance(v, PrivateFrame)])
+        if error:
+            return _failed(error, stamp)
     return last
 
 
-def execute_script(code: str, names: dict):
-    from .sandbox import execute
+def _evaluator(names: dict):
+    from .sandbox import Evaluator
+
+    return Evaluator(names)
 
-    return execute(code, names)
+
+def _told(what: str, make: Callable[[], Any]) -> tuple[Any, HushError | None]:
+    """What ``make`` gives, or the error to tell. Of a foreign error only the class is told, because
+    messages can hold data. An interrupt of the program is none of the script's and passes."""
+    try:
+        return make(), None
+    except HushError as e:
+        return None, e
+    except (Exception, SystemExit) as e:
+        return None, SandboxError(f"the {what} raised {type(e).__name__}")
 
 
 def _cleared(r: Released, stamp: dict) -> Result:
