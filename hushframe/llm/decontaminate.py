@@ -1,38 +1,41 @@
 """Benchmark decontamination with an FM-index per training shard.
 
 A shard is a bounded run of whole documents of one task. Its words become symbols: a word of the
-benchmark has its number, every other word the separator, and each document ends with one. Runs
-between separators shorter than the shortest window cannot hold an occurrence and are left out,
+benchmark has its number (found by hash, bytes compared), every other word the separator, and each
+document ends with one. Runs between separators shorter than the shortest window cannot hold an occurrence and are left out,
 which changes no result. The FM-index of a shard is its Burrows-Wheeler transform in a wavelet
 tree with sampled ranks, plus sampled suffix positions. All windows are searched backward
 together, one symbol a step; occurrences are located by walking to the next sampled position, and
 their spans are merged per document.
 
-The windows go to the tasks in blocks of bounded size; all blocks are searched in the same index.
+The benchmark goes to the tasks in blocks of at most BLOCK_WORDS words, some 40 bytes a word; a
+larger benchmark takes a pass over the rows, with an index of its words, for each block.
 
 Defined cases: null text has no words; a null item text, or one without words, has no window; a
 null item_id is an item whose id is the empty string; repeated items and repeated rows count
 each on their own row; item_ids that are equal count once; an empty table on either side gives
-every document without hits; other columns are ignored.
+every document without hits; other columns are ignored. A very long text is a shard of its own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from ._common import ALNUM, LOWER, Words, steps, table, text_buffers, windows
+from ._common import ALNUM, LOWER, Lexicon, Words, keep, steps, table, text_buffers, unique
 
 WINDOW = 10
 #: Bytes of document text in one shard.
 SHARD_BYTES = 4 << 20
 #: One suffix position in so many is kept; ranks are kept at every so many symbols.
 SAMPLE, RANK = 8, 64
-#: Benchmark words that one broadcast may hold; a larger benchmark goes in several.
+#: Benchmark words that a broadcast holds; a larger benchmark goes in several, one after another.
 BLOCK_WORDS = 1 << 22
 
 
@@ -125,15 +128,14 @@ class FMIndex:
         self.sampled = suffixes[marked]
         self.n = len(s)
 
-    def search(self, patterns: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Backward search of all patterns (rows, right-aligned) at once: ranges of suffixes."""
-        low, high = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.n, np.int64)
-        width = patterns.shape[1]
-        for k in range(width):
+    def search(self, symbols: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Backward search of all patterns (runs of ``symbols``) at once: ranges of suffixes."""
+        low, high = np.zeros(len(begin), np.int64), np.full(len(begin), self.n, np.int64)
+        for k in range(int(sizes.max(initial=0))):
             on = np.flatnonzero((sizes > k) & (high > low))
             if not len(on):
                 break
-            c = patterns[on, width - 1 - k] + 1
+            c = symbols[begin[on] + sizes[on] - 1 - k].astype(np.int64) + 1
             low[on], high[on] = self.before[c] + self.tree.rank(c, low[on]), self.before[c] + self.tree.rank(c, high[on])
         return low, high
 
@@ -155,164 +157,172 @@ class FMIndex:
 
 # ---------------------------------------------------------------- operator
 
-def benchmark_blocks(benchmark: DataFrame, window: int = WINDOW) -> Iterator[dict]:
-    """Blocks of whole items with at most BLOCK_WORDS words (or one item): item ids and the
-    distinct windows as word hashes. Rows come to the driver one after another."""
-    ids, hashes, total = [], [], 0
+class Block:
+    """Some items of the benchmark: their words, and every window as a place in the items' words."""
+
+    def __init__(self, ids: list[str], texts: list[str], window: int = WINDOW):
+        raw = [t.encode() for t in texts]
+        words = Words(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64), ALNUM, LOWER)
+        self.ids, self.words = ids, Lexicon(words)
+        self.numbers = self.words.of.astype(np.int32)
+        n = np.diff(words.bounds)
+        size = np.minimum(n, window)
+        count = np.where(n > 0, n - size + 1, 0)
+        self.item = np.repeat(np.arange(len(n), dtype=np.int32), count)
+        self.begin = (np.repeat(words.bounds[:-1] - (np.cumsum(count) - count), count) + np.arange(count.sum())).astype(np.int32)
+        self.size = size[self.item].astype(np.int32)
+        self.least = int(self.size.min())
+
+
+def benchmark_blocks(benchmark: DataFrame, window: int = WINDOW, limit: int = BLOCK_WORDS) -> Iterator[Block]:
+    """Blocks of whole items with at most ``limit`` words (or one item). Rows come to the driver one
+    after another."""
+    ids, texts, total = [], [], 0
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.coalesce(F.col("text"), F.lit("")).alias("t"))
     for r in rows.toLocalIterator():
         raw = np.frombuffer(r["t"].encode(), np.uint8)
-        h = Words(raw, np.array([0, len(raw)]), ALNUM, LOWER).hashes()
-        if not len(h):
+        n = len(Words(raw, np.array([0, len(raw)]), ALNUM, LOWER))
+        if not n:
             continue
-        if total and total + len(h) > BLOCK_WORDS:
-            yield _block(ids, hashes, window)
-            ids, hashes, total = [], [], 0
+        if total and total + n > limit:
+            yield Block(ids, texts, window)
+            ids, texts, total = [], [], 0
         ids.append(r["i"])
-        hashes.append(h)
-        total += len(h)
+        texts.append(r["t"])
+        total += n
     if ids:
-        yield _block(ids, hashes, window)
-
-
-def _block(ids: list[str], hashes: list[np.ndarray], window: int) -> dict:
-    words = np.unique(np.concatenate(hashes))
-    rows, sizes, items = [], [], []
-    for k, h in enumerate(hashes):
-        number = np.searchsorted(words, h) + 1
-        size = min(window, len(h))
-        w = np.zeros((len(h) - size + 1, window), np.int64)
-        w[:, window - size :] = np.lib.stride_tricks.sliding_window_view(number, size)
-        rows.append(w)
-        sizes.append(np.full(len(w), size))
-        items.append(np.full(len(w), k))
-    patterns, of = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
-    held = np.zeros(len(patterns), np.int64)
-    held[of] = np.concatenate(sizes)
-    link = np.unique(np.stack([of.ravel(), np.concatenate(items)]), axis=1)  # window, item: sorted by window
-    return {"ids": ids, "words": words, "patterns": patterns, "sizes": held, "link": link, "least": int(held.min())}
-
-
-def _hits(h: np.ndarray, bounds: np.ndarray, block: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Number of the first word, the window's size and number, of all occurrences in some texts."""
-    at = np.searchsorted(block["words"], h)
-    at[at == len(block["words"])] = 0
-    symbol = np.where(block["words"][at] == h, at + 1, 0)
-    edge = np.ones(len(h) + 1, bool)  # a run begins
+        yield Block(ids, texts, window)
+
+
+def _hits(words: Words, block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the first word and the window, of all occurrences in some texts."""
+    symbol = block.words.numbers(words)
+    n = len(symbol)
+    edge = np.ones(n + 1, bool)  # a run begins
     edge[1:-1] = (symbol[1:] == 0) | (symbol[:-1] == 0)
-    edge[bounds] = True
+    edge[words.bounds] = True
     run = np.flatnonzero(edge)
     size = np.diff(run)
-    good = (size >= block["least"]) & (symbol[run[:-1]] > 0) if len(h) else np.zeros(0, bool)
+    good = (size >= block.least) & (symbol[run[:-1]] > 0) if n else np.zeros(0, bool)
     if not good.any():
-        return (np.zeros(0, np.int64),) * 3
+        return (np.zeros(0, np.int64),) * 2
     begin, size = run[:-1][good], size[good]
     into = np.concatenate([[0], np.cumsum(size + 1)])  # each run is followed by a separator
     place = np.repeat(begin - into[:-1], size + 1) + np.arange(into[-1])
-    text = np.where(np.isin(np.arange(into[-1]), into[1:] - 1), 0, symbol[np.minimum(place, len(h) - 1)])
-    index = FMIndex(text, len(block["words"]))
-    low, high = index.search(block["patterns"], block["sizes"])
+    text = symbol[np.minimum(place, n - 1)]
+    text[into[1:] - 1] = 0
+    index = FMIndex(text, len(block.words))
+    low, high = index.search(block.numbers, block.begin, block.size)
     count = np.maximum(high - low, 0)
     which = np.repeat(np.arange(len(count)), count)
     rows = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
-    first = place[index.locate(rows)]
-    return first, block["sizes"][which], which
-
-
-def _shard(rows: pa.RecordBatch, blocks: list) -> pa.RecordBatch:
-    w = Words(*text_buffers(rows.column(1)), ALNUM, LOWER)
-    h, doc, n_docs = w.hashes(), w.doc(), rows.num_rows
-    delta = np.zeros(len(h) + 1, np.int64)
-    pairs = []
-    for shared in blocks:
-        block = shared.value
-        first, size, which = _hits(h, w.bounds, block)
-        np.add.at(delta, first, 1)
-        np.add.at(delta, first + size, -1)
-        link = block["link"]
-        a, b = np.searchsorted(link[0], which), np.searchsorted(link[0], which, side="right")
-        d = np.repeat(doc[first], b - a) if len(first) else np.zeros(0, np.int64)
-        k = np.repeat(a - (np.cumsum(b - a) - (b - a)), b - a) + np.arange((b - a).sum())
-        if len(k):
-            found = np.unique(np.stack([d, link[1][k]]), axis=1)
-            pairs += [(int(x), block["ids"][y]) for x, y in found.T]
+    return place[index.locate(rows)], which
+
+
+def _shard(texts: pa.Array, block: Block, before: pa.Array | None) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """Words of each text, its items and its spans; before: (items, spans) of the blocks before."""
+    data, offsets = text_buffers(texts)
+    w = Words(data, offsets, ALNUM, LOWER)
+    n, doc, n_docs = len(w), w.doc(), len(texts)
+    delta = np.zeros(n + 1, np.int64)
+    first, which = _hits(w, block)
+    size = block.size[which]
+    np.add.at(delta, first, 1)
+    np.add.at(delta, first + size, -1)
+    items: list[set[str]] = [set() for _ in range(n_docs)]
+    for key in unique(doc[first] * len(block.ids) + block.item[which]) if len(first) else ():
+        items[key // len(block.ids)].add(block.ids[key % len(block.ids)])
+    if before is not None:
+        for d, r in enumerate(before.to_pylist()):
+            items[d].update(r["items"])
+            for span in r["spans"]:
+                delta[w.bounds[d] + span["first"]] += 1
+                delta[w.bounds[d] + span["last"]] -= 1
     covered = np.cumsum(delta[:-1]) > 0
-    per = lambda x: np.concatenate([[0], np.cumsum(x)])[w.bounds]
-    n_hit = np.diff(per(covered))
     begin = covered.copy()
     begin[1:] &= ~covered[:-1]
-    inner = w.bounds[1:-1][w.bounds[1:-1] < len(h)]
+    inner = w.bounds[1:-1][w.bounds[1:-1] < n]
     begin[inner] = covered[inner]
     last = covered.copy()
     last[:-1] &= ~covered[1:]
     ends = w.bounds[1:][np.diff(w.bounds) > 0] - 1
     last[ends] = covered[ends]
     s, e = np.flatnonzero(begin), np.flatnonzero(last) + 1
-    base = w.bounds[:-1][doc[s]] if len(s) else np.zeros(0, np.int64)
-    spans = np.stack([s - base, e - base, w.starts[s], w.ends[e - 1]], axis=1).astype(np.int64) if len(s) else np.zeros((0, 4), np.int64)
-    offsets = text_buffers(rows.column(1))[1]
-    if len(s):
-        spans[:, 2:] -= offsets[:-1][doc[s]][:, None]
-    of_doc = np.concatenate([[0], np.cumsum(np.bincount(doc[s], minlength=n_docs) if len(s) else np.zeros(n_docs, np.int64))])
-    items: list[list[str]] = [[] for _ in range(n_docs)]
-    for d, i in pairs:
-        items[d].append(i)
-    fields = [pa.array(spans[:, k]) for k in range(4)]
-    return pa.RecordBatch.from_arrays(
-        [
-            rows.column(0),
-            pa.array(np.diff(w.bounds).astype(np.int64)),
-            pa.array(n_hit.astype(np.int64)),
-            pa.array([sorted(set(x)) for x in items], pa.list_(pa.string())),
-            pa.ListArray.from_arrays(pa.array(of_doc.astype(np.int32)), pa.StructArray.from_arrays(fields, ["first", "last", "byte_first", "byte_last"])),
-        ],
-        ["doc_id", "n_words", "n_hit", "items", "spans"],
-    )
-
-
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    base, byte = w.bounds[:-1][doc[s]], offsets[:-1][doc[s]]
+    spans = [s - base, e - base, w.starts[s] - byte, w.ends[e - 1] - byte]
+    of_doc = np.concatenate([[0], np.cumsum(np.bincount(doc[s], minlength=n_docs))])
+    struct = pa.StructArray.from_arrays([pa.array(x.astype(np.int64)) for x in spans], ["first", "last", "byte_first", "byte_last"])
+    return np.diff(w.bounds).astype(np.int64), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.ListArray.from_arrays(pa.array(of_doc.astype(np.int32)), struct)
+
+
+MARKS = "struct<n_words:long,items:array<string>,spans:array<struct<first:long,last:long,byte_first:long,byte_last:long>>>"
+
+
+def marked(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, out: str = "marks", limit: int = BLOCK_WORDS, finish: Callable | None = None) -> DataFrame:
+    """The rows of ``docs`` with a column ``out``: n_words, items (sorted ids) and spans of hit words
+    (word numbers and bytes, ends excluded); or what ``finish`` makes of the columns and the spans. A block of the benchmark is a pass over the rows, which
+    are written in between, so that a task never holds two."""
+    sc, columns = docs.sparkSession.sparkContext, docs.columns
+    text = columns.index("text")
+    found = None
+    blocks = benchmark_blocks(benchmark, window, limit)
+    block = next(blocks, None) or Block([""], ["\u0001 no item"], window)  # without items: a window that no text has
+    while block is not None:
+        following = next(blocks, None)
+        shared = sc.broadcast(block)
+
+        def run(batches, shared=shared, more=found is not None, finish=None if following else finish):
+            for rows in steps(batches, columns[text], SHARD_BYTES):
+                n, items, spans = _shard(rows.column(text), shared.value, rows.column(len(columns)) if more else None)
+                if finish:
+                    yield pa.RecordBatch.from_arrays(finish(rows.columns[: len(columns)], spans), columns)
+                    continue
+                marks = pa.StructArray.from_arrays([pa.array(n), items, spans], ["n_words", "items", "spans"])
+                yield pa.RecordBatch.from_arrays([*rows.columns[: len(columns)], marks], [*columns, out])
+
+        kept = StructType([*docs.schema.fields, StructField(out, StructType.fromDDL(f"m {MARKS}").fields[0].dataType)])
+        found = (docs if found is None else found).mapInArrow(run, docs.schema if finish and not following else kept)
+        if following is not None:
+            found = keep(found, "marked")
+            shared.destroy()
+        block = following
+    return found
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = BLOCK_WORDS) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, items (sorted ids), spans of hit words (word numbers
     and bytes, ends excluded)."""
-    sc = docs.sparkSession.sparkContext
-    blocks = [sc.broadcast(b) for b in benchmark_blocks(benchmark, window)]
-
-    def run(batches):
-        for rows in steps(batches, "text", SHARD_BYTES):
-            yield _shard(rows, blocks)
-
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<first:long,last:long,byte_first:long,byte_last:long>>")
+    found = marked(docs.select("doc_id", "text"), benchmark, window, "marks", limit)
+    hit = F.aggregate("marks.spans", F.lit(0).cast("long"), lambda a, s: a + s["last"] - s["first"])
+    return found.select("doc_id", "marks.n_words", hit.alias("n_hit"), "marks.items", "marks.spans")
 
 
-def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = BLOCK_WORDS) -> DataFrame:
     """The rows of ``docs`` with the hit words taken out of ``text`` (each run leaves a line break);
     a column ``n_chars`` counts the new text. Texts without hits are not touched."""
-    sc = docs.sparkSession.sparkContext
-    blocks = [sc.broadcast(b) for b in benchmark_blocks(benchmark, window)]
     columns = docs.columns
 
-    def run(batches):
-        for rows in steps(batches, "text", SHARD_BYTES):
-            column = rows.column(columns.index("text"))
-            found = _shard(pa.RecordBatch.from_arrays([pa.array(range(rows.num_rows)), column], ["doc_id", "text"]), blocks)
-            texts, counts = column.to_pylist(), {}
-            for k in np.flatnonzero(found.column("n_hit").to_numpy()):
-                raw, at, out = texts[k].encode(), 0, []
-                for span in found.column("spans")[int(k)].as_py():
-                    out.append(raw[at : span["byte_first"]])
-                    at = span["byte_last"]
-                out.append(raw[at:])
-                texts[k] = b"\n".join(out).decode()
-                counts[int(k)] = len(texts[k])
-            new = list(rows.columns)
-            if counts:
-                new[columns.index("text")] = pa.array(texts, pa.string())
-                if "n_chars" in columns:
-                    i = columns.index("n_chars")
-                    new[i] = pa.array([counts.get(k, n) for k, n in enumerate(new[i].to_pylist())], new[i].type)
-            yield pa.RecordBatch.from_arrays(new, columns)
-
-    return docs.mapInArrow(run, docs.schema)
+    def cut(row_columns: list, spans: pa.Array) -> list:
+        hit = np.flatnonzero(pc.list_value_length(spans).to_numpy(zero_copy_only=False))
+        if not len(hit):
+            return row_columns
+        new, at_text = list(row_columns), columns.index("text")
+        texts, counts = new[at_text].to_pylist(), {}
+        for k in hit:
+            raw, at, out = texts[k].encode(), 0, []
+            for span in spans[int(k)].as_py():
+                out.append(raw[at : span["byte_first"]])
+                at = span["byte_last"]
+            out.append(raw[at:])
+            texts[k] = b"\n".join(out).decode()
+            counts[int(k)] = len(texts[k])
+        new[at_text] = pa.array(texts, pa.string())
+        if "n_chars" in columns:
+            i = columns.index("n_chars")
+            new[i] = pa.array([counts.get(k, n) for k, n in enumerate(new[i].to_pylist())], new[i].type)
+        return new
+
+    return marked(docs, benchmark, window, "__marks", limit, cut)
 
 
 def op8_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,14 +116,24 @@ def test_fm_index_against_search():
     index = decontaminate.FMIndex(s, 3)
     for size in (1, 3, 6):
         p = rnd.integers(1, 4, (40, size))
-        wide = np.zeros((40, 10), np.int64)
-        wide[:, 10 - size :] = p
-        low, high = index.search(wide, np.full(40, size))
+        low, high = index.search(p.ravel(), np.arange(40) * size, np.full(40, size))
         for i in range(40):
             want = [k for k in range(501 - size) if (s[k : k + size] == p[i]).all()]
             assert sorted(index.locate(np.arange(low[i], max(high[i], low[i]))).tolist()) == want
 
 
+def test_benchmark_in_several_blocks(spark, tmp_path):
+    rows = corpus(9)
+    rows = [r for i, r in enumerate(rows) if r[0] not in {x[0] for x in rows[:i]}]
+    bench = [(k, " ".join(rows[k + 20][1].split()[:25])) for k in range(12)] + [(50, rows[61][1][30:400]), (51, ""), (None, rows[62][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    one, many = (sorted(decontaminate.find_contamination(df, items, limit=n).collect(), key=repr) for n in (1 << 22, 40))
+    assert one == many and sum(r.n_hit > 0 for r in one) > 5
+    left = [sorted(r.text or "" for r in decontaminate.remove_contamination(df, items, limit=n).collect()) for n in (1 << 22, 40)]
+    assert left[0] == left[1]
+
+
 def test_jaccard_against_sql(spark, tmp_path):
     rows = corpus(2)
     rows = [r for i, r in enumerate(rows) if r[0] not in {x[0] for x in rows[:i]}]
