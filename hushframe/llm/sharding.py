@@ -1,58 +1,88 @@
 """Sharding by vector bin packing over bytes, tokens and rows.
 
-Equal texts form a group. A group whose share of bytes, tokens or rows is above 1/(64 * shards)
-is an item of its own (there are at most 3 * 64 * shards such groups, whatever the input); all
-others are put by hash into a fixed number of bundles, each an item. A group larger than a whole
-shard cannot stay together in equal shards: it is an item for each of 64 salts of doc_id. Items
-go, largest first, to the shard whose residual capacity has the highest dot product with them.
-The driver sees only the items, whose number does not depend on the input.
+Equal texts form a group. Every group is placed where the dot product of its shares of bytes, tokens
+and rows with the residual capacity is highest, on two levels, so that no place sees all groups:
+
+* A group whose share is above 1/(FINE * shards) is an item of the second level by itself; there are
+  at most 3 * FINE * shards of them, whatever the input. All others are dealt by hash over tasks,
+  and each task packs its groups, a batch at a time and the largest first, into bins whose capacity
+  grows with what has come.
+* Bins and large groups are the items that the driver packs into shards: some BINS bins, or
+  ``shards`` a task if that is more. Then items move from a fuller to an emptier shard as long as
+  that evens out bytes, tokens and rows together, bytes before the others.
+
+A group larger than a whole shard cannot stay together in equal shards: it is an item for each of
+SALTS salts of doc_id.
 
 Defined cases: null text is empty text; a null doc_id is salted like any value; repeated rows
-are rows; an empty table gives no rows; other columns are ignored.
+are rows; an empty table gives no rows; other columns are ignored; a very long text is a group like
+any other, and if it is larger than a shard then its shard is.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import keep, table
+from ._common import keep, partitions, table
 
-FINE, SALTS, BUNDLES, SLICES = 64, 64, 4096, 1024
+FINE, SALTS, BINS, SLICES = 64, 64, 4096, 1024
 DIMS = ("bytes", "tokens", "rows")
+#: What evenness of each dimension counts when items move.
+WEIGHT = np.array([100.0, 1.0, 1.0])
 
 
-def pack(weights: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of each item. weights: one row per item, one column per dimension."""
-    share = weights / np.maximum(weights.sum(axis=0), 1)
-    residual = np.full((shards, weights.shape[1]), 1.0 / shards)
-    place = np.zeros(len(weights), np.int64)
-    order = np.argsort(-share.max(axis=1), kind="stable")
-    for i in order:
-        fit = residual @ share[i]
-        place[i] = int(np.argmax(fit))
+def pack(share: np.ndarray, residual: np.ndarray) -> np.ndarray:
+    """The bin of each item, the largest first. share: one row per item, one column per dimension;
+    residual: the bins' free capacity, which is updated."""
+    place = np.zeros(len(share), np.int64)
+    for i in np.argsort(-share.max(axis=1), kind="stable"):
+        place[i] = int(np.argmax(residual @ share[i]))
         residual[place[i]] -= share[i]
     return place
 
 
-def _refine(weights: np.ndarray, place: np.ndarray, shards: int) -> np.ndarray:
-    """Even out the first dimension: move the item that best halves the gap between the fullest
-    and the emptiest shard, as long as the gap shrinks."""
-    load = np.bincount(place, weights[:, 0], shards)
+def refine(share: np.ndarray, place: np.ndarray, shards: int) -> np.ndarray:
+    """Move items from the fullest to the emptiest shard of a dimension, as long as the weighed
+    squares of what shards have too much or too little shrink."""
+    place = place.copy()
+    off = np.stack([np.bincount(place, share[:, d], shards) for d in range(share.shape[1])], axis=1) - share.sum(axis=0) / shards
     for _ in range(64 * shards):
-        hi, lo = int(np.argmax(load)), int(np.argmin(load))
-        gap = load[hi] - load[lo]
-        own = np.flatnonzero((place == hi) & (weights[:, 0] > 0) & (weights[:, 0] < gap))
-        if not len(own):
+        moved = False
+        for d in range(share.shape[1]):
+            high, low = int(np.argmax(off[:, d])), int(np.argmin(off[:, d]))
+            own = np.flatnonzero((place == high) & (share[:, d] > 0))
+            if not len(own) or high == low:
+                continue
+            after = ((off[high] - share[own]) ** 2 + (off[low] + share[own]) ** 2) @ WEIGHT
+            best = int(np.argmin(after))
+            if after[best] < (1 - 1e-9) * float((off[high] ** 2 + off[low] ** 2) @ WEIGHT):
+                place[own[best]] = low
+                off[high] -= share[own[best]]
+                off[low] += share[own[best]]
+                moved = True
+        if not moved:
             break
-        best = own[np.argmin(np.abs(weights[own, 0] - gap / 2))]
-        place[best] = lo
-        load[hi] -= weights[best, 0]
-        load[lo] += weights[best, 0]
     return place
 
 
+def _bins(total: np.ndarray, bins: int):
+    """Groups with the bin of their task."""
+
+    def run(batches):
+        part, residual = TaskContext.get().partitionId(), np.zeros((bins, len(DIMS)))
+        for b in batches:
+            share = np.stack([b.column(b.schema.get_field_index(d)).to_numpy().astype(float) for d in DIMS], axis=1) / total
+            residual += share.sum(axis=0) / bins
+            place = pack(share, residual) + part * bins
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(place)], [*b.schema.names, "bin"])
+
+    return run
+
+
 def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     """doc_id, size, tokens, text_crc32, shard, slot of every row."""
     spark = docs.sparkSession
@@ -69,32 +99,30 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     )
     key = ["g", "text_crc32", "size"]
     sums = [F.sum(c).alias(c) for c in DIMS]
-    weigh = [(F.count(F.lit(1)) * F.first("size")).alias("bytes"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")]
-    salted = rows.groupBy(*key, "salt").agg(*weigh)
-    groups = salted.groupBy(*key).agg(*sums)
-    total = groups.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in DIMS]).first()
-    over = lambda n: F.greatest(*[F.col(c) / F.lit(float(max(total[c], 1))) for c in DIMS]) > F.lit(1.0 / n)
-    weighed = keep(
-        groups.withColumn("kind", F.when(over(shards), 2).when(over(shards * FINE), 1).otherwise(0)).withColumn("bundle", F.pmod("g", F.lit(BUNDLES)).cast("int")),
-        "shard-groups",
-    )
-    light = weighed.where("kind = 0").groupBy("bundle").agg(*sums).collect()  # BUNDLES rows at most
-    heavy = weighed.where("kind = 1").select(*key, *DIMS).collect()  # 3 * FINE * shards rows at most
-    giant = weighed.where("kind = 2").select(*key)  # 3 * shards rows at most
-    parts = salted.join(F.broadcast(giant), key).select(*key, "salt", *DIMS).collect() if giant.head(1) else []
-    items = [*light, *heavy, *parts]
-    weights = np.array([[r[c] for c in DIMS] for r in items], dtype=float).reshape(len(items), len(DIMS))
-    place = _refine(weights, pack(weights, shards), shards).tolist()
-    of_bundle = [0] * BUNDLES
-    for r, p in zip(light, place):
-        of_bundle[r["bundle"]] = p
-    schema = "g long, text_crc32 long, size long, salt int, own int"
-    own = [(*[r[k] for k in key], None, p) for r, p in zip(heavy, place[len(light) :])]
-    own += [(*[r[k] for k in key], r["salt"], p) for r, p in zip(parts, place[len(light) + len(heavy) :])]
-    lookup = F.broadcast(spark.createDataFrame([(*o[:3], s, o[4]) for o in own for s in ([o[3]] if o[3] is not None else range(SALTS))], schema))
-    by_hash = F.get(F.lit(np.array(of_bundle, dtype=np.int32)), F.pmod("g", F.lit(BUNDLES)).cast("int"))
-    placed = rows.join(lookup, [*key, "salt"], "left").select(*rows.columns, F.coalesce("own", by_hash).cast("int").alias("shard"))
-    placed = keep(placed.withColumn("slice", F.pmod(F.xxhash64("doc_id", "g"), F.lit(SLICES)).cast("int")), "shard-placed")
+    salted = rows.groupBy(*key, "salt").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"))
+    groups = keep(salted.groupBy(*key).agg(*sums), "shard-groups")
+    total = np.array([x or 0 for x in groups.agg(*sums).first()], float)
+    total = np.maximum(total, 1)
+    over = lambda n: F.greatest(*[F.col(c) / F.lit(t) for c, t in zip(DIMS, total.tolist())]) > F.lit(1.0 / n)
+    tasks = partitions(spark)
+    bins = max(shards, -(-BINS // tasks))
+    dealt = groups.where(~over(shards * FINE)).repartition(tasks, "g")
+    light = keep(dealt.mapInArrow(_bins(total, bins), "g long, text_crc32 long, size long, bytes long, tokens long, rows long, bin long"), "shard-bins")
+    of_bins = light.groupBy("bin").agg(*sums).collect()  # bins of each task
+    heavy = groups.where(over(shards * FINE) & ~over(shards)).select(*key, *DIMS).collect()  # 3 * FINE * shards rows at most
+    giant = groups.where(over(shards)).select(*key)  # 3 * shards rows at most
+    parts = salted.join(F.broadcast(giant), key).select(*key, "salt", *DIMS).collect()
+    items = [*of_bins, *heavy, *parts]
+    share = np.array([[r[c] for c in DIMS] for r in items], float).reshape(len(items), len(DIMS)) / total
+    place = refine(share, pack(share, np.full((shards, len(DIMS)), 1.0 / shards)), shards).tolist()
+    of_bin = F.broadcast(spark.createDataFrame([(r["bin"], p) for r, p in zip(of_bins, place)], "bin long, shard int"))
+    own = [(*[r[k] for k in key], s, p) for r, p in zip(heavy, place[len(of_bins) :]) for s in range(SALTS)]
+    own += [(*[r[k] for k in key], r["salt"], p) for r, p in zip(parts, place[len(of_bins) + len(heavy) :])]
+    lookup = F.broadcast(spark.createDataFrame(own, "g long, text_crc32 long, size long, salt int, shard int"))
+    columns = ["doc_id", "size", "tokens", "text_crc32", "g", "shard"]
+    large = rows.join(lookup, [*key, "salt"]).select(*columns)
+    small = rows.join(light.join(of_bin, "bin").select(*key, "shard"), key).select(*columns)  # no group of more than 1/(FINE * shards)
+    placed = keep(large.unionByName(small).withColumn("slice", F.pmod(F.xxhash64("doc_id", "g"), F.lit(SLICES)).cast("int")), "shard-placed")
     upto = Window.partitionBy("shard").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     counts = placed.groupBy("shard", "slice").agg(F.count(F.lit(1)).alias("n"))
     begin = counts.select("shard", "slice", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("begin"))  # shards * SLICES rows

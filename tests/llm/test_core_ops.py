@@ -201,6 +201,39 @@ def test_shards(spark, tmp_path):
     assert all(r.size == len((text[r.doc_id] or "").encode()) + 1 and r.text_crc32 == zlib.crc32((text[r.doc_id] or "").encode()) for r in got)
 
 
+def test_shards_against_a_plain_version(spark, tmp_path):
+    """Groups, slots and the three balances, counted in Python; nulls, repeated rows, a long text."""
+    rnd = random.Random(14)
+    rows = [(i, rnd.choice(["w ", "long-word "]) * rnd.randint(1, 200) + str(rnd.randint(0, 2500))) for i in range(4000)]
+    rows += [(None, "no id"), (None, None), (7, rows[7][1]), (7, rows[7][1]), (5000, None), (5001, ""), (5002, "very long " * 9000)]
+    rows += [(6000 + i, "the same eighty words " * 20) for i in range(150)]
+    got = sharding.op1_shards(spark, write(tmp_path, documents=docs(rows, tokens=[0] * len(rows), salt=["x"] * len(rows)))).collect()
+    where = check_shards(rows, got)
+    assert all(len(s) == 1 for s in where.values())
+    want = sorted((str(i), len((t or "").encode()) + 1, len((t or "").split())) for i, t in rows)
+    assert sorted((str(r.doc_id), r["size"], r.tokens) for r in got) == want
+    for measure, most in ((lambda r: r["size"], 0.005), (lambda r: r.tokens, 0.05), (lambda r: 1, 0.05)):
+        load = [sum(measure(r) for r in got if r["shard"] == s) for s in range(8)]
+        assert max(load) - min(load) <= most * sum(load) / 8, load
+
+
+def test_packing_by_the_dot_product():
+    rnd = np.random.default_rng(5)
+    share = rnd.random((500, 3)) ** 3
+    share /= share.sum(axis=0)
+    free = np.full((4, 3), 0.25)
+    place = sharding.pack(share, free)
+    residual, plain = [[0.25] * 3 for _ in range(4)], {}
+    for i in sorted(range(500), key=lambda i: (-max(share[i]), i)):
+        fit = [sum(r * x for r, x in zip(residual[b], share[i])) for b in range(4)]
+        plain[i] = max(range(4), key=lambda b: (fit[b], -b))
+        residual[plain[i]] = [r - x for r, x in zip(residual[plain[i]], share[i])]
+    assert sum(plain[i] == place[i] for i in range(500)) >= 495  # sums in another order may tie elsewhere
+    load = lambda p: np.stack([np.bincount(p, share[:, d], 4) for d in range(3)], axis=1) - 0.25
+    better = sharding.refine(share, place, 4)
+    assert np.abs(load(better)[:, 0]).max() <= np.abs(load(place)[:, 0]).max() and np.abs(load(better)).max() < 0.004
+
+
 def test_a_hot_group_is_split(spark, tmp_path):
     rows = [(i, "the very same text again" if i % 3 else f"text {i}") for i in range(1500)]
     got = sharding.op1_shards(spark, write(tmp_path, documents=docs(rows))).collect()
