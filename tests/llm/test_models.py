@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -118,22 +119,24 @@ def test_language_model_against_a_plain_one(spark, tmp_path):
             for x, y in zip([None, *w], w):
                 two[x, y] = two.get((x, y), 0) + 1
         counts.append((one, two, sum(one.values())))
-    scale = counts[0][2] / counts[1][2]
+    scale, vocab = counts[0][2] / counts[1][2], len(counts[1][0])
 
-    def loss(k, x, y):
+    def loss(k, x, y, w, member):
         one, two, n = counts[k]
+        own, pairs = Counter(w if member else []), Counter(zip(w, w[1:]) if member else [])
         f = scale if k else 1.0
-        single = (one.get(y, 0) * f + lm.ADD) / (n * f + lm.ADD * lm.WORDS)
-        if x is None or not one.get(x, 0):
+        single = ((one.get(y, 0) - own[y]) * f + lm.ADD) / ((n - sum(own.values())) * f + lm.ADD * vocab)
+        if x is None or not one.get(x, 0) - own[x]:
             return -np.log(single)
-        return -np.log(lm.MIX * min(1, two.get((x, y), 0) / one[x]) + (1 - lm.MIX) * single)
+        return -np.log(lm.MIX * (two.get((x, y), 0) - pairs[x, y]) / (one[x] - own[x]) + (1 - lm.MIX) * single)
 
-    for r in lm.op3_lm(spark, d).collect():
-        t = next(t for i, t in rows if i == r.doc_id)
+    got = sorted(lm.op3_lm(spark, d).collect(), key=lambda r: (r.doc_id, r.n_words, r.loss_target))
+    want = []
+    for i, t in rows:
         w = (t or "").split()
-        want = [np.mean([loss(k, x, y) for x, y in zip([None, *w], w)]) if w else 0.0 for k in (0, 1)]
-        assert (r.loss_target, r.loss_background) == pytest.approx(tuple(want))
-        assert r.n_words == len(w)
+        want.append((i, len(w), *(np.mean([loss(k, x, y, w, k or i in (0, 1)) for x, y in zip([None, *w], w)]) if w else 0.0 for k in (0, 1))))
+    assert [(r.doc_id, r.n_words) for r in got] == [x[:2] for x in sorted(want)]
+    assert [x for r in got for x in (r.loss_target, r.loss_background)] == pytest.approx([x for row in sorted(want) for x in row[2:]])
     none = write(tmp_path, documents=docs([]), labels=labels.slice(0, 0))
     assert lm.op3_lm(spark, none).count() == 0
     alone = write(tmp_path, documents=docs([(1, "a b")]), labels=labels.slice(0, 0))
@@ -423,7 +426,28 @@ def test_language_model_keeps_all_words_and_pairs_apart(spark, tmp_path, monkeyp
     labels = pa.table({"doc_id": pa.array([0], pa.int64()), "quality": pa.array([1], pa.int32()), "toxic": [0]})
     got = {r.doc_id: r for r in lm.op3_lm(spark, write(tmp_path, documents=docs(rows), labels=labels)).collect()}
     assert len(got) == 601
-    # no other document has a word of the target, so all have the loss of unseen words alone
-    unseen = -np.log(lm.ADD / (2000 + lm.ADD * lm.WORDS))
-    assert all(got[i].loss_target == pytest.approx(unseen) for i in range(1, 600))
+    # no other document has a word of the target, so all have the loss of unseen words alone; the
+    # smoothing allows for the words there are, as far as the sketch can tell
+    unseen = -np.log(lm.ADD / (2000 + lm.ADD * 600 * 2000))
+    assert all(got[i].loss_target == pytest.approx(unseen, abs=0.06) for i in range(1, 600))
     assert got[None].n_words == 2 and got[None].loss_target < got[1].loss_target
+
+
+def test_a_document_is_not_scored_by_itself(spark, tmp_path):
+    """What occurs twice is told from what occurs once, whichever document comes next to it."""
+    rnd = random.Random(2)
+    text = lambda: " ".join(f"w{int(rnd.paretovariate(0.6))}" for _ in range(120))
+    rows = [(i, text()) for i in range(300)]
+    rows += [(1000 + i, rows[100 + i][1]) for i in range(20)]
+    labels = pa.table({"doc_id": pa.array(range(60), pa.int64()), "quality": pa.array([1] * 60, pa.int32()), "toxic": [0] * 60})
+    got = {r.doc_id: r.difference for r in lm.op3_lm(spark, write(tmp_path, documents=docs(rows), labels=labels)).collect()}
+    twice = [got[i] for i in (*range(100, 120), *range(1000, 1020))]
+    assert min(twice) > max(got[i] for i in (*range(60, 100), *range(120, 300)))
+
+
+def test_distinct_words_by_the_sketch():
+    words = " ".join(f"word{i}" for i in range(200_000))
+    out = list(lm._sizes([pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": [words, words[:5000]]})]))
+    registers = out[-1].column(4).to_numpy()
+    assert abs(lm.vocabulary(len(registers), float((2.0**-registers).sum())) - 200_000) < 10_000
+    assert lm.vocabulary(0, 0.0) == 1
