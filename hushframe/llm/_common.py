@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import re
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -26,11 +27,14 @@ _LANE = np.uint64(0xD1B54A32D192ED03)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where none is set."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one only where none is set and all tasks
+    run in this process, as in tests."""
     own = spark.conf.get("spark.checkpoint.dir", None)
     if not own:
         own = spark.sparkContext.getCheckpointDir()
     if not own:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         own = "file://" + tempfile.mkdtemp(prefix="hushframe-")

@@ -3,7 +3,7 @@
 * Random indexing: every word (hashed into a fixed number of rows) and every word shape (case,
   last character, whether it repeats the word before) has a sparse random index vector. A word's
   and a shape's vector is the sum, over all places of the whole corpus, of the index vectors of
-  the words and shapes within two places. The sums are exact, made in each task and added by range.
+  the words and shapes within two places. The sums are exact, made in each task and added row by row.
 * Pooling: a document is the mean vector of its words, that of its shapes, the mean product of
   neighbouring word vectors, and its length.
 * A network with one hidden layer is fitted in numpy on the labelled rows of the sample, and a
@@ -15,7 +15,8 @@ vectors and scores cover every row and whole texts.
 Defined cases: a text without words (null, empty, white space) is the zero vector, which is
 scored like any other; an id labelled more than once has its lowest label; null labels are
 ignored; without labels of both kinds every score is the share of label 1 (0.5 without labels);
-repeated rows are scored alike; an empty table gives no rows; other columns pass unchanged.
+repeated rows are scored alike; an empty table gives no rows; other columns pass unchanged. A very
+long text is a step of its own.
 """
 
 from __future__ import annotations
@@ -26,14 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ._common import PLAIN, Words, mix, planes, steps, table, text_buffers, unplanes
+from ._common import PLAIN, Words, mix, steps, table, text_buffers
 
 #: Rows for hashed words, rows for shapes, length of a vector, places on either side.
 BUCKETS, SHAPES, DIM, REACH = 8192, 128, 24, 2
 ROWS = BUCKETS + SHAPES
 #: Labelled rows that the network is fitted on, at most.
 SAMPLE = 20_000
-RANGES = 16
+SUMS = [f"s{k}" for k in range(DIM)]
 CUT = 0.7
 #: Text bytes of one numpy step: vectors of all its words are in memory.
 STEP_BYTES = 256 << 10
@@ -61,21 +62,21 @@ def _units(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     case = np.where(n_upper == 0, 0, np.where(n_small == 0, 3, np.where((first >= 0x41) & (first <= 0x5A) & (n_upper == 1), 1, 2)))
     case = np.where((n_upper == 0) & (n_small == 0), 4, case)
     letter = (last >= 0x41) & (last <= 0x5A) | (last >= 0x61) & (last <= 0x7A) | (last >= 0x80)
-    end = np.select([letter, last == 0x2E, last == 0x2C, last == 0x21, (last >= 0x30) & (last <= 0x39), last == 0x7C], [0, 1, 2, 3, 4, 5], 6)
+    stop, digit = np.isin(last, [ord(c) for c in ".!?"]), (last >= 0x30) & (last <= 0x39)
+    pause, bracket = np.isin(last, [ord(c) for c in ",;:-"]), np.isin(last, [ord(c) for c in "()[]{}<>'\""])
+    end = np.select([letter, stop, pause, digit, bracket], [0, 1, 2, 3, 4], 5)
     same = np.zeros(len(h), np.int64)
     same[1:] = h[1:] == h[:-1]
     same[w.bounds[:-1][np.diff(w.bounds) > 0]] = 0
-    shape = case * 14 + end * 2 + same
+    shape = case * 12 + end * 2 + same
     return (mix(h) % np.uint64(BUCKETS)).astype(np.int64), BUCKETS + shape, w.bounds
 
 
 def _contexts(batches):
     index = index_vectors()
     total = np.zeros((ROWS, DIM))
-    seen = False
     for rows in steps(batches, "text", STEP_BYTES):
         word, shape, bounds = _units(rows)
-        seen = True
         if not len(word):
             continue
         own = index[word] + index[shape]
@@ -89,23 +90,16 @@ def _contexts(batches):
             order = np.argsort(unit.astype(np.int16), kind="stable")
             cut = np.flatnonzero(np.diff(unit[order], prepend=-1))
             total[unit[order][cut]] += np.add.reduceat(around[order], cut, axis=0, dtype=np.float64)
-    if seen:
-        size = ROWS // RANGES
-        yield pa.RecordBatch.from_pydict({"part": pa.array(range(RANGES), pa.int32()), "sums": pa.array([planes(total[p * size : (p + 1) * size].astype(np.int64).ravel()) for p in range(RANGES)], pa.binary())})
-
-
-def _add(key, t):
-    total = sum(unplanes(x.as_buffer(), np.int64) for x in t.column("sums"))
-    return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "sums": pa.array([planes(total)], pa.binary())})
+    some = np.flatnonzero(total.any(axis=1))
+    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(total[some, k].astype(np.int64)) for k in range(DIM))], ["unit", *SUMS])
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """Vectors of unit length of all words and shapes, from all documents."""
     sums = np.zeros((ROWS, DIM))
-    size = ROWS // RANGES
-    found = docs.select("text").mapInArrow(_contexts, "part int, sums binary").groupBy("part").applyInArrow(_add, "part int, sums binary")
-    for r in found.collect():  # RANGES rows of fixed size
-        sums[r["part"] * size : (r["part"] + 1) * size] = unplanes(bytes(r["sums"]), np.int64).reshape(size, DIM)
+    found = docs.select("text").mapInArrow(_contexts, "unit int, " + ", ".join(f"{c} long" for c in SUMS)).groupBy("unit").agg(*[F.sum(c).alias(c) for c in SUMS])
+    for r in found.collect():  # ROWS rows at most
+        sums[r["unit"]] = r[1:]
     length = np.linalg.norm(sums, axis=1, keepdims=True)
     return (sums / np.maximum(length, 1)).astype(np.float32)
 
