@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from ..errors import DisclosureError
 from ..operators.frame import PrivateColumn, PrivateFrame, is_numeric
+from ..plans.quantiles import quantiles
 from . import exprs as E
 
 
@@ -91,7 +92,7 @@ class Pd:
         me = self._column(x)
         v = me._expr.cast("double")
         points = [i / q for i in range(q + 1)] if isinstance(q, int) else [float(p) for p in q]
-        edges = me._frame._df.agg(F.percentile(v, F.array(*map(F.lit, points)))).first()[0]
+        edges = quantiles(me._frame._df, {"v": v}, points)["v"]
         if edges is None or any(b <= a for a, b in zip(edges, edges[1:])):
             raise DisclosureError("qcut: the bin edges are not distinct")
         names = labels if labels is not None else [f"q{i + 1}" for i in range(len(edges) - 1)]

@@ -793,6 +793,8 @@ class PrivateFrame:
         own = [c for c in self._cols if is_numeric(self._kind(c))]
         if not own:
             raise DisclosureError("unstack needs numeric columns")
+        if level not in (-1, 0):
+            raise DisclosureError("unstack: rows have one level, 0 or -1")
         return self[own].melt()["value"]
 
     # -- released

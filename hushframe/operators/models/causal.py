@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ...errors import DisclosureError
+from ...plans.quantiles import quantiles
 from ...plans.store import keep
 from ..frame import PrivateColumn, PrivateFrame
 from ..release import Released, clean
@@ -47,7 +48,7 @@ def _effect(df: DataFrame, x: list, design, method: str) -> tuple[float, float]:
         v1, v0 = df.agg(F.sum(w1 * w1 * (y - F.lit(a)) ** 2), F.sum(w0 * w0 * (y - F.lit(b)) ** 2)).first()
         return a - b, math.sqrt(v1 / s1**2 + v0 / s0**2)
     if method == "stratification":
-        edges = df.agg(F.percentile(p, F.array(*[F.lit(i / 10) for i in range(1, 10)]))).first()[0]
+        edges = quantiles(df, {"p": p}, [i / 10 for i in range(1, 10)])["p"] or []
         bin_ = sum(((p > F.lit(e)).cast("int") for e in edges), F.lit(0))
         cells = df.groupBy(bin_.alias("b")).agg(*[f(F.when(t == v, y)) for v in (1, 0) for f in (F.count, F.avg, F.var_samp)]).collect()
         used = [r for r in cells if r[1] > 1 and r[4] > 1]

@@ -19,7 +19,7 @@ from .regression import COLUMNS, combine, gram, inverse, solve
 VCOV = ("iid", "hetero", "HC1", "HC2", "HC3")
 
 
-def demean(df: DataFrame, names: list[str], effects: list[str], weight: str | None = None, rounds: int = 60) -> DataFrame:
+def demean(df: DataFrame, names: list[str], effects: list[str], weight: str | None = None, rounds: int = 1000) -> DataFrame:
     """Take group means away, effect after effect, until they no longer change. One effect needs
     one pass; after each pass over several, the table is written to cut the plan."""
     if not effects:
@@ -34,7 +34,9 @@ def demean(df: DataFrame, names: list[str], effects: list[str], weight: str | No
             first = df.groupBy(effects[0]).agg(*[(F.sum(F.col(c) * w) / F.sum(w)).alias(c) for c in names])
             worst = first.agg(*[F.max(F.abs(F.col(c))) for c in names]).first()
             if max(v or 0.0 for v in worst) < 1e-9:
-                break
+                return df
+    if len(effects) > 1:
+        raise DisclosureError("the effects could not be absorbed: the means do not settle")
     return df
 
 

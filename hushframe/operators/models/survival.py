@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ...errors import DisclosureError
+from ...plans.ordered import edges, running_sums
+from ...plans.store import keep
 from ..frame import PrivateColumn, PrivateFrame
 from ..release import Released, rows
 from . import dist
@@ -23,19 +25,18 @@ def event_table(frame: PrivateFrame, duration: str, event: str, by: str | None =
     g = F.col(f"`{by}`").cast("string") if by else F.lit("all")
     t, e = F.col(f"`{duration}`").cast("double"), F.col(f"`{event}`").cast("double")
     df = frame._df.select(g.alias("grp"), t.alias("t"), e.alias("e")).where("grp is not null and t is not null and e is not null")
-    cells = df.groupBy("grp", "t").agg(F.sum("e").alias("d"), F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy("grp")
-    risk = F.sum("c").over(w.orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0))
-    return cells.select("grp", "t", "d", "c", risk.alias("n"), F.sum("c").over(w).alias("size")).where(F.col("size") >= frame._policy.suppression.descriptive_n)
+    cells = keep(df.groupBy("grp", "t").agg(F.sum("e").alias("d"), F.count(F.lit(1)).alias("c")), "times")
+    sizes = cells.groupBy("grp").agg(F.sum("c").alias("size")).where(F.col("size") >= frame._policy.suppression.descriptive_n)
+    at_risk = running_sums(cells, ["grp"], "t", {"n": "c"}, edges(cells, "t"), down=True)
+    return at_risk.join(sizes, "grp").select("grp", "t", "d", "c", "n", "size")
 
 
 def survival_curve(frame: PrivateFrame, duration: str, event: str, by: str | None = None) -> DataFrame:
     """grp, t, n, s: the product-limit estimate."""
-    table = event_table(frame, duration, event, by)
-    upto = Window.partitionBy("grp").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    logs = F.sum(F.when(F.col("d") < F.col("n"), F.log1p(-F.col("d") / F.col("n"))).otherwise(0.0)).over(upto)
-    ended = F.max((F.col("d") >= F.col("n")).cast("int")).over(upto)
-    return table.select("grp", "t", "d", "n", F.when(ended == 1, F.lit(0.0)).otherwise(F.exp(logs)).alias("s"))
+    table = keep(event_table(frame, duration, event, by), "at-risk")
+    own = table.withColumn("l", F.when(F.col("d") < F.col("n"), F.log1p(-F.col("d") / F.col("n"))).otherwise(0.0)).withColumn("z", (F.col("d") >= F.col("n")).cast("int"))
+    summed = running_sums(own, ["grp"], "t", {"logs": "l", "ended": "z"}, edges(own, "t"))
+    return summed.select("grp", "t", "d", "n", F.when(F.col("ended") > 0, F.lit(0.0)).otherwise(F.exp("logs")).alias("s"))
 
 
 def released_curve(frame: PrivateFrame, duration: str, event: str, by: str | None = None) -> DataFrame:
@@ -61,8 +62,7 @@ def logrank(frame: PrivateFrame, duration: str, event: str, by: str) -> Released
     if not 2 <= len(groups) <= 100:
         raise DisclosureError("the test needs 2 to 100 groups of sufficient size")
     wide = table.groupBy("t").agg(*[F.coalesce(F.sum(F.when(F.col("grp") == g, F.col(c))), F.lit(0.0)).alias(f"{c}{i}") for i, g in enumerate(groups) for c in ("d", "c")])
-    w = Window.orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)  # one row a time
-    wide = wide.select("*", *[F.sum(f"c{i}").over(w).alias(f"n{i}") for i in range(len(groups))])
+    wide = running_sums(wide, [], "t", {f"n{i}": f"c{i}" for i in range(len(groups))}, edges(table, "t"), down=True)
     total = lambda c: sum((F.col(f"{c}{i}") for i in range(len(groups))), F.lit(0.0))
     d, n = total("d"), total("n")
     m = len(groups) - 1
@@ -109,6 +109,7 @@ class Cox:
         self.centre = [float(v) for v in mid]
         own = d.df.select(F.col(f"`{duration}`").cast("double").alias("t"), F.col(f"`{event}`").cast("double").alias("e"), *[(c - m).alias(f"x{i}") for i, (c, m) in enumerate(zip(self.columns, self.centre))])
         self.beta = np.zeros(p)
+        self.edges = edges(own, "t")
         for _ in range(40):
             grad, info = self._derivatives(own, p)
             step = solve(info, grad)
@@ -129,8 +130,8 @@ class Cox:
         for name, c in sums:
             aggs += [F.sum(c).alias(name), F.sum(F.when(dead, c).otherwise(0.0)).alias("k" + name)]
         table = own.groupBy("t").agg(*aggs)
-        w = Window.orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
-        risk = table.select("d", *[F.col(f"o{i}") for i in range(p)], *[F.sum(n).over(w).alias(n) for n, _ in sums], *["k" + n for n, _ in sums]).where("d > 0")
+        risk = running_sums(table, [], "t", {"r" + n: n for n, _ in sums}, self.edges, down=True).where("d > 0")
+        risk = risk.select("d", *[f"o{i}" for i in range(p)], *[F.col("r" + n).alias(n) for n, _ in sums], *["k" + n for n, _ in sums])
         tied = risk.select("*", F.explode(F.sequence(F.lit(0), F.col("d").cast("int") - 1)).alias("l"))
         f = F.col("l") / F.col("d")
         left = lambda n: F.col(n) - f * F.col("k" + n)

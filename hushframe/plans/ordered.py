@@ -64,3 +64,27 @@ def moved(df: DataFrame, place: str, column: str, out: str, by: int) -> DataFram
     """``df`` with the value of ``column`` ``by`` rows before each row (after it, if negative)."""
     other = df.select((F.col(place) + by).alias("__at"), F.col(column).alias(out))
     return df.join(other, df[place] == other["__at"], "left").drop("__at")
+
+
+def edges(df: DataFrame, order: str) -> list[float]:
+    """Values of a column that cut its rows into about as many ranges as there are partitions."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = df.agg(F.percentile_approx(F.col(order).cast("double"), [i / n for i in range(1, n)] or [0.5])).first()[0]
+    return sorted(set(found or []))
+
+
+def running_sums(df: DataFrame, keys: list[str], order: str, sums: dict[str, str], cuts: list[float], down: bool = False) -> DataFrame:
+    """``df`` (one row for each keys and ``order``) with running sums along ``order`` for each of the
+    keys: new column to summed column. Rows are summed by range of the order, and what the ranges
+    before leave comes from a table with one row for each keys and range."""
+    turn = F.desc if down else F.asc
+    bucket = F.aggregate(F.array(*[F.lit(float(c)) for c in cuts]), F.lit(0), lambda n, c: n + (c < F.col(order)).cast("int")) if cuts else F.lit(0)
+    df = df.withColumn("__range", bucket)
+    own = Window.partitionBy(*keys, "__range").orderBy(turn(order)).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys, F.lit(0)).orderBy(turn("__range")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = df.groupBy(*keys, "__range").agg(*[F.sum(c).alias(f"__t_{new}") for new, c in sums.items()])
+    carry = totals.select(*keys, "__range", *[F.coalesce(F.sum(f"__t_{new}").over(before), F.lit(0)).alias(f"__c_{new}") for new in sums])
+    local = df.withColumns({f"__l_{new}": F.sum(c).over(own) for new, c in sums.items()})
+    return local.join(F.broadcast(carry), [*keys, "__range"]).withColumns({new: F.col(f"__l_{new}") + F.col(f"__c_{new}") for new in sums}).drop(
+        "__range", *[f"__l_{new}" for new in sums], *[f"__c_{new}" for new in sums]
+    )

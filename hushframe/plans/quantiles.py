@@ -2,7 +2,8 @@
 
 Spark's exact percentile keeps every distinct value in one place. With few distinct values that is
 the shortest way; with many, the range that holds a wanted rank is narrowed by counting rows in a
-fixed number of bins, pass after pass, until few enough values are left to pick from.
+fixed number of bins, pass after pass, until few enough values are left to pick from; a pass serves
+all ranks of all columns.
 """
 
 from __future__ import annotations
@@ -10,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Distinct values that one percentile may keep, and bins of a narrowing pass.
-DISTINCT, BINS = 200_000, 2048
+#: Distinct values that one percentile may keep, bins of a narrowing pass, and rows in a range that
+#: are counted value by value.
+DISTINCT, BINS, FEW = 200_000, 2048, 4096
 
 
 def quantiles(df: DataFrame, columns: dict[str, Column], points: list[float]) -> dict[str, list[float] | None]:
@@ -28,45 +30,46 @@ def quantiles(df: DataFrame, columns: dict[str, Column], points: list[float]) ->
         ps = F.array(*[F.lit(float(p)) for p in points])
         found = df.agg(*[F.percentile(e.cast("double"), ps) for e in short.values()]).first()
         out |= {c: (list(v) if v is not None else None) for c, v in zip(short, found)}
-    for i, (c, e) in enumerate(zip(columns, exprs)):
-        if c not in out:
-            n, low, high = first[3 * i : 3 * i + 3]
-            out[c] = _narrowed(df, e, n, low, high, points)
+    wide = {c: (e, *first[3 * i : 3 * i + 3]) for i, (c, e) in enumerate(zip(columns, exprs)) if c not in out}
+    found = _at_ranks(df, {c: w[0] for c, w in wide.items()}, {(c, r): [w[2], w[3], w[1], r] for c, w in wide.items() for r in _ranks(points, w[1])})
+    for c, (_, n, _, _) in wide.items():
+        between = lambda at: found[c, int(at)] + (found[c, min(int(at) + 1, n - 1)] - found[c, int(at)]) * (at - int(at))  # noqa: B023, E731
+        out[c] = [between(p * (n - 1)) for p in points]
     return {c: out[c] for c in columns}
 
 
-def _narrowed(df: DataFrame, e: Column, n: int, low: float, high: float, points: list[float]) -> list[float]:
-    ranks = sorted({r for p in points for r in (int(p * (n - 1)), min(int(p * (n - 1)) + 1, n - 1))})
-    values = df.select(e.alias("v")).where("v is not null")
-    found = {r: _value_at(values, r, low, high, n) for r in ranks}
-    out = []
-    for p in points:
-        at = p * (n - 1)
-        a, b = found[int(at)], found[min(int(at) + 1, n - 1)]
-        out.append(a + (b - a) * (at - int(at)))
-    return out
+def _ranks(points: list[float], n: int) -> set[int]:
+    return {r for p in points for r in (int(p * (n - 1)), min(int(p * (n - 1)) + 1, n - 1))}
 
 
-def _value_at(values: DataFrame, rank: int, low: float, high: float, inside: int) -> float:
-    """The value of a rank (from 0). All ranks under ``low`` have been counted away from it."""
-    for _ in range(64):
-        if low >= high:
-            return low
-        if inside <= DISTINCT:
-            own = values.where(F.col("v").between(low, high)).groupBy("v").count().orderBy("v").collect()  # DISTINCT rows at most
-            for v, m in own:
-                if rank < m:
-                    return v
-                rank -= m
-        width = (high - low) / BINS
-        place = F.least(F.floor((F.col("v") - F.lit(low)) / F.lit(width)), F.lit(BINS - 1))
-        bins = values.where(F.col("v").between(low, high)).groupBy(place.alias("b")).agg(F.count(F.lit(1)).alias("m"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("b").collect()
-        for r in bins:
-            if rank < r["m"]:
-                low, high, inside = r["lo"], r["hi"], r["m"]
-                break
-            rank -= r["m"]
-    return low
+def _at_ranks(df: DataFrame, columns: dict[str, Column], open_: dict[tuple[str, int], list]) -> dict[tuple[str, int], float]:
+    """The values of ranks (from 0) of columns. open_: for each the lowest and highest value that it
+    can be, how many rows lie between, and the rank among them. A pass counts rows for all of them:
+    in BINS bins of each range, or value by value where few rows are left."""
+    found = {}
+    while True:
+        for at, (low, high, _, _) in list(open_.items()):
+            if low >= high:
+                found[at] = low
+                del open_[at]
+        if not open_:
+            return found
+        ranges = list(dict.fromkeys((at[0], *state[:3]) for at, state in open_.items()))
+        marks = []
+        for i, (c, low, high, inside) in enumerate(ranges):
+            v = columns[c]
+            key = v if inside <= FEW else F.least(F.floor((v - F.lit(low)) / F.lit((high - low) / BINS)), F.lit(BINS - 1)).cast("double")
+            marks.append(F.when(v.between(low, high), F.struct(F.lit(i).alias("i"), key.alias("key"), v.alias("v"))))
+        counted = df.select(F.explode(F.filter(F.array(*marks), lambda m: m.isNotNull())).alias("m")).groupBy("m.i", "m.key")
+        bins: dict[int, list] = {}
+        for r in counted.agg(F.count(F.lit(1)).alias("n"), F.min("m.v").alias("low"), F.max("m.v").alias("high")).collect():  # BINS or FEW rows a range
+            bins.setdefault(r["i"], []).append((r["low"], r["high"], r["n"]))
+        for at, state in open_.items():
+            for low, high, n in sorted(bins[ranges.index((at[0], *state[:3]))]):
+                if state[3] < n:
+                    state[:3] = low, high, n
+                    break
+                state[3] -= n
 
 
 def grouped_quantiles(df: DataFrame, by: list[str], value: Column, points: list[float], out: str) -> DataFrame:
