@@ -484,3 +484,6 @@ def treatment_effect(spark, sf):
 def windowed(spark, sf):
     out = windowed_counts(load(spark, sf, "events"), "ts", ["event_type"], resolve_policy(suppression="light"))
     return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+from . import catalogue_more  # noqa: E402, F401  adds its queries

@@ -8,9 +8,12 @@ all ranks of all columns.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import edges, running_sums
+from .store import keep
+
 #: Distinct values that one percentile may keep, bins of a narrowing pass, and rows in a range that
 #: are counted value by value.
 DISTINCT, BINS, FEW = 200_000, 2048, 4096
@@ -73,12 +76,15 @@ def _at_ranks(df: DataFrame, columns: dict[str, Column], open_: dict[tuple[str,
 
 
 def grouped_quantiles(df: DataFrame, by: list[str], value: Column, points: list[float], out: str) -> DataFrame:
-    """by, ``out`` array: exact quantiles of each group from its value counts. Counting and sorting
-    spill to disk, so a group's distinct values need not fit into memory."""
-    counted = df.select(*[F.col(f"`{k}`") for k in by], value.cast("double").alias("__v")).where("__v is not null").groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__c"))
-    upto = F.sum("__c").over(Window.partitionBy(*by).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("__c").over(Window.partitionBy(*by))
-    ranked = counted.select(*by, "__v", upto.alias("__u"), total.alias("__n"))
+    """by, ``out`` array: exact quantiles of each group (keys that are not missing) from its value
+    counts, which are summed by range of the value, so that no group is in one task."""
+    own = [f"__k{i}" for i in range(len(by))]
+    values = df.select(*[F.col(f"`{k}`").alias(o) for k, o in zip(by, own)], value.cast("double").alias("__v")).where("__v is not null")
+    for o in own:
+        values = values.where(F.col(o).isNotNull())
+    counted = keep(values.groupBy(*own, "__v").agg(F.count(F.lit(1)).alias("__c")), "counted")
+    total = counted.groupBy(*own).agg(F.sum("__c").alias("__n"))
+    ranked = running_sums(counted, own, "__v", {"__u": "__c"}, edges(counted, "__v")).join(total, own)
     made, picks = [], []
     for i, p in enumerate(points):
         at = F.lit(float(p)) * (F.col("__n") - 1)
@@ -86,4 +92,4 @@ def grouped_quantiles(df: DataFrame, by: list[str], value: Column, points: list[
         high = F.least(low + 1, F.col("__n") - 1)
         picks += [F.min(F.when(F.col("__u") > low, F.col("__v"))).alias(f"__a{i}"), F.min(F.when(F.col("__u") > high, F.col("__v"))).alias(f"__b{i}"), F.first(at - low).alias(f"__s{i}")]
         made.append(F.col(f"__a{i}") + (F.col(f"__b{i}") - F.col(f"__a{i}")) * F.col(f"__s{i}"))
-    return ranked.groupBy(*by).agg(*picks).select(*by, F.array(*made).alias(out))
+    return ranked.groupBy(*own).agg(*picks).select(*[F.col(o).alias(k) for k, o in zip(by, own)], F.array(*made).alias(out))
