@@ -14,7 +14,7 @@ them), so the models grow with the corpus and nothing of them is collected or br
 are dealt by id into blocks of about BLOCK_BYTES. A block gives its distinct words and pairs with
 their counts, packed by range of the hash; a range adds them up and gives each block the totals of
 what it asked for, and the block scores its documents by them. Blocks and ranges grow in number,
-not in size. Only five sums (words of the target, words, bytes, and two of a sketch of how many
+not in size, and there are two for each shuffle partition at least. Only five sums (words of the target, words, bytes, and two of a sketch of how many
 distinct words there are, which the smoothing allows for; its error is some 1.6 %) reach the driver.
 
 Defined cases: a text without words (null, empty, white space) scores 0 with 0 words; an id that
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ._common import PLAIN, Words, mix, planes, steps, table, text_buffers, unique, unplanes
+from ._common import PLAIN, Words, mix, partitions, planes, steps, table, text_buffers, unique, unplanes
 
 #: Registers of the sketch that counts distinct words, as a power of two.
 REGISTERS = 12
@@ -217,7 +217,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     words_of_target, words, size, used, inverse = marked.agg(
         F.sum(F.when(F.col("good"), F.col("words"))), F.sum("words"), F.sum("bytes"), F.count("register"), F.sum(F.pow(F.lit(2.0), -F.col("longest")))
     ).first()
-    masses, blocks = (words_of_target or 0, words or 0), max(1, -(-(size or 0) // BLOCK_BYTES))
+    masses, blocks = (words_of_target or 0, words or 0), max(2 * partitions(docs.sparkSession), -(-(size or 0) // BLOCK_BYTES))
     block = lambda by: F.pmod(F.xxhash64(by), F.lit(blocks)).cast("int").alias("block")
     dealt = docs.select(block(F.coalesce(F.col("doc_id").cast("string"), "text")), "doc_id", "text")
     chosen = good.select(block(F.col("doc_id").cast("string")), "doc_id")

@@ -105,7 +105,7 @@ def test_a_vocabulary_beyond_sixteen_bits(spark, tmp_path):
 
 
 def test_language_model_against_a_plain_one(spark, tmp_path):
-    rows = [(i, t) for i, t in enumerate(["a b a c", "a b", "c c c", None, "", "b a b a b", "z"])] + [(1, "a b")]
+    rows = [(i, t) for i, t in enumerate(["a b a c", "a b", "c c c", None, "", "b a b a b", "z"])] + [(1, "a b"), (9, "a b c " * 40_000)]
     labels = pa.table({"doc_id": pa.array([0, 1, 2, 2, None], pa.int64()), "quality": pa.array([1, 1, 0, None, 1], pa.int32()), "toxic": [0] * 5})
     d = write(tmp_path, documents=docs(rows, target=[9] * len(rows)), labels=labels)
     targets = [t for i, t in rows if i in (0, 1)]
@@ -121,11 +121,10 @@ def test_language_model_against_a_plain_one(spark, tmp_path):
         counts.append((one, two, sum(one.values())))
     scale, vocab = counts[0][2] / counts[1][2], len(counts[1][0])
 
-    def loss(k, x, y, w, member):
+    def loss(k, x, y, own, pairs, size):
         one, two, n = counts[k]
-        own, pairs = Counter(w if member else []), Counter(zip(w, w[1:]) if member else [])
         f = scale if k else 1.0
-        single = ((one.get(y, 0) - own[y]) * f + lm.ADD) / ((n - sum(own.values())) * f + lm.ADD * vocab)
+        single = ((one.get(y, 0) - own[y]) * f + lm.ADD) / ((n - size) * f + lm.ADD * vocab)
         if x is None or not one.get(x, 0) - own[x]:
             return -np.log(single)
         return -np.log(lm.MIX * (two.get((x, y), 0) - pairs[x, y]) / (one[x] - own[x]) + (1 - lm.MIX) * single)
@@ -134,7 +133,8 @@ def test_language_model_against_a_plain_one(spark, tmp_path):
     want = []
     for i, t in rows:
         w = (t or "").split()
-        want.append((i, len(w), *(np.mean([loss(k, x, y, w, k or i in (0, 1)) for x, y in zip([None, *w], w)]) if w else 0.0 for k in (0, 1))))
+        own = [(Counter(w), Counter(zip(w, w[1:])), len(w)) if k or i in (0, 1) else (Counter(), Counter(), 0) for k in (0, 1)]
+        want.append((i, len(w), *(np.mean([loss(k, x, y, *own[k]) for x, y in zip([None, *w], w)]) if w else 0.0 for k in (0, 1))))
     assert [(r.doc_id, r.n_words) for r in got] == [x[:2] for x in sorted(want)]
     assert [x for r in got for x in (r.loss_target, r.loss_background)] == pytest.approx([x for row in sorted(want) for x in row[2:]])
     none = write(tmp_path, documents=docs([]), labels=labels.slice(0, 0))
