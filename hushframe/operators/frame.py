@@ -447,7 +447,7 @@ def _seconds(c: Column) -> Column:
 class PrivateFrame:
     """A private table."""
 
-    def __init__(self, df: DataFrame, policy: Policy, columns: list[str], order: list[tuple[str, bool]] | None = None, kin: frozenset = frozenset(), support: str | None = None):
+    def __init__(self, df: DataFrame, policy: Policy, columns: list[str], order: list[tuple[str, bool]] | None = None, kin: frozenset = frozenset(), support: str | None = None, origin: dict[str, tuple[str, ...]] | None = None):
         self._df, self._policy, self._cols = df, policy, list(columns)
         self._order = order or []
         self._id = next(_ids)
@@ -455,6 +455,9 @@ class PrivateFrame:
         self._kin = kin | {self._id}
         #: Hidden column with the least number of rows behind each row (of grouped frames).
         self._support = support
+        #: Where rows of a source may be repeated (joins, explode, melt): for each column the hidden
+        #: columns with the ids of the rows that its value comes from.
+        self._origin = origin or {}
         #: Hidden columns with each row's range and place in the order.
         self._seq: tuple[str, str] | None = None
 
@@ -508,10 +511,28 @@ class PrivateFrame:
         self._need(name)
         return PrivateColumn(self, F.col(f"`{name}`"), name)
 
-    def _like(self, df: DataFrame, columns=None, kin: bool = False, order=None, support="") -> "PrivateFrame":
+    def _like(self, df: DataFrame, columns=None, kin: bool = False, order=None, support="", origin=None) -> "PrivateFrame":
         cols = self._cols if columns is None else columns
         own = self._order if order is None else order
-        return PrivateFrame(df, self._policy, cols, own, self._kin if kin else frozenset(), self._support if support == "" else support)
+        return PrivateFrame(df, self._policy, cols, own, self._kin if kin else frozenset(), self._support if support == "" else support, self._origin if origin is None else origin)
+
+    def _sources(self, expr: Column) -> list[str]:
+        """The hidden columns with the ids of the rows that an expression's value comes from."""
+        if not self._origin:
+            return []
+        read = self._df.select(expr.alias("x"))._jdf.queryExecution().analyzed().expressions().apply(0).references().toSeq()
+        names = [read.apply(i).name() for i in range(read.size())]
+        return sorted({o for n in names for o in self._origin.get(n, ())})
+
+    def _repeated(self) -> tuple[list[Column], dict[str, tuple[str, ...]]]:
+        """What a frame that may repeat these rows carries on: hidden columns (named anew) and, for
+        each column, those with the rows that it comes from. Behind a row of groups stand the rows
+        that its support counts."""
+        fresh = f"__o{next(_ids)}"
+        old = sorted({o for own in self._origin.values() for o in own})
+        new = {o: f"__o{next(_ids)}" for o in old}
+        carried = [F.col(RID).alias(fresh), *(F.col(o).alias(n) for o, n in new.items())]
+        return carried, {c: tuple(new[o] for o in self._origin[c]) if c in self._origin else () if self._support else (fresh,) for c in self._cols}
 
     def _sequence(self) -> None:
         """Give the rows their places in this frame's order, once."""
@@ -600,7 +621,8 @@ class PrivateFrame:
                 new[name] = F.lit(value)
             else:
                 raise DisclosureError("assign takes columns and single values")
-        return self._like(self._changed(new), self._cols + [n for n in new if n not in self._cols])
+        origin = self._origin | {n: tuple(self._sources(e)) for n, e in new.items()} if self._origin else None
+        return self._like(self._changed(new), self._cols + [n for n in new if n not in self._cols], origin=origin)
 
     def _changed(self, new: dict[str, Column]) -> DataFrame:
         """The rows with new columns; what the file has of columns of these names no longer counts."""
@@ -612,7 +634,7 @@ class PrivateFrame:
         if len(set(left)) < len(left) or any(str(c).startswith("_") for c in own.values()):
             raise DisclosureError("rename gives unusable names")
         order = [(own.get(c, c), up) for c, up in self._order]
-        return self._like(self._df.withColumnsRenamed(own).drop(*[RAW + c for pair in own.items() for c in pair]), left, order=order)
+        return self._like(self._df.withColumnsRenamed(own).drop(*[RAW + c for pair in own.items() for c in pair]), left, order=order, origin={own.get(c, c): o for c, o in self._origin.items()})
 
     def drop(self, columns) -> "PrivateFrame":
         gone = self._names(columns)
@@ -711,8 +733,9 @@ class PrivateFrame:
         other._need(*keys)
         right = {c: c + "_y" if c in self._cols else c for c in other._cols if c not in keys}
         behind = lambda frame, name: [F.col(frame._support).alias(name)] if frame._support else []
-        l = self._df.select(*[F.col(f"`{c}`").alias(f"l_{c}") for c in self._cols], F.col(RID).alias("l_rid"), *behind(self, "l__support"))
-        r = other._df.select(*[F.col(f"`{c}`").alias(f"r_{c}") for c in other._cols], F.col(RID).alias("r_rid"), *behind(other, "r__support"))
+        (l_ids, l_from), (r_ids, r_from) = self._repeated(), other._repeated()
+        l = self._df.select(*[F.col(f"`{c}`").alias(f"l_{c}") for c in self._cols], F.col(RID).alias("l_rid"), *behind(self, "l__support"), *l_ids)
+        r = other._df.select(*[F.col(f"`{c}`").alias(f"r_{c}") for c in other._cols], F.col(RID).alias("r_rid"), *behind(other, "r__support"), *r_ids)
         cond = None
         for k in keys:
             same = l[f"l_{k}"].eqNullSafe(r[f"r_{k}"])
@@ -723,8 +746,9 @@ class PrivateFrame:
         supports = [c for c in ("l__support", "r__support") if c in joined.columns]
         if supports:  # the rows behind a joined row are the fewer of those behind its two sides
             out.append((F.least(*supports) if len(supports) > 1 else F.col(supports[0])).alias("__support"))
-        df = joined.select(*out, F.xxhash64("l_rid", "r_rid").alias(RID))
-        return PrivateFrame(df, self._policy, self._cols + list(right.values()), support="__support" if supports else None)
+        origin = {c: l_from[c] + (r_from[c] if c in keys and how in ("right", "outer") else ()) for c in self._cols} | {n: r_from[c] for c, n in right.items()}
+        df = joined.select(*out, *[c for c in joined.columns if c.startswith("__o")], F.xxhash64("l_rid", "r_rid").alias(RID))
+        return PrivateFrame(df, self._policy, self._cols + list(right.values()), support="__support" if supports else None, origin=origin)
 
     def summarise(self, by, **out) -> "PrivateFrame":
         """A private frame of groups; it remembers the rows behind each."""
@@ -736,6 +760,8 @@ class PrivateFrame:
             self._need(spec[0])
             aggs.append(R.aggregate(R.check_stat(spec[1]), F.col(f"`{spec[0]}`")).alias(name))
         support = F.sum(self._support) if self._support else F.count(F.lit(1))
+        sources = sorted({o for spec in out.values() for o in self._sources(F.col(f"`{spec[0]}`"))})
+        support = R.not_more_than(self._policy, support, [F.col(o) for o in sources])
         known = self._df.where(" and ".join(f"`{k}` is not null" for k in keys))
         df = known.groupBy(*keys).agg(*aggs, support.alias("__support")).withColumn(RID, F.xxhash64(*keys))
         return PrivateFrame(df, self._policy, [*keys, *out], support="__support")
@@ -752,9 +778,12 @@ class PrivateFrame:
         kinds = {self._kind(c) for c in vals}
         kind = "double" if all(is_numeric(k) for k in kinds) else "string"
         one = kinds.pop().simpleString() if len(kinds) == 1 else kind
-        hidden = [RID, *([self._support] if self._support else [])]
-        df = self._df.select(*ids, *hidden, *[F.col(c).cast(one).alias(c) for c in vals]).unpivot([*ids, *hidden], vals, var_name, value_name)
-        return PrivateFrame(df.withColumn(RID, F.xxhash64(RID, var_name)), self._policy, [*ids, var_name, value_name], support=self._support)
+        carried, origin = self._repeated()
+        names = [RID, *([self._support] if self._support else [])]
+        df = self._df.select(*ids, *names, *carried, *[F.col(c).cast(one).alias(c) for c in vals])
+        df = df.unpivot([c for c in df.columns if c not in vals], vals, var_name, value_name)
+        origin = {c: origin[c] for c in ids} | {value_name: tuple(sorted({o for c in vals for o in origin[c]}))}
+        return PrivateFrame(df.withColumn(RID, F.xxhash64(RID, var_name)), self._policy, [*ids, var_name, value_name], support=self._support, origin=origin)
 
     def pivot(self, index, columns, values) -> "PrivateFrame":
         keys = self._names(index)
@@ -779,8 +808,9 @@ class PrivateFrame:
         self._need(column)
         if not isinstance(self._kind(column), T.ArrayType):
             return self
-        df = self._df.select("*", F.posexplode_outer(column).alias("__p", "__v")).withColumn(column, F.col("__v"))
-        return PrivateFrame(df.withColumn(RID, F.xxhash64(RID, "__p")).drop("__p", "__v"), self._policy, self._cols, support=self._support)
+        carried, origin = self._repeated()
+        df = self._df.select("*", *carried, F.posexplode_outer(column).alias("__p", "__v")).withColumn(column, F.col("__v"))
+        return PrivateFrame(df.withColumn(RID, F.xxhash64(RID, "__p")).drop("__p", "__v"), self._policy, self._cols, support=self._support, origin=origin)
 
     def stack(self) -> PrivateColumn:
         """Values of all numeric columns below each other, without missing ones."""

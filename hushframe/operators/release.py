@@ -146,6 +146,22 @@ def noisy(policy: Policy, stat: str, value: Column, n: Column, *labels: Column)
     return value
 
 
+#: Up to so many rows the sketch behind approx_count_distinct does not count too many.
+SURE = 20
+
+
+def not_more_than(policy: Policy, n: Column, ids: list[Column]) -> Column:
+    """A number of rows, but not more than the distinct ids of the rows that they come from. Where the
+    minimum is small a sketch tells it; a cell far above it keeps its number."""
+    for c in ids:
+        if policy.suppression.descriptive_n <= SURE:
+            distinct = F.approx_count_distinct(c, 0.05)
+            n = F.when(distinct > 100 * SURE, n).otherwise(F.least(n, distinct))
+        else:
+            n = F.least(n, F.count_distinct(c))
+    return n
+
+
 def stop_if_sparse(policy: Policy, cells: DataFrame, n: str = "n") -> None:
     """Refuse a table in which too many cells are under the minimum."""
     limit = policy.suppression.max_low_cell_share

@@ -20,11 +20,25 @@ def _known(df: DataFrame, keys: list[str]) -> DataFrame:
     return df
 
 
-def _rows(frame: PrivateFrame, value: Column | None) -> Column:
+def _rows(frame: PrivateFrame, value: Column | None, of: tuple[Column, ...] = ()) -> Column:
     """The rows that stand behind a cell: those with a value; of a grouped frame not more than the
-    smallest group behind it."""
+    smallest group behind it; where a join or reshape repeats rows, not more than there are of those
+    that the value (or ``of``, what the cell says) comes from."""
     n = F.count(F.lit(1)) if value is None else F.least(F.count(F.lit(1)), F.count(value))
-    return F.least(n, F.min(frame._support)) if frame._support else n
+    n = F.least(n, F.min(frame._support)) if frame._support else n
+    known = F.lit(True) if value is None else value.isNotNull()
+    sources = sorted({o for e in (*of, *([] if value is None else [value])) for o in frame._sources(e)})
+    return R.not_more_than(frame._policy, n, [F.when(known, F.col(o)) for o in sources])
+
+
+def _rows_where(frame: PrivateFrame, condition: Column, value: Column) -> Column:
+    """The rows in which a condition on a value holds, repeated ones once."""
+    return R.not_more_than(frame._policy, F.count_if(condition), [F.when(condition, F.col(o)) for o in frame._sources(value)])
+
+
+def _hidden(frame: PrivateFrame) -> list[str]:
+    """The columns that ``_rows`` reads besides the values."""
+    return [*([frame._support] if frame._support else []), *sorted({o for own in frame._origin.values() for o in own})]
 
 
 def _audit(frame: PrivateFrame, verb: str, k: int, **more) -> dict:
@@ -86,9 +100,10 @@ def group_describe(frame: PrivateFrame, by: list[str], value: str) -> R.Released
     joined = df.join(first, by)
     w = F.least(F.greatest(v, F.col("p")[0]), F.col("p")[1])
     orders = [("min", F.col("p")[0]), ("25%", F.col("p")[2]), ("50%", F.col("p")[3]), ("75%", F.col("p")[4]), ("max", F.col("p")[1])]
+    sources = frame._sources(F.col(f"`{value}`"))
     aggs = [F.first("__n").alias("__n"), F.avg(w).alias("mean"), F.stddev_samp(w).alias("std")]
     for name, c in orders:
-        aggs += [F.first(c).alias(f"o_{name}"), F.least(F.count_if(v <= c), F.count_if(v >= c)).alias(f"s_{name}")]
+        aggs += [F.first(c).alias(f"o_{name}"), F.least(*(R.not_more_than(policy, F.count_if(test), [F.when(test, F.col(o)) for o in sources]) for test in (v <= c, v >= c))).alias(f"s_{name}")]
     cells = joined.groupBy(*by).agg(*aggs)
     e = R.noise(policy, *[F.col(f"`{k}`") for k in by])
     count = F.col("__n") if e is None else F.greatest(F.col("__n") + e, F.lit(0))
@@ -102,14 +117,20 @@ def group_describe(frame: PrivateFrame, by: list[str], value: str) -> R.Released
     return R.Released("table", _audit(frame, "describe", policy.min_n, by=by), cells.select(*by, *out).orderBy(*by), by)
 
 
+def _cell_rows(frame: PrivateFrame, *said: Column) -> Column:
+    """The rows behind a cell of a table that says values of columns; the table has the hidden columns."""
+    n = F.least(F.count(F.lit(1)), F.min(frame._support)) if frame._support else F.count(F.lit(1))
+    return R.not_more_than(frame._policy, n, [F.col(o) for o in sorted({o for e in said for o in frame._sources(e)})])
+
+
 def value_counts(frame: PrivateFrame, value: Column, name: str, min_n=None, round=None) -> R.Released:
     policy = frame._policy
     k = R.least_n(policy, min_n, "count")
-    cells = frame._df.select(value.alias("key"), *([frame._support] if frame._support else [])).where("key is not null").groupBy("key").agg(_rows(frame, None).alias("n"))
+    cells = frame._df.select(value.alias("key"), *_hidden(frame)).where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("c"), _cell_rows(frame, value).alias("n"))
     R.stop_if_sparse(policy, cells)
-    count = F.col("n").cast("double")
-    count = R.noisy(policy, "count", count, F.col("n"), F.col("key")) if policy.suppression.count_noise else R.round_to(count, R.rounding(policy, round))
-    out = cells.orderBy(F.desc("n"), "key").select(F.col("key").alias(name), R.suppress(count, F.col("n"), k).alias("count"))
+    count = F.col("c").cast("double")
+    count = R.noisy(policy, "count", count, F.col("c"), F.col("key")) if policy.suppression.count_noise else R.round_to(count, R.rounding(policy, round))
+    out = cells.orderBy(F.desc("c"), "key").select(F.col("key").alias(name), R.suppress(count, F.col("n"), k).alias("count"))
     return R.Released("series", _audit(frame, "value_counts", k), out, [name], name)
 
 
@@ -126,11 +147,11 @@ def crosstab(frame: PrivateFrame, row: str, col: str, min_n=None, round=None) ->
 def crosstab_long(frame: PrivateFrame, row: str, col: str, min_n=None, round=None) -> DataFrame:
     policy = frame._policy
     k = R.least_n(policy, min_n, "count")
-    cells = _known(frame._df, [row, col]).groupBy(row, col).agg(_rows(frame, None).alias("n"))
-    R.stop_if_sparse(policy, cells)
-    count = F.col("n").cast("double")
-    count = R.noisy(policy, "count", count, F.col("n"), F.col(row), F.col(col)) if policy.suppression.count_noise else R.round_to(count, R.rounding(policy, round))
-    return cells.select(row, col, R.suppress(count, F.col("n"), k).alias("count"))
+    cells = _known(frame._df, [row, col]).groupBy(row, col).agg(F.count(F.lit(1)).alias("__c"), _rows(frame, None, (F.col(f"`{row}`"), F.col(f"`{col}`"))).alias("__n"))
+    R.stop_if_sparse(policy, cells, "__n")
+    count = F.col("__c").cast("double")
+    count = R.noisy(policy, "count", count, F.col("__c"), F.col(row), F.col(col)) if policy.suppression.count_noise else R.round_to(count, R.rounding(policy, round))
+    return cells.select(row, col, R.suppress(count, F.col("__n"), k).alias("count"))
 
 
 def pivot_table(frame: PrivateFrame, values: str, index, columns=None, aggfunc: str = "mean", min_n=None, round=None) -> R.Released:
@@ -251,7 +272,7 @@ def _orders(frame: PrivateFrame, exprs: dict[str, Column], points: dict[str, flo
     for c, e in exprs.items():
         for name, value in zip(points, found[c] or []):
             d = e.cast("double")
-            aggs.append(F.least(F.count_if(d <= F.lit(value)), F.count_if(d >= F.lit(value))))
+            aggs.append(F.least(_rows_where(frame, d <= F.lit(value), e), _rows_where(frame, d >= F.lit(value), e)))
             at.append((c, name, value))
     out: dict[str, dict[str, float | None]] = {c: dict.fromkeys(points) for c in exprs}
     if aggs:
@@ -342,12 +363,11 @@ def histogram_long(me: PrivateColumn, bins=10, percent: bool = False) -> tuple[D
     spot = F.when(v == edges[0], 0)
     for i, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
         spot = spot.when((v > a) & (v <= b), i)
-    support = [frame._support] if frame._support else []
-    cells = frame._df.select(spot.alias("bin"), *support).where("bin is not null").groupBy("bin").agg(_rows(frame, None).alias("n"))
-    total = F.sum("n").over(Window.partitionBy(F.lit(1)))  # one row a bin
-    count = F.col("n").cast("double")
+    cells = frame._df.select(spot.alias("bin"), *_hidden(frame)).where("bin is not null").groupBy("bin").agg(F.count(F.lit(1)).alias("c"), _cell_rows(frame, me._expr).alias("n"))
+    total = F.sum("c").over(Window.partitionBy(F.lit(1)))  # one row a bin
+    count = F.col("c").cast("double")
     if policy.suppression.count_noise:
-        count = R.noisy(policy, "count", count, F.col("n"), F.lit(me._name), F.col("bin"))
+        count = R.noisy(policy, "count", count, F.col("c"), F.lit(me._name), F.col("bin"))
     value = F.bround(count * 100 / total, 2) if percent else R.round_to(count, None if policy.suppression.count_noise else policy.round_to)
     return cells.select("bin", R.suppress(value, F.col("n"), policy.min_n).alias("value")), edges
 

@@ -437,3 +437,31 @@ def test_an_interrupt_passes(spark):
     with pytest.raises(KeyboardInterrupt):
         session._told("script", stop)
     assert session._told("script", lambda: 1 / 0)[1].args[0].endswith("ZeroDivisionError")
+
+
+def test_repeated_rows_count_once(spark):
+    """A join or reshape that repeats one person's row does not make enough rows of it."""
+    rows = [(i, float(1000 + i), "x" if i % 2 else "y", [1.0] * 9) for i in range(60)] + [(99, 123456.0, "z", [123456.0] * 9)]
+    df = spark.createDataFrame(rows, "uid long, inc double, grp string, many array<double>")
+    other = spark.createDataFrame([(99, k) for k in range(12)] + [(i, 0) for i in range(60)], "uid long, k long")
+    attacks = [
+        "df.merge(o, on='uid').groupby('grp')['inc'].mean()", "o.merge(df, on='uid').groupby('grp')['inc'].sum()", "df.merge(o, on='uid').groupby('grp')['inc'].median()",
+        "df.merge(o, on='uid').assign(t=df.merge(o, on='uid').inc).groupby('grp')['inc'].mean()", "df.merge(o, on='uid').merge(o, on='uid').groupby('grp')['inc'].describe()",
+        "df.explode('many').groupby('grp')['many'].mean()", "df.explode('many').groupby('grp')['inc'].mean()", "df.merge(o, on='uid')['inc'].max()",
+        "m = df.merge(o, on='uid')\nm.assign(z=m.inc * 2).groupby('grp')['z'].mean()", "m = df.merge(o, on='uid')\nm[m.inc > 100000]['inc'].mean()",
+        "df.merge(o, on='uid').summarise('grp', v=('inc', 'mean')).merge(o.rename({'k': 'q'}).assign(grp='z'), on='grp').groupby('grp')['v'].mean()",
+        "df.merge(o, on='uid').melt(['grp'], ['inc', 'k']).groupby(['grp', 'variable'])['value'].mean()",
+    ]
+    for text in attacks:
+        for level in ("light", "microdata"):
+            if level == "microdata" and "describe" not in text and "sum" not in text:
+                continue
+            noise = replace(PRESETS[level], noise_key="k") if level == "microdata" else level
+            out = run(text, {"df": df, "o": other}, suppression=noise)
+            assert "123456" not in str(out.as_dict()) and "246912" not in str(out.as_dict()), text
+            if level == "light":
+                assert out.ok, (text, out.error)
+    counts = run("df.merge(o, on='uid').value_counts('grp')", {"df": df, "o": other}, suppression="light").payload
+    assert dict(zip(counts["index"], counts["values"])) == {"x": 30, "y": 30, "z": None}
+    fine = run("df.merge(o, on='uid').groupby('grp')['inc'].mean()", {"df": df, "o": other}, suppression="light").payload
+    assert dict(zip(fine["index"], fine["values"])) == {"x": pytest.approx(1030), "y": pytest.approx(1029), "z": None}
