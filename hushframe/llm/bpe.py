@@ -300,11 +300,23 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     return tokens(docs, path).select("doc_id", numbers(F.col("tokens"), vocabulary_size(path)).alias("ids"))
 
 
+def _pieces(path: str) -> Column:
+    """The literal array of the ranks' pieces, a character a byte."""
+    pieces = {rank: piece.decode("latin-1") for piece, rank in load_ranks(path).items()}
+    return F.split(F.lit("\u0100".join(pieces.get(i, "") for i in range(max(pieces) + 1))), "\u0100", -1)
+
+
 def decode(ids: Column, path: str) -> Column:
     """The bytes of an array of ids."""
-    pieces = {rank: piece.decode("latin-1") for piece, rank in load_ranks(path).items()}
-    text = F.split(F.lit("\u0100".join(pieces.get(i, "") for i in range(max(pieces) + 1))), "\u0100", -1)
-    return F.encode(F.array_join(F.transform(ids, lambda i: F.get(text, i)), ""), "ISO-8859-1")
+    pieces = _pieces(path)
+    return F.encode(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""), "ISO-8859-1")
+
+
+def decode_tokens(row: Column, path: str) -> Column:
+    """The bytes of a row of tokens: the same as of its ids, which are read on the way."""
+    pieces, size = _pieces(path), vocabulary_size(path)
+    number = F.ascii if size <= GAP else lambda c: F.when(F.ascii(c) < GAP, F.ascii(c)).otherwise(F.ascii(c) - GAP_SIZE)
+    return F.encode(F.array_join(F.transform(_characters(row), lambda c: F.get(pieces, number(c))), ""), "ISO-8859-1")
 
 
 def little_endian(tokens: Column, size: int) -> Column:
@@ -332,5 +344,5 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         F.char_length(row).cast("long").alias("n_tokens"),
         F.sha2(little_endian(row, size), 256).alias("ids_sha256"),
-        F.sha2(decode(numbers(row, size), path), 256).alias("decoded_sha256"),
+        F.sha2(decode_tokens(row, path), 256).alias("decoded_sha256"),
     )

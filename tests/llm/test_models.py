@@ -100,8 +100,8 @@ def test_a_vocabulary_beyond_sixteen_bits(spark, tmp_path):
     for r in bpe.encode(spark.createDataFrame(rows, "doc_id int, text string"), str(path)).collect():
         assert r.ids == own.encode_ordinary(dict(rows)[r.doc_id])
     size = bpe.vocabulary_size(str(path))
-    got = bpe.tokens(spark.createDataFrame(rows, "doc_id int, text string"), str(path)).select("doc_id", bpe.little_endian(bpe.F.col("tokens"), size).alias("b"), bpe.decode(bpe.numbers(bpe.F.col("tokens"), size), str(path)).cast("string").alias("t")).collect()
-    assert all(r.b == np.array(own.encode_ordinary(dict(rows)[r.doc_id]), "<u4").tobytes() and r.t == dict(rows)[r.doc_id] for r in got)
+    got = bpe.tokens(spark.createDataFrame(rows, "doc_id int, text string"), str(path)).select("doc_id", bpe.little_endian(bpe.F.col("tokens"), size).alias("b"), bpe.decode(bpe.numbers(bpe.F.col("tokens"), size), str(path)).cast("string").alias("t"), bpe.decode_tokens(bpe.F.col("tokens"), str(path)).cast("string").alias("u")).collect()
+    assert all(r.b == np.array(own.encode_ordinary(dict(rows)[r.doc_id]), "<u4").tobytes() and r.t == r.u == dict(rows)[r.doc_id] for r in got)
 
 
 def test_language_model_against_a_plain_one(spark, tmp_path):
