@@ -61,7 +61,8 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts become token ids; the text is what the ids decode to."""
     path = bpe.vocabulary()
-    return bpe.encode(docs, path).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", bpe.decode(F.col("ids"), path).cast("string").alias("text"))
+    row = F.col("tokens")
+    return bpe.tokens(docs, path).select("doc_id", F.char_length(row).cast("long").alias("n_tokens"), bpe.numbers(row, bpe.vocabulary_size(path)).alias("ids"), bpe.decode_tokens(row, path).cast("string").alias("text"))
 
 
 STAGES = [
