@@ -282,7 +282,8 @@ class KaplanMeierFitter:
             raise DisclosureError("private columns are needed")
         d, e = durations._plain(), event_observed._plain()
         frame = d._frame
-        made = PrivateFrame(frame._df.withColumns({"__t": d._expr, "__e": frame._align(e)}), frame._policy, ["__t", "__e"])
+        event = frame._align(e)
+        made = PrivateFrame(frame._df.withColumns({"__t": d._expr, "__e": event}), frame._policy, ["__t", "__e"], support=frame._support)
         self._args = (made, "__t", "__e")
         return self
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..errors import DisclosureError
 from ..operators.frame import PrivateFrame
-from ..operators.models import panel, regression
+from ..operators.models import panel, regression, survival
 from ..operators.models.design import parse
 from ..policy import resolve_policy
 from ..session import run as run_script
@@ -398,6 +398,48 @@ def effect_by_regression(spark, sf):
     return table(spark, [("regression", "ate", p["effect"])], 3)
 
 
+_ARMS = """WITH j AS (SELECT l_extendedprice AS y, l_linestatus AS g, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 1.0 ELSE 0.0 END AS t FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+k AS (SELECT *, avg(t) OVER (PARTITION BY g) AS p FROM j)"""
+
+
+def _arms(spark, sf) -> PrivateFrame:
+    l, o = load(spark, sf, "lineitem"), load(spark, sf, "orders")
+    j = l.join(o, l["l_orderkey"] == o["o_orderkey"]).select("l_extendedprice", "l_linestatus", F.col("o_orderpriority").isin("1-URGENT", "2-HIGH").cast("int").alias("urgent"))
+    return PrivateFrame.bind(j, resolve_policy(suppression="light"))
+
+
+@query(_ARMS + """, m AS (SELECT sum(t / p) AS s1, sum((1 - t) / (1 - p)) AS s0, sum(t / p * y) / sum(t / p) AS a, sum((1 - t) / (1 - p) * y) / sum((1 - t) / (1 - p)) AS b FROM k),
+v AS (SELECT sum(t / p * t / p * (y - a) * (y - a)) / any_value(s1 * s1) + sum((1 - t) / (1 - p) * (1 - t) / (1 - p) * (y - b) * (y - b)) / any_value(s0 * s0) AS v FROM k, m)
+SELECT 'weighting' AS idx, unnest(['effect', 'std_err']) AS col, unnest([round(a - b, 2), round(sqrt(v), 2)]) AS value FROM m, v""")
+def effect_by_weighting(spark, sf):
+    """With a factor as the only confounder the propensities are the factor's shares."""
+    p = _arms(spark, sf).ate("l_extendedprice", "urgent", ["l_linestatus"], "weighting").payload
+    return table(spark, [("weighting", c, p[c]) for c in ("effect", "std_err")], 2)
+
+
+@query(_ARMS + " SELECT g AS l_linestatus, round(avg(t), 4) AS value FROM k GROUP BY 1")
+def propensity(spark, sf):
+    f = _arms(spark, sf)
+    return cells(f.assign(p=f.propensity("urgent", ["l_linestatus"])).groupby("l_linestatus")["p"].mean())
+
+
+@query(_KM.split("c AS")[0] + """c AS (SELECT t, sum(e) AS d, count(*) AS c FROM j GROUP BY 1), r AS (SELECT *, sum(c) OVER (ORDER BY t DESC) AS n FROM c),
+s AS (SELECT t, exp(sum(CASE WHEN d < n THEN ln(1 - d / n) ELSE -1e9 END) OVER (ORDER BY t)) AS s FROM r)
+SELECT 'median' AS idx, '' AS col, min(t) AS value FROM s WHERE s <= 0.5""")
+def median_survival(spark, sf):
+    f = _spells(spark, sf)
+    return table(spark, [("median", "", survival.KaplanMeierFitter().fit(f.dur, event_observed=f.event).median_survival_time_.payload["value"])])
+
+
+@query(_KM.split("c AS")[0].rstrip().rstrip(",").replace("AS e FROM", "AS e, CAST(l_quantity AS DOUBLE) AS x FROM") + """, m AS (SELECT count(*) AS n, avg(x) AS mx, regr_intercept(ln(t), x) AS a, regr_slope(ln(t), x) AS b, regr_sxx(ln(t), x) AS sxx, regr_syy(ln(t), x) AS syy FROM j), v AS (SELECT *, (syy - b * b * sxx) / n AS s2 FROM m)
+SELECT unnest(['mu:Intercept', 'mu:l_quantity', 'log_sigma', 'mu:Intercept', 'mu:l_quantity', 'log_sigma']) AS idx, unnest(['coef', 'coef', 'coef', 'std_err', 'std_err', 'std_err']) AS col,
+  unnest([round(a, 3), round(b, 3), round(ln(s2) / 2, 3), round(sqrt(s2 * (1.0 / n + mx * mx / sxx)), 3), round(sqrt(s2 / sxx), 3), round(sqrt(0.5 / n), 3)]) AS value FROM v""")
+def lognormal_times(spark, sf):
+    """Where all times are seen to their end the model is least squares on their logarithms."""
+    f = _spells(spark, sf)
+    return flat(f.assign(event=1).lognormal_aft("dur", "event", ["l_quantity"]), spark, 3).where("col in ('coef', 'std_err')")
+
+
 # ---------------------------------------------------------------- scripts
 
 def _script(spark, sf, code: str, name: str = "lineitem", suppression: str = "light"):
