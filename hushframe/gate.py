@@ -12,14 +12,12 @@ from dataclasses import dataclass, field
 from .errors import ValidationError
 
 # The accepted syntax.
-NODES = frozenset(
-    getattr(ast, name)
-    for name in """
-    Module Expr Assign Import ImportFrom alias Name Load Store Constant List Tuple Dict Set Attribute
-    Subscript Call keyword BoolOp And Or BinOp UnaryOp Not Invert UAdd USub Compare IfExp Add Sub Mult
-    Div Mod Pow FloorDiv BitAnd BitOr BitXor LShift RShift Eq NotEq Lt LtE Gt GtE Is IsNot In NotIn
-    """.split()
-)
+NODES = frozenset({
+    ast.Module, ast.Expr, ast.Assign, ast.Import, ast.ImportFrom, ast.alias, ast.Name, ast.Load, ast.Store, ast.Constant, ast.List, ast.Tuple, ast.Dict,
+    ast.Set, ast.Attribute, ast.Subscript, ast.Call, ast.keyword, ast.BoolOp, ast.And, ast.Or, ast.BinOp, ast.UnaryOp, ast.Not, ast.Invert, ast.UAdd,
+    ast.USub, ast.Compare, ast.IfExp, ast.Add, ast.Sub, ast.Mult, ast.Div, ast.Mod, ast.Pow, ast.FloorDiv, ast.BitAnd, ast.BitOr, ast.BitXor, ast.LShift,
+    ast.RShift, ast.Eq, ast.NotEq, ast.Lt, ast.LtE, ast.Gt, ast.GtE, ast.Is, ast.IsNot, ast.In, ast.NotIn,
+})
 
 # Modules that scripts may import (they get facades), and functions called by name.
 MODULES = frozenset({"lifelines", "numpy", "pandas", "pyfixest"})
@@ -27,29 +25,25 @@ BUILTINS = frozenset({"abs", "bool", "float", "int", "len", "round", "str"})
 
 # Denied attributes. Rows and exports; single rows by position or order; callables and
 # little languages; ranks (rank and filter give differences); styling; the engine's own doors.
-DENIED = frozenset(
-    """
-    head tail sample iloc loc at iat xs lookup iterrows itertuples items iteritems get pop squeeze
-    to_csv to_dict to_json to_numpy to_records to_list tolist to_clipboard to_pickle to_parquet
-    to_feather to_excel to_string to_markdown to_latex to_html values array item info memory_usage
-    glimpse row rows get_column write_csv write_parquet
-    idxmax idxmin argmax argmin nlargest nsmallest first last nth mode
-    rank
-    apply applymap pipe query eval rolling expanding ewm
-    style
-    format format_map rdd collect toPandas show write writeTo writeStream sql selectExpr expr toJSON
-    foreach foreachPartition mapInPandas mapInArrow explain sparkSession sparkContext take takeAsList
-    toLocalIterator checkpoint localCheckpoint cache persist createOrReplaceTempView
-    """.split()
-)
+DENIED = frozenset({
+    "head", "tail", "sample", "iloc", "loc", "at", "iat", "xs", "lookup", "iterrows", "itertuples", "items", "iteritems", "get", "pop", "squeeze",
+    "to_csv", "to_dict", "to_json", "to_numpy", "to_records", "to_list", "tolist", "to_clipboard", "to_pickle", "to_parquet",
+    "to_feather", "to_excel", "to_string", "to_markdown", "to_latex", "to_html", "values", "array", "item", "info", "memory_usage",
+    "glimpse", "row", "rows", "get_column", "write_csv", "write_parquet",
+    "idxmax", "idxmin", "argmax", "argmin", "nlargest", "nsmallest", "first", "last", "nth", "mode",
+    "rank",
+    "apply", "applymap", "pipe", "query", "eval", "rolling", "expanding", "ewm",
+    "style",
+    "format", "format_map", "rdd", "collect", "toPandas", "show", "write", "writeTo", "writeStream", "sql", "selectExpr", "expr", "toJSON",
+    "foreach", "foreachPartition", "mapInPandas", "mapInArrow", "explain", "sparkSession", "sparkContext", "take", "takeAsList",
+    "toLocalIterator", "checkpoint", "localCheckpoint", "cache", "persist", "createOrReplaceTempView",
+})
 
 # Names that may not be called.
-FORBIDDEN = frozenset(
-    """
-    eval exec compile open input __import__ getattr setattr delattr hasattr vars globals locals dir
-    type object super memoryview breakpoint exit quit help id format
-    """.split()
-)
+FORBIDDEN = frozenset({
+    "eval", "exec", "compile", "open", "input", "__import__", "getattr", "setattr", "delattr", "hasattr", "vars", "globals", "locals", "dir",
+    "type", "object", "super", "memoryview", "breakpoint", "exit", "quit", "help", "id", "format",
+})
 
 
 @dataclass
