@@ -92,11 +92,17 @@ class Bucket:
             code.append(h[at] >> np.uint64(64 - bits))
             ids.append(own[doc[at]])
             anchor.append((at - w.bounds[doc[at]]) % self.block == 0)
-        self.code = code
+        ends = np.cumsum([len(c) for c in code])
         code = np.concatenate(code)
-        order = np.argsort(code, kind="stable")
-        begin = np.flatnonzero(np.diff(code[order], prepend=~code[order][:1]))
-        self.distinct = code[order][begin]
+        order = np.argsort(code)
+        code = code[order]
+        new = np.ones(len(code), bool)
+        new[1:] = code[1:] != code[:-1]
+        begin = np.flatnonzero(new)
+        self.distinct = code[begin]
+        of = np.empty(len(code), np.int32)
+        of[order] = np.cumsum(new) - 1
+        self.of = np.split(of, ends[:-1])  # the number of each probe's hash, by step
         self.anchor = _any(np.concatenate(anchor)[order], begin)
         ids = np.concatenate(ids)[order]
         self.several = np.minimum.reduceat(ids, begin) < np.maximum.reduceat(ids, begin) if len(begin) else self.anchor
@@ -104,14 +110,11 @@ class Bucket:
     def extend(self, hit: np.ndarray) -> None:
         """The windows around the probes whose hash hit (a flag for each distinct one): where they
         start, and the distinct ones with the smallest doc_id of each."""
-        hits = self.distinct[hit]
         self.starts, lane1, lane2, ids = [], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint16)], [np.zeros(0, np.int64)]
         for _, w, words, doc, own, at, k in self.rows:
-            own_code = self.code[k]
-            place = at[hits[np.minimum(np.searchsorted(hits, own_code), len(hits) - 1)] == own_code] if len(hits) else at[:0]
-            delta = np.zeros(len(w) + 1, np.int64)
-            np.add.at(delta, np.maximum(place - (self.size - self.block), w.bounds[doc[place]]), 1)
-            np.add.at(delta, place + 1, -1)
+            place = at[hit[self.of[k]]]
+            first = np.maximum(place - (self.size - self.block), w.bounds[doc[place]])
+            delta = np.bincount(first, minlength=len(w) + 1) - np.bincount(place + 1, minlength=len(w) + 1)
             one = windows(words, self.size)
             start = np.flatnonzero(((np.cumsum(delta[:-1]) > 0) & whole(w.bounds, self.size))[: len(one)])
             self.starts.append(start)
@@ -119,7 +122,7 @@ class Bucket:
             lane2.append(windows(words, self.size, lane=True)[start].astype(np.uint16))
             ids.append(own[doc[start]])
         lane1, lane2, self.ids = (np.concatenate(x) for x in (lane1, lane2, ids))
-        order = np.lexsort((lane2, lane1))
+        order = np.argsort(lane1)  # windows that agree in this lane alone may be asked for twice
         new = np.ones(len(order), bool)
         new[1:] = (lane1[order][1:] != lane1[order][:-1]) | (lane2[order][1:] != lane2[order][:-1])
         begin = np.flatnonzero(new)
