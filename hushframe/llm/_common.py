@@ -137,12 +137,16 @@ def span_hashes(value: np.ndarray, first: np.ndarray, k: np.ndarray, size: np.nd
 
 
 def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first span of each distinct byte string, and the number of each span's string. Strings
+    """A span of each distinct byte string, and the number of each span's string. Strings
     are found by hash and their bytes compared, so that no two are taken for one."""
     size = ends - starts
     value, first, k = pieces(data, starts, ends)
-    _, one, code = np.unique(span_hashes(value, first, k, size), return_index=True, return_inverse=True)
-    code = code.ravel()
+    h = span_hashes(value, first, k, size)
+    order = np.argsort(h)
+    new = np.ones(len(h), bool)
+    new[1:] = h[order][1:] != h[order][:-1]
+    one, code = order[new], np.empty(len(h), np.int64)
+    code[order] = np.cumsum(new) - 1
     if not len(size):
         return one, code
     like = one[code]
